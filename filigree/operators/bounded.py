@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filigree.session import shared_dir
 
 BROADCAST_ROWS = 200_000
-QUERY_SLICE = 512
+QUERY_SLICE = 2048
 UNION_SLICES = 8
 
 
@@ -65,7 +65,7 @@ def in_query_slices(
     n = queries.count()
     if n <= max_rows:
         return search(queries)
-    slices = math.ceil(2 * n / max_rows)
+    slices = math.ceil(1.5 * n / max_rows)
     bucket = F.pmod(F.xxhash64("query_id"), F.lit(slices))
     parts = (search(queries.where(bucket == i)) for i in range(slices))
     if slices <= UNION_SLICES:

@@ -1,0 +1,174 @@
+"""Vector retrieval over a table laid out in cells, so a query reads only some of them."""
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from filigree.operators.bounded import QUERY_SLICE, collect_bounded, in_query_slices
+from filigree.operators.semantic import as_matrix, query_matrix, score_block
+from filigree.operators.topk import TaskTopK, candidate_batch, candidate_schema, rank_candidates
+
+MAX_CELLS = 4096
+TRAINING_ROWS_PER_CELL = 256
+SLACK = 2e-6  # wider than the rounding of scores and angles
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centroids, and per non-empty cell the least and greatest cosine of its members."""
+
+    centroids: list[list[float]]
+    spread: dict[int, tuple[float, float]]
+
+
+def train_centroids(vectors: DataFrame, n_cells: int, seed: int = 7) -> list[list[float]]:
+    """Cell centres of unit length from k-means.
+
+    Beyond a few hundred vectors per cell k-means sees a hash sample. The centres only
+    lay out the table; every vector is still assigned and stored.
+    """
+    if n_cells > MAX_CELLS:
+        raise ValueError(f"at most {MAX_CELLS} cells")
+    total, target = vectors.count(), n_cells * TRAINING_ROWS_PER_CELL
+    seen = vectors if total <= target else vectors.where(
+        F.pmod(F.xxhash64("embedding"), F.lit(total)) < target
+    )
+    unit = F.transform("embedding", lambda x: x.cast("double"))
+    points = seen.where(F.col("embedding").isNotNull()).select(array_to_vector(unit).alias("features"))
+    model = KMeans(k=n_cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(points)
+    return [[float(x) for x in c] for c in model.clusterCenters()]
+
+
+def assign_cells(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """Add `cell int, cell_cos double`: the nearest centroid by cosine. No shuffle."""
+    names = vectors.columns
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centers = np.array(centroids)
+        for batch in batches:
+            stored = as_matrix(batch.column("embedding"), centers.shape[1])
+            scores = score_block(centers, stored, "cosine", digits=None)
+            cell = scores.argmax(axis=0) if len(stored) else np.empty(0, dtype=np.int64)
+            near = scores[cell, np.arange(len(stored))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(near)], names=[*names, "cell", "cell_cos"]
+            )
+
+    added = [T.StructField("cell", T.IntegerType()), T.StructField("cell_cos", T.DoubleType())]
+    schema = T.StructType([*vectors.schema, *added])
+    return vectors.where(F.col("embedding").isNotNull()).mapInArrow(run, schema)
+
+
+def write_cells(assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """Store by cell. Ranges over (cell, id) split a crowded cell over several tasks and files."""
+    ranged = assigned.repartitionByRange("cell", id_col)
+    ranged.write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def describe_cells(assigned: DataFrame, centroids: list[list[float]]) -> Cells:
+    stats = assigned.groupBy("cell").agg(F.min("cell_cos").alias("least"), F.max("cell_cos").alias("most"))
+    rows = collect_bounded(stats, MAX_CELLS)
+    return Cells(centroids, {r["cell"]: (r["least"], r["most"]) for r in rows})
+
+
+def cell_search(
+    assigned: DataFrame,
+    queries: DataFrame,
+    cells: Cells,
+    k: int,
+    *,
+    probes: int = 8,
+    exact: bool = False,
+    id_col: str = "doc_id",
+    slice_rows: int = QUERY_SLICE,
+) -> DataFrame:
+    """Cosine top `k` from the `probes` nearest cells: `(query_id, id, score, rank)`.
+
+    With `exact`, a second pass reads every further cell that by the triangle
+    inequality of angles could still hold a better vector, which makes recall 1.
+    """
+
+    def one_slice(part: DataFrame) -> DataFrame:
+        import numpy as np
+
+        ids, matrix = query_matrix(part, slice_rows, None)
+        if not ids or not cells.spread:
+            return rank_candidates(_scan(assigned, queries, ids, matrix, {}, k, id_col), k, id_col, None)
+        known = np.array(sorted(cells.spread))
+        near = score_block(np.array(cells.centroids)[known], matrix, "cosine", digits=None)
+        order = np.argsort(-near, axis=0, kind="stable")[:probes]
+        first = _by_cell(known, order)
+        found = _scan(assigned, queries, ids, matrix, first, k, id_col)
+        if not exact or probes >= len(known):
+            return rank_candidates(found, k, id_col, None)
+        best = rank_candidates(found, k, id_col, None)
+        # One row per query of the slice at most.
+        kth = {r["query_id"]: r["score"] for r in collect_bounded(
+            best.where(F.col("rank") == k).select("query_id", "score"), slice_rows)}
+        reach = _best_possible(near, known, cells)
+        further: dict[int, list[int]] = {}
+        for q, query_id in enumerate(ids):
+            done = set(order[:, q])
+            for c in range(len(known)):
+                if c not in done and reach[c, q] + SLACK >= kth.get(query_id, -np.inf):
+                    further.setdefault(int(known[c]), []).append(q)
+        if not further:
+            return best
+        for cell, qs in further.items():
+            first.setdefault(cell, []).extend(qs)
+        every = _scan(assigned, queries, ids, matrix, first, k, id_col)
+        return rank_candidates(every, k, id_col, None)
+
+    return in_query_slices(queries, one_slice, slice_rows)
+
+
+def _by_cell(known, order) -> dict[int, list[int]]:
+    wanted: dict[int, list[int]] = {}
+    for place in order:
+        for q, c in enumerate(place):
+            wanted.setdefault(int(known[c]), []).append(q)
+    return wanted
+
+
+def _best_possible(near, known, cells: Cells):
+    """Greatest cosine any member of a cell can have with each query."""
+    import numpy as np
+
+    to_centre = np.arccos(np.clip(near, -1, 1))
+    inner = np.arccos(np.clip([cells.spread[int(c)][1] for c in known], -1, 1))[:, None]
+    outer = np.arccos(np.clip([cells.spread[int(c)][0] for c in known], -1, 1))[:, None]
+    gap = np.maximum(np.maximum(to_centre - outer, inner - to_centre), 0)
+    return np.cos(gap)
+
+
+def _scan(assigned, queries, ids, matrix, wanted: dict[int, list[int]], k, id_col):
+    """Score the wanted cells only; the filter on `cell` prunes partitions of a stored table."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        best, schema = TaskTopK(len(ids), k), None
+        for whole in batches:
+            schema = whole.schema
+            codes = whole.column("cell").to_numpy()
+            for cell in np.unique(codes):
+                rows = whole.filter(pc.equal(whole.column("cell"), int(cell)))
+                asked = np.array(wanted[int(cell)])
+                for start in range(0, rows.num_rows, 2048):
+                    batch = rows.slice(start, 2048)
+                    stored = as_matrix(batch.column("embedding"), matrix.shape[1])
+                    best.offer(None, score_block(matrix[asked], stored, "cosine"), batch.column(id_col), asked)
+        if schema is not None:
+            yield candidate_batch(best, ids, schema, id_col, None)
+
+    rows = assigned.where(F.col("cell").isin(list(wanted))).select(id_col, "embedding", "cell")
+    return rows.mapInArrow(run, candidate_schema(queries, assigned, id_col, None))

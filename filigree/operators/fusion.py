@@ -12,14 +12,19 @@ RRF_K = 60  # Cormack, Clarke and Buettcher, SIGIR 2009
 
 
 def reciprocal_rank_fusion(
-    lists: list[DataFrame], k: int, *, id_col: str = "doc_id", constant: int = RRF_K
+    lists: dict[str, DataFrame], k: int, *, id_col: str = "doc_id", constant: int = RRF_K
 ) -> DataFrame:
-    """Sum `1 / (constant + rank)` over the lists; `(query_id, id, rrf_score, rank)`.
+    """Sum `1 / (constant + rank)` over the named lists.
 
-    The lists are unioned and summed in one aggregation, however many there are.
+    Gives `(query_id, id, rrf_score, <name>_rank..., rank)`. The lists are unioned and
+    summed in one aggregation, however many there are.
     """
-    ranked = reduce(DataFrame.unionByName, [x.select("query_id", id_col, "rank") for x in lists])
+    ranked = reduce(
+        DataFrame.unionByName,
+        [x.select("query_id", id_col, "rank", F.lit(name).alias("_list")) for name, x in lists.items()],
+    )
+    own = [F.max(F.when(F.col("_list") == name, F.col("rank"))).alias(f"{name}_rank") for name in lists]
     fused = ranked.groupBy("query_id", id_col).agg(
-        F.round(F.sum(F.lit(1.0) / (F.lit(constant) + F.col("rank"))), 12).alias("rrf_score")
+        F.round(F.sum(F.lit(1.0) / (F.lit(constant) + F.col("rank"))), 12).alias("rrf_score"), *own
     )
     return top_k(fused, ["query_id"], best_first("rrf_score", id_col), k)

@@ -77,18 +77,18 @@ def lexical_search(
     statistics = corpus if corpus is not None else docs
 
     def one_slice(part: DataFrame) -> DataFrame:
-        wanted = _wanted_terms(part, unicode, slice_rows)
+        wanted = wanted_terms(part, unicode, slice_rows)
         vocabulary = docs.sparkSession.createDataFrame(
             [(t,) for t in [*wanted.terms, ALL]], "term string"
         )
-        # Bounded by MAX_TERMS, which _wanted_terms has checked.
+        # Bounded by MAX_TERMS, which wanted_terms has checked.
         stats = term_statistics(statistics, text_col, unicode).join(F.broadcast(vocabulary), "term", "left_semi")
-        weights = _weights(stats, wanted, scorer)
+        weights = term_weights(stats, wanted, scorer)
         columns = [id_col, tokens(F.col(text_col), unicode).alias("_toks")]
         if facet_col:
             columns.append(facet_col)
         scored = docs.select(*columns).mapInArrow(
-            _bm25_task(wanted, weights, k, id_col, facet_col, scorer),
+            bm25_task(wanted, weights, k, id_col, facet_col, scorer),
             candidate_schema(queries, docs, id_col, facet_col),
         )
         return rank_candidates(scored, k, id_col, facet_col)
@@ -97,14 +97,14 @@ def lexical_search(
 
 
 @dataclass
-class _Wanted:
+class Wanted:
     query_ids: list
     terms: list[str]
     pair_query: list[int]
     pair_term: list[int]
 
 
-def _wanted_terms(part: DataFrame, unicode: bool, max_rows: int) -> _Wanted:
+def wanted_terms(part: DataFrame, unicode: bool, max_rows: int) -> Wanted:
     """The slice's queries as (query, term) pairs; the slice is bounded in rows and terms."""
     rows = collect_bounded(query_terms(part, unicode), max_rows)
     codes: dict[str, int] = {}
@@ -115,56 +115,56 @@ def _wanted_terms(part: DataFrame, unicode: bool, max_rows: int) -> _Wanted:
             pair_term.append(codes.setdefault(term, len(codes)))
     if len(codes) > MAX_TERMS:
         raise ValueError(f"a slice of queries holds more than {MAX_TERMS} terms; use fewer slice_rows")
-    return _Wanted([r["query_id"] for r in rows], list(codes), pair_query, pair_term)
+    return Wanted([r["query_id"] for r in rows], list(codes), pair_query, pair_term)
 
 
 @dataclass
-class _Weights:
+class Weights:
     idf: list[float]
     mean_dl: float
 
 
-def _weights(stats: DataFrame, wanted: _Wanted, scorer: Bm25) -> _Weights:
+def term_weights(stats: DataFrame, wanted: Wanted, scorer: Bm25) -> Weights:
     found = {r["term"]: r for r in collect_bounded(stats, len(wanted.terms) + 1)}
     if ALL not in found:
-        return _Weights([0.0] * len(wanted.terms), 1.0)
+        return Weights([0.0] * len(wanted.terms), 1.0)
     n_docs, total = found[ALL]["df"], found[ALL]["total_dl"]
     idf = [scorer.idf(n_docs, found[t]["df"]) if t in found else 0.0 for t in wanted.terms]
-    return _Weights(idf, (total / n_docs) or 1.0)
+    return Weights(idf, (total / n_docs) or 1.0)
 
 
-def _bm25_task(wanted: _Wanted, weights: _Weights, k: int, id_col: str, facet_col: str | None, scorer: Bm25):
+def bm25_task(
+    wanted: Wanted, weights: Weights, k: int, id_col: str, facet_col: str | None, scorer: Bm25, entries=None
+):
+    """Score document blocks against all queries of the slice and keep the task's best.
+
+    `entries(block, terms)` gives the block's `(document, term, tf)` arrays and its
+    document lengths; by default from a token list per document.
+    """
+    entries = entries or token_entries
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         term_set = pa.array(wanted.terms, pa.string())
         idf = np.array(weights.idf)
         pair_query = np.array(wanted.pair_query, dtype=np.int64)
         pair_term = np.array(wanted.pair_term, dtype=np.int64)
         n_terms, n_queries = len(wanted.terms), len(wanted.query_ids)
-        best = TaskTopK(n_queries, k)
-
-        schema = None
+        best, schema = TaskTopK(n_queries, k), None
         for whole in batches:
             schema = whole.schema
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                toks = batch.column("_toks")
-                dl = pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
-                code = pc.fill_null(pc.index_in(toks.flatten(), value_set=term_set), -1).to_numpy()
-                doc = np.repeat(np.arange(len(dl)), dl)
-                known = code >= 0
-                cell, tf = np.unique(doc[known] * n_terms + code[known], return_counts=True)
-                if not cell.size:
+                doc, term, tf, dl = entries(batch, term_set)
+                if not doc.size:
                     continue
-                doc, term = cell // n_terms, cell % n_terms
                 saturation = tf + scorer.k1 * (1 - scorer.b + scorer.b * dl[doc] / weights.mean_dl)
                 present = np.unique(term)
                 slot = np.full(n_terms, -1)
                 slot[present] = np.arange(present.size)
-                impact = np.zeros((present.size, len(dl)))
+                impact = np.zeros((present.size, batch.num_rows))
                 impact[slot[term], doc] = tf * (scorer.k1 + 1) / saturation
                 asked = np.zeros((n_queries, present.size))
                 used = slot[pair_term] >= 0
@@ -178,3 +178,30 @@ def _bm25_task(wanted: _Wanted, weights: _Weights, k: int, id_col: str, facet_co
             yield candidate_batch(best, wanted.query_ids, schema, id_col, facet_col)
 
     return run
+
+
+def token_entries(batch, term_set):
+    """Count the wanted terms in the token lists of a block."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    toks = batch.column("_toks")
+    dl = pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.fill_null(pc.index_in(toks.flatten(), value_set=term_set), -1).to_numpy()
+    doc = np.repeat(np.arange(len(dl)), dl)
+    known = code >= 0
+    cell, tf = np.unique(doc[known] * max(len(term_set), 1) + code[known], return_counts=True)
+    return cell // max(len(term_set), 1), cell % max(len(term_set), 1), tf, dl
+
+
+def posting_entries(batch, term_set):
+    """The wanted postings gathered per document, `_entries array<struct<term, tf>>`."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lists = batch.column("_entries")
+    found = lists.flatten()
+    doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    term = pc.index_in(found.field("term"), value_set=term_set).to_numpy()
+    tf = found.field("tf").to_numpy(zero_copy_only=False)
+    return doc, term, tf, batch.column("dl").to_numpy(zero_copy_only=False)

@@ -85,7 +85,7 @@ def as_matrix(embedding, dim: int):
     return embedding.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def score_block(queries, stored, metric: str):
+def score_block(queries, stored, metric: str, digits: int | None = SCORE_DIGITS):
     """Scores of all queries against a block of stored vectors, rounded for stable ranks."""
     import numpy as np
 
@@ -96,7 +96,7 @@ def score_block(queries, stored, metric: str):
     elif metric == "l2":
         squares = (queries**2).sum(axis=1)[:, None] + (stored**2).sum(axis=1)[None, :]
         scores = -np.sqrt(np.maximum(squares - 2 * scores, 0))
-    return np.round(scores, SCORE_DIGITS)
+    return scores if digits is None else np.round(scores, digits)
 
 
 def _score_task(query_ids, queries, k, id_col, facet_col, metric):
