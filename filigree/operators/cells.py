@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from filigree.operators.bounded import QUERY_SLICE, collect_bounded, in_query_slices
 from filigree.operators.semantic import as_matrix, query_matrix, score_block
-from filigree.operators.topk import TaskTopK, candidate_batch, candidate_schema, rank_candidates
+from filigree.operators.topk import TaskTopK, candidate_batch, candidate_schema, for_scoring, rank_candidates
 
 MAX_CELLS = 4096
 TRAINING_ROWS_PER_CELL = 256
@@ -170,5 +170,5 @@ def _scan(assigned, queries, ids, matrix, wanted: dict[int, list[int]], k, id_co
         if schema is not None:
             yield candidate_batch(best, ids, schema, id_col, None)
 
-    rows = assigned.where(F.col("cell").isin(list(wanted))).select(id_col, "embedding", "cell")
+    rows = for_scoring(assigned.where(F.col("cell").isin(list(wanted))).select(id_col, "embedding", "cell"))
     return rows.mapInArrow(run, candidate_schema(queries, assigned, id_col, None))

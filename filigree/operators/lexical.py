@@ -14,6 +14,7 @@ from filigree.operators.topk import (
     TaskTopK,
     candidate_batch,
     candidate_schema,
+    for_scoring,
     offer_block,
     rank_candidates,
 )
@@ -87,7 +88,7 @@ def lexical_search(
         columns = [id_col, tokens(F.col(text_col), unicode).alias("_toks")]
         if facet_col:
             columns.append(facet_col)
-        scored = docs.select(*columns).mapInArrow(
+        scored = for_scoring(docs.select(*columns)).mapInArrow(
             bm25_task(wanted, weights, k, id_col, facet_col, scorer),
             candidate_schema(queries, docs, id_col, facet_col),
         )
@@ -148,11 +149,8 @@ def bm25_task(
         import pyarrow as pa
 
         term_set = pa.array(wanted.terms, pa.string())
-        idf = np.array(weights.idf)
-        pair_query = np.array(wanted.pair_query, dtype=np.int64)
-        pair_term = np.array(wanted.pair_term, dtype=np.int64)
-        n_terms, n_queries = len(wanted.terms), len(wanted.query_ids)
-        best, schema = TaskTopK(n_queries, k), None
+        asked = AskedTerms(wanted, np.array(weights.idf))
+        best, schema = TaskTopK(len(wanted.query_ids), k), None
         for whole in batches:
             schema = whole.schema
             for start in range(0, whole.num_rows, 1024):
@@ -161,15 +159,8 @@ def bm25_task(
                 if not doc.size:
                     continue
                 saturation = tf + scorer.k1 * (1 - scorer.b + scorer.b * dl[doc] / weights.mean_dl)
-                present = np.unique(term)
-                slot = np.full(n_terms, -1)
-                slot[present] = np.arange(present.size)
-                impact = np.zeros((present.size, batch.num_rows))
-                impact[slot[term], doc] = tf * (scorer.k1 + 1) / saturation
-                asked = np.zeros((n_queries, present.size))
-                used = slot[pair_term] >= 0
-                asked[pair_query[used], slot[pair_term[used]]] = idf[pair_term[used]]
-                scores = np.round(asked @ impact, SCORE_DIGITS)
+                impact = tf * (scorer.k1 + 1) / saturation
+                scores = np.round(asked.score(doc, term, impact, batch.num_rows), SCORE_DIGITS)
                 scores[scores <= 0] = -np.inf
                 offer_block(best, scores, batch, id_col, facet_col)
                 if best.full():
@@ -180,6 +171,58 @@ def bm25_task(
     return run
 
 
+class AskedTerms:
+    """The queries' weighted terms, as a sparse matrix of queries by terms, sorted by term."""
+
+    EXPANDED = 4_000_000  # products held at once
+
+    def __init__(self, wanted: Wanted, idf):
+        import numpy as np
+
+        term = np.array(wanted.pair_term, dtype=np.int64)
+        order = np.argsort(term, kind="stable")
+        self.query = np.array(wanted.pair_query, dtype=np.int64)[order]
+        self.count = np.bincount(term, minlength=len(wanted.terms))
+        self.start = np.cumsum(self.count) - self.count
+        self.idf, self.n = idf, len(wanted.query_ids)
+
+    def score(self, doc, term, impact, n_docs: int):
+        """Sum of idf times impact per query and document of a block.
+
+        Terms shared by many queries and documents are multiplied as dense rows; the
+        many rare ones are expanded to their few products and added up.
+        """
+        import numpy as np
+
+        value = impact * self.idf[term]
+        products = self.count * np.bincount(term, minlength=self.count.size)
+        dense = np.flatnonzero(products > max(self.n * n_docs // 100, 1))
+        slot = np.full(self.count.size, -1)
+        slot[dense] = np.arange(dense.size)
+        at = slot[term]
+        rows = np.zeros((dense.size, n_docs))
+        rows[at[at >= 0], doc[at >= 0]] = value[at >= 0]
+        asks = np.zeros((self.n, dense.size))
+        for j, t in enumerate(dense):
+            asks[self.query[self.start[t] : self.start[t] + self.count[t]], j] = 1.0
+        scores = asks @ rows
+        doc, term, value = doc[at < 0], term[at < 0], value[at < 0]
+        ends = np.cumsum(self.count[term])
+        first = 0
+        while first < term.size:
+            done = ends[first - 1] if first else 0
+            last = max(int(np.searchsorted(ends, done + self.EXPANDED, side="right")), first + 1)
+            here = slice(first, last)
+            times = self.count[term[here]]
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            query = self.query[np.repeat(self.start[term[here]], times) + step]
+            cell = query * n_docs + np.repeat(doc[here], times)
+            added = np.bincount(cell, np.repeat(value[here], times), self.n * n_docs)
+            scores += added.reshape(self.n, n_docs)
+            first = last
+        return scores
+
+
 def token_entries(batch, term_set):
     """Count the wanted terms in the token lists of a block."""
     import numpy as np

@@ -10,6 +10,7 @@ from filigree.operators.topk import (
     TaskTopK,
     candidate_batch,
     candidate_schema,
+    for_scoring,
     offer_block,
     rank_candidates,
 )
@@ -54,7 +55,8 @@ def semantic_search(
     def one_slice(part: DataFrame) -> DataFrame:
         ids, matrix = query_matrix(part, slice_rows, dim)
         columns = [id_col, "embedding", *([facet_col] if facet_col else [])]
-        scored = vectors.where(F.col("embedding").isNotNull()).select(*columns).mapInArrow(
+        rows = for_scoring(vectors.where(F.col("embedding").isNotNull()).select(*columns))
+        scored = rows.mapInArrow(
             _score_task(ids, matrix, k, id_col, facet_col, metric),
             candidate_schema(queries, vectors, id_col, facet_col),
         )

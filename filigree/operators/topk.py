@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCORE_DIGITS = 6
+SCORING_TASKS = 8192
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -65,6 +66,16 @@ class TaskTopK:
         self.facets = {}
 
 
+def for_scoring(rows: DataFrame) -> DataFrame:
+    """At most a few tasks per core, and never fewer than thousands where there are more.
+
+    Each task emits up to k rows per query, so the tasks, not the rows, set the size of
+    the shuffle that follows. Merging splits moves no data.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(SCORING_TASKS, 4 * cores))
+
+
 def rank_candidates(scored: DataFrame, k: int, id_col: str, facet_col: str | None) -> DataFrame:
     keys = ["query_id", facet_col] if facet_col else ["query_id"]
     return top_k(scored, keys, best_first("score", id_col), k)

@@ -312,70 +312,69 @@ def search_insufficient_evidence(spark, sf):
 
 # ---- grounding ------------------------------------------------------------------
 
-CITATION_FLOOR = 40.0
+CITATION_FLOOR = 200.0
 
 
-def _passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as passages; only a labelled one has a section to show."""
-    docs = tables.documents(spark, sf, "doc_id", "text", "lang", "source")
-    labels = tables.table(spark, sf, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id", "left").select(
-        "doc_id",
-        F.col("source").alias("company"),
-        F.col("lang").alias("filing_type"),
-        F.lit("2024-01-01").alias("filing_date"),
-        F.lit(None).cast("int").alias("page"),
-        F.concat(F.lit("quality "), "quality").alias("section"),
-        excerpt(F.col("text")).alias("excerpt"),
-    )
-
-
-def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    return domain.question_turns(spark, sf).withColumn("insufficient", F.char_length("answer") < 60)
-
+class _Evidence:
+    """Each turn's retrieved passages and what its answer cites.
 
-def _matches(spark: SparkSession, sf: str, text: str, depth: int) -> DataFrame:
-    asked = domain.question_turns(spark, sf).select(F.col("turn_id").alias("query_id"), F.col(text).alias("text"))
-    docs = tables.documents(spark, sf, "doc_id", "text")
-    return lexical_search(docs, asked, depth).withColumnRenamed("query_id", "turn_id")
+    Retrieved are the ten best documents for the question. Cited are those of the
+    answer's twenty closest documents that were retrieved, and its closest one in any
+    case when the match is very strong. Only a labelled document has a section to show.
+    """
 
+    def __init__(self, spark: SparkSession, sf: str):
+        self.turns = domain.question_turns(spark, sf).withColumn("insufficient", F.char_length("answer") < 60)
+        docs = tables.documents(spark, sf, "doc_id", "text")
 
-def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
-    """Each turn's ten best documents for its question, with display metadata."""
-    hits = _matches(spark, sf, "question", 10).select("turn_id", "doc_id")
-    bound = 10 * tables.table(spark, sf, "conversations").count()
-    return attach(hits, _passages(spark, sf), "doc_id", bound)
+        def matches(text: str, depth: int) -> DataFrame:
+            asked = self.turns.select(F.col("turn_id").alias("query_id"), F.col(text).alias("text"))
+            return lexical_search(docs, asked, depth).withColumnRenamed("query_id", "turn_id")
 
+        self.hits = matches("question", 10).select("turn_id", "doc_id")
+        close = matches("answer", 20).join(self.hits.withColumn("_asked", F.lit(True)), ["turn_id", "doc_id"], "left")
+        strong = (F.col("rank") == 1) & (F.col("score") >= CITATION_FLOOR)
+        self.citations = close.where(F.col("_asked") | strong).select("turn_id", "doc_id")
+        labels = tables.table(spark, sf, "labels").select("doc_id", "quality")
+        shown = tables.table(spark, sf, "documents").join(labels, "doc_id", "left").select(
+            "doc_id",
+            F.col("source").alias("company"),
+            F.col("lang").alias("filing_type"),
+            F.lit("2024-01-01").alias("filing_date"),
+            F.lit(None).cast("int").alias("page"),
+            F.concat(F.lit("quality "), "quality").alias("section"),
+            excerpt(F.col("text")).alias("excerpt"),
+        )
+        bound = 10 * tables.table(spark, sf, "conversations").count()
+        self.retrieved = attach(self.hits, shown, "doc_id", bound)
 
-def _citations(spark: SparkSession, sf: str) -> DataFrame:
-    """What an answer cites: up to three documents that its own words match closely."""
-    close = _matches(spark, sf, "answer", 3).where(F.col("score") >= CITATION_FLOOR)
-    return close.select("turn_id", "doc_id")
+    def status(self) -> DataFrame:
+        return grounding.grounding_status(self.turns, self.citations, self.retrieved, "doc_id")
 
 
 @register
 def citations_unretrieved(spark, sf):
-    hits = _matches(spark, sf, "question", 10).select("turn_id", "doc_id")
-    return grounding.unretrieved_citations(_citations(spark, sf), hits, "doc_id").select("turn_id", "doc_id")
+    e = _Evidence(spark, sf)
+    return grounding.unretrieved_citations(e.citations, e.hits, "doc_id").select("turn_id", "doc_id")
 
 
 @register
 def citations_missing(spark, sf):
     """Turns without any citation."""
-    return _turns(spark, sf).join(_citations(spark, sf), "turn_id", "left_anti").select("turn_id", "insufficient")
+    e = _Evidence(spark, sf)
+    return e.turns.join(e.citations, "turn_id", "left_anti").select("turn_id", "insufficient")
 
 
 @register
 def grounding_status(spark, sf):
-    return grounding.grounding_status(_turns(spark, sf), _citations(spark, sf), _retrieved(spark, sf), "doc_id")
+    return _Evidence(spark, sf).status()
 
 
 @register
 def citations_for_display(spark, sf):
     """Cited passages of answers that passed, with their metadata."""
-    cited, found = _citations(spark, sf), _retrieved(spark, sf)
-    status = grounding.grounding_status(_turns(spark, sf), cited, found, "doc_id")
-    answers = grounding.grounded_answers(status, cited, found, "doc_id")
+    e = _Evidence(spark, sf)
+    answers = grounding.grounded_answers(e.status(), e.citations, e.retrieved, "doc_id")
     return answers.select("turn_id", F.inline("cited_passages")).drop("page")
 
 
@@ -461,16 +460,15 @@ def turn_usage(spark, sf):
 
 
 def _persisted(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    cited = _citations(spark, sf)
-    status = grounding.grounding_status(_turns(spark, sf), cited, _retrieved(spark, sf), "doc_id")
+    e = _Evidence(spark, sf)
     log = domain.message_log(spark, sf).where(F.col("role") == "user")
     owners = log.select(F.col("message_id").alias("turn_id"), "thread_id", F.col("user_id").cast("string"), "ordinal")
-    turns = _turns(spark, sf).join(owners, "turn_id").select(
+    turns = e.turns.join(owners, "turn_id").select(
         "*",
         F.size(tokens(F.col("question"))).alias("input_tokens"),
         F.size(tokens(F.col("answer"))).alias("output_tokens"),
     )
-    return turn_outputs(turns, status, cited.withColumnRenamed("doc_id", "chunk_id"))
+    return turn_outputs(turns, e.status(), e.citations.withColumnRenamed("doc_id", "chunk_id"))
 
 
 # ---- streaming ------------------------------------------------------------------

@@ -306,8 +306,10 @@ turns AS (
 questions AS (SELECT turn_id AS query_id, question AS text FROM turns),
 answers AS (SELECT turn_id AS query_id, answer AS text FROM turns)"""
 
-CITED = f"""{TURNS}, {_bm25('ret', 'documents', 'questions', 10)}, {_bm25('ans', 'documents', 'answers', 3)},
-cited AS (SELECT query_id AS turn_id, doc_id FROM ans WHERE score >= {CITATION_FLOOR})"""
+CITED = f"""{TURNS}, {_bm25('ret', 'documents', 'questions', 10)}, {_bm25('ans', 'documents', 'answers', 20)},
+cited AS (
+  SELECT a.query_id AS turn_id, a.doc_id FROM ans a LEFT JOIN ret r ON r.query_id = a.query_id AND r.doc_id = a.doc_id
+  WHERE r.doc_id IS NOT NULL OR (a.rank = 1 AND a.score >= {CITATION_FLOOR}))"""
 
 STATUS = f"""{CITED},
 checked AS (
