@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filigree.session import shared_dir
 
 BROADCAST_ROWS = 200_000
-QUERY_SLICE = 2048
+QUERY_SLICE = 8192
 UNION_SLICES = 8
 
 
@@ -24,6 +24,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Give every core work when a scan has fewer splits than there are cores.
+
+    Only inputs of a few splits are shuffled; a large table is returned as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> list[Row]:
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:

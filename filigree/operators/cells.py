@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from filigree.operators.bounded import QUERY_SLICE, collect_bounded, in_query_slices
 from filigree.operators.semantic import as_matrix, query_matrix, score_block
-from filigree.operators.topk import TaskTopK, candidate_batch, candidate_schema, for_scoring, rank_candidates
+from filigree.operators.topk import TaskTopK, blocks, candidate_batch, candidate_schema, for_scoring, rank_candidates
 
 MAX_CELLS = 4096
 TRAINING_ROWS_PER_CELL = 256
@@ -100,7 +100,7 @@ def cell_search(
         import numpy as np
 
         ids, matrix = query_matrix(part, slice_rows, None)
-        if not ids or not cells.spread:
+        if not len(ids) or not cells.spread:
             return rank_candidates(_scan(assigned, queries, ids, matrix, {}, k, id_col), k, id_col, None)
         known = np.array(sorted(cells.spread))
         near = score_block(np.array(cells.centroids)[known], matrix, "cosine", digits=None)
@@ -115,7 +115,7 @@ def cell_search(
             best.where(F.col("rank") == k).select("query_id", "score"), slice_rows)}
         reach = _best_possible(near, known, cells)
         further: dict[int, list[int]] = {}
-        for q, query_id in enumerate(ids):
+        for q, query_id in enumerate(ids.to_pylist()):
             done = set(order[:, q])
             for c in range(len(known)):
                 if c not in done and reach[c, q] + SLACK >= kth.get(query_id, -np.inf):
@@ -163,8 +163,7 @@ def _scan(assigned, queries, ids, matrix, wanted: dict[int, list[int]], k, id_co
             for cell in np.unique(codes):
                 rows = whole.filter(pc.equal(whole.column("cell"), int(cell)))
                 asked = np.array(wanted[int(cell)])
-                for start in range(0, rows.num_rows, 2048):
-                    batch = rows.slice(start, 2048)
+                for batch in blocks(rows, len(asked)):
                     stored = as_matrix(batch.column("embedding"), matrix.shape[1])
                     best.offer(None, score_block(matrix[asked], stored, "cosine"), batch.column(id_col), asked)
         if schema is not None:

@@ -12,11 +12,13 @@ from filigree.operators.bounded import QUERY_SLICE, collect_bounded, in_query_sl
 from filigree.operators.topk import (
     SCORE_DIGITS,
     TaskTopK,
+    blocks,
     candidate_batch,
     candidate_schema,
     for_scoring,
     offer_block,
     rank_candidates,
+    typed_ids,
 )
 
 ALL = ""  # statistics row that stands for every document; no term is empty
@@ -99,7 +101,7 @@ def lexical_search(
 
 @dataclass
 class Wanted:
-    query_ids: list
+    query_ids: object  # Arrow array
     terms: list[str]
     pair_query: list[int]
     pair_term: list[int]
@@ -116,7 +118,7 @@ def wanted_terms(part: DataFrame, unicode: bool, max_rows: int) -> Wanted:
             pair_term.append(codes.setdefault(term, len(codes)))
     if len(codes) > MAX_TERMS:
         raise ValueError(f"a slice of queries holds more than {MAX_TERMS} terms; use fewer slice_rows")
-    return Wanted([r["query_id"] for r in rows], list(codes), pair_query, pair_term)
+    return Wanted(typed_ids(rows, part), list(codes), pair_query, pair_term)
 
 
 @dataclass
@@ -153,8 +155,7 @@ def bm25_task(
         best, schema = TaskTopK(len(wanted.query_ids), k), None
         for whole in batches:
             schema = whole.schema
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            for batch in blocks(whole, len(wanted.query_ids)):
                 doc, term, tf, dl = entries(batch, term_set)
                 if not doc.size:
                     continue

@@ -8,11 +8,13 @@ from filigree.operators.bounded import QUERY_SLICE, collect_bounded, in_query_sl
 from filigree.operators.topk import (
     SCORE_DIGITS,
     TaskTopK,
+    blocks,
     candidate_batch,
     candidate_schema,
     for_scoring,
     offer_block,
     rank_candidates,
+    typed_ids,
 )
 
 METRICS = ("cosine", "inner_product", "l2")
@@ -73,7 +75,7 @@ def query_matrix(part: DataFrame, max_rows: int, dim: int | None):
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     if rows and (matrix.ndim != 2 or (dim is not None and matrix.shape[1] != dim)):
         raise ValueError(f"query vectors must all have dimension {dim or 'd'}")
-    return [r["query_id"] for r in rows], matrix.reshape(len(rows), -1)
+    return typed_ids(rows, part), matrix.reshape(len(rows), -1)
 
 
 def as_matrix(embedding, dim: int):
@@ -106,10 +108,9 @@ def _score_task(query_ids, queries, k, id_col, facet_col, metric):
         best, schema = TaskTopK(len(query_ids), k), None
         for whole in batches:
             schema = whole.schema
-            if not query_ids:
+            if not len(query_ids):
                 continue
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for batch in blocks(whole, len(query_ids)):
                 stored = as_matrix(batch.column("embedding"), queries.shape[1])
                 offer_block(best, score_block(queries, stored, metric), batch, id_col, facet_col)
                 if best.full():

@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SCORE_DIGITS = 6
 SCORING_TASKS = 8192
+SCORE_CELLS = 4_000_000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -89,6 +91,13 @@ def candidate_schema(queries: DataFrame, docs: DataFrame, id_col: str, facet_col
     return T.StructType(fields)
 
 
+def blocks(batch, n_queries: int):
+    """Cut a batch so that a block of scores stays at a few million cells."""
+    rows = min(max(SCORE_CELLS // max(n_queries, 1), 64), 2048)
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def facet_groups(batch, facet_col: str | None):
     """`(facet value, row positions)` of a batch; one group without a facet."""
     import numpy as np
@@ -102,12 +111,19 @@ def facet_groups(batch, facet_col: str | None):
         yield (groups.dictionary[int(code)].as_py() if code >= 0 else None), np.flatnonzero(codes == code)
 
 
-def candidate_batch(best: TaskTopK, query_ids: list, schema, id_col: str, facet_col: str | None):
+def typed_ids(rows: list, queries: DataFrame):
+    """Query ids of collected rows as an Arrow array of the column's type."""
+    import pyarrow as pa
+
+    return pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
+
+
+def candidate_batch(best: TaskTopK, query_ids, schema, id_col: str, facet_col: str | None):
     """The task's candidates as one Arrow batch."""
     import pyarrow as pa
 
     rows = list(best.drain())
-    columns = {"query_id": [query_ids[q] for _, q, _, _ in rows]}
+    columns = {"query_id": query_ids.take(pa.array([r[1] for r in rows], pa.int64()))}
     if facet_col:
         columns[facet_col] = pa.array([r[0] for r in rows], schema.field(facet_col).type)
     columns[id_col] = pa.array([r[2] for r in rows], schema.field(id_col).type)

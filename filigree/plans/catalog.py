@@ -30,7 +30,7 @@ from filigree.operators.retrieval import (
 )
 from filigree.operators.semantic import semantic_search
 from filigree.plans.index import build_index, search_index
-from filigree.session import shared_dir
+from filigree.session import shared_dir, stored
 from filigree.sinks.turns import turn_outputs
 from filigree.sources import domain, tables
 from filigree.streaming.ingest import ingest_available, stored_chunks
@@ -251,9 +251,9 @@ def _cells(spark: SparkSession, sf: str, **options) -> DataFrame:
     centroids = cell_ops.train_centroids(vectors, 16)
     path = shared_dir(spark, "cells")
     cell_ops.write_cells(cell_ops.assign_cells(vectors, centroids), path)
-    stored = spark.read.parquet(path)
-    found = cell_ops.describe_cells(stored, centroids)
-    return cell_ops.cell_search(stored, tables.query_vectors(spark, sf), found, 10, **options)
+    laid = spark.read.parquet(path)
+    found = cell_ops.describe_cells(laid, centroids)
+    return cell_ops.cell_search(laid, tables.query_vectors(spark, sf), found, 10, **options)
 
 
 @register
@@ -327,12 +327,18 @@ class _Evidence:
         self.turns = domain.question_turns(spark, sf).withColumn("insufficient", F.char_length("answer") < 60)
         docs = tables.documents(spark, sf, "doc_id", "text")
 
-        def matches(text: str, depth: int) -> DataFrame:
-            asked = self.turns.select(F.col("turn_id").alias("query_id"), F.col(text).alias("text"))
-            return lexical_search(docs, asked, depth).withColumnRenamed("query_id", "turn_id")
-
-        self.hits = matches("question", 10).select("turn_id", "doc_id")
-        close = matches("answer", 20).join(self.hits.withColumn("_asked", F.lit(True)), ["turn_id", "doc_id"], "left")
+        said = F.array(
+            F.struct(F.lit("question").alias("side"), F.col("question").alias("text")),
+            F.struct(F.lit("answer").alias("side"), F.col("answer").alias("text")),
+        )
+        asked = self.turns.select("turn_id", F.inline(said))
+        # Both sides in one search: the texts are read once for the two.
+        found = lexical_search(docs, asked.select(F.concat_ws(":", "side", "turn_id").alias("query_id"), "text"), 20)
+        names = F.split("query_id", ":")
+        found = stored(found, "turn-hits")
+        found = found.select(names[0].alias("side"), names[1].alias("turn_id"), "doc_id", "score", "rank")
+        self.hits = found.where((F.col("side") == "question") & (F.col("rank") <= 10)).select("turn_id", "doc_id")
+        close = found.where(F.col("side") == "answer").drop("side").join(self.hits.withColumn("_asked", F.lit(True)), ["turn_id", "doc_id"], "left")
         strong = (F.col("rank") == 1) & (F.col("score") >= CITATION_FLOOR)
         self.citations = close.where(F.col("_asked") | strong).select("turn_id", "doc_id")
         labels = tables.table(spark, sf, "labels").select("doc_id", "quality")

@@ -1,6 +1,8 @@
 """A stored inverted index: built once, then read only where a query's terms are."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from filigree.operators.lexical import (
 from filigree.operators.topk import candidate_schema, rank_candidates
 
 BUCKETS = 64
+DOCS_PER_SLICE = 8_000_000
 
 
 def term_bucket(term: str = "term", buckets: int = BUCKETS):
@@ -34,24 +37,26 @@ def build_index(
 ) -> None:
     """Write `<path>/postings` by term bucket and `<path>/terms`.
 
-    Ranges over (bucket, term, id) keep a term together and cut a very frequent one into
-    several files; within a file rows are sorted, so Parquet statistics find a term.
+    A bucket is cut into slices by document, as many as the corpus needs, so a term that
+    all documents share is spread over tasks and files. Within a file rows are sorted,
+    so Parquet statistics find a term.
     """
     spark = docs.sparkSession
+    n_docs = docs.count()
+    slices = math.ceil(n_docs / DOCS_PER_SLICE) or 1
     rows = postings(docs, id_col, text_col, unicode).withColumn("bucket", term_bucket(buckets=buckets))
-    ranged = rows.repartitionByRange("bucket", "term", id_col).sortWithinPartitions("bucket", "term", id_col)
-    ranged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spot = F.pmod(F.xxhash64(id_col), F.lit(slices))
+    laid = rows.repartition(buckets * slices, "bucket", spot).sortWithinPartitions("bucket", "term", id_col)
+    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
     terms = stored.groupBy("bucket", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("total_dl")
     )
     everything = stored.agg(F.sum("tf").cast("bigint").alias("total_dl")).select(
-        F.lit(-1).alias("bucket"), F.lit(ALL).alias("term"), F.lit(docs.count()).alias("df"),
+        F.lit(-1).alias("bucket"), F.lit(ALL).alias("term"), F.lit(n_docs).alias("df"),
         F.coalesce("total_dl", F.lit(0)).alias("total_dl"),
     )
-    terms.unionByName(everything).repartitionByRange("bucket", "term").sortWithinPartitions(
-        "bucket", "term"
-    ).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    terms.unionByName(everything).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
 def search_index(

@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "filigree", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +39,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = os.path.join(tempfile.gettempdir(), "filigree-shared")
     return f"{root.rstrip('/')}/filigree/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a costly result that several branches read, and read it back.
+
+    Meant for small results of large scans, such as search hits. The table is in the
+    shared folder, so losing executors does not repeat the scan.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,20 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.operators.bounded import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give every core work when a scan has fewer splits than there are cores.
-
-    Only inputs of a few files are shuffled; a large table is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return spread(docs.select(*columns) if columns else docs, "doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.operators.bounded import spread
 from filigree.operators.chunking import CHUNK_STRIDE, CHUNK_TOKENS, chunk_documents
 from filigree.operators.lexical import postings
 
@@ -25,10 +26,10 @@ def ingest_available(
     """
 
     def store(rows: DataFrame, batch: int) -> None:
-        chunks = chunk_documents(rows, id_col=id_col, text_col=text_col, size=size, stride=stride)
+        chunks = chunk_documents(spread(rows, id_col), id_col=id_col, text_col=text_col, size=size, stride=stride)
         _replace(chunks, f"{path}/chunks", batch)
         stored = rows.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks/batch={batch}")
-        _replace(postings(stored, "chunk_id"), f"{path}/postings", batch)
+        _replace(postings(spread(stored, "chunk_id"), "chunk_id"), f"{path}/postings", batch)
 
     query = (
         arriving.writeStream.foreachBatch(store)
