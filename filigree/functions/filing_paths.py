@@ -18,10 +18,12 @@ def suffix(name: Column) -> Column:
     return F.regexp_extract(name, r"^(?:.*/)?[^/]+?(\.[^./]+)$", 1)
 
 
-def source_url(cik: Column, accession_number: Column, primary_document: Column) -> Column:
+def source_url(
+    cik: Column, accession_number: Column, primary_document: Column, base: str = ARCHIVE_URL
+) -> Column:
     number = cik.cast("bigint").cast("string")
     return F.concat_ws(
-        "/", F.lit(ARCHIVE_URL), number, F.replace(accession_number, F.lit("-"), F.lit("")), primary_document
+        "/", F.lit(base), number, F.replace(accession_number, F.lit("-"), F.lit("")), primary_document
     )
 
 

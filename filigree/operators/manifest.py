@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.functions.filing_paths import local_path, source_url
+from filigree.functions.filing_paths import ARCHIVE_URL, local_path, source_url
 from filigree.operators.bounded import fits
 from filigree.schemas import MANIFEST_COLUMNS
 from filigree.sources.parameters import Selection
@@ -15,9 +15,9 @@ SOURCE_NAME = "SEC EDGAR"
 DOCUMENT_ROWS = 100_000
 
 
-def manifest_rows(selected: DataFrame, order: list[str]) -> DataFrame:
+def manifest_rows(selected: DataFrame, order: list[str], archive_url: str = ARCHIVE_URL) -> DataFrame:
     """The nine manifest columns plus the columns that order them."""
-    url = source_url(F.col("cik"), F.col("accession_number"), F.col("primary_document"))
+    url = source_url(F.col("cik"), F.col("accession_number"), F.col("primary_document"), archive_url)
     path = local_path(*[F.col(c) for c in
                         ("year", "ticker", "form", "filing_date", "accession_number", "primary_document")])
     rows = selected.withColumn("source_url", url).withColumn("local_path", path)

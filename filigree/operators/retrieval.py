@@ -56,8 +56,8 @@ def search_filings(
 ) -> DataFrame:
     """The bounded search tool: hybrid hits with their metadata and an excerpt."""
     hits = hybrid_search(docs, vectors, queries, query_vectors, k, where=where, id_col=id_col, text_col=text_col)
-    shown = docs.select(id_col, *metadata, excerpt(F.col(text_col)).alias("excerpt"))
-    return attach(hits, shown, id_col, k * queries.count())
+    shown = attach(hits, docs.select(id_col, text_col, *metadata), id_col, k * queries.count())
+    return shown.withColumn("excerpt", excerpt(F.col(text_col))).drop(text_col)
 
 
 def evidence_status(

@@ -349,10 +349,11 @@ class _Evidence:
             F.lit("2024-01-01").alias("filing_date"),
             F.lit(None).cast("int").alias("page"),
             F.concat(F.lit("quality "), "quality").alias("section"),
-            excerpt(F.col("text")).alias("excerpt"),
+            "text",
         )
         bound = 10 * tables.table(spark, sf, "conversations").count()
-        self.retrieved = attach(self.hits, shown, "doc_id", bound)
+        found = attach(self.hits, shown, "doc_id", bound)
+        self.retrieved = found.withColumn("excerpt", excerpt(F.col("text"))).drop("text")
 
     def status(self) -> DataFrame:
         return grounding.grounding_status(self.turns, self.citations, self.retrieved, "doc_id")

@@ -61,3 +61,11 @@ def write_manifest(rows: DataFrame, order: list[str], path: str, selection: Sele
     else:
         rows.orderBy(*order).select(*MANIFEST_COLUMNS).write.mode("overwrite").json(path)
     return rows
+
+
+def clear_folder(base_uri: str) -> None:
+    """Empty the target of a run, as an overwriting table write does."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(base_uri)
+    store.delete_dir_contents(root, missing_dir_ok=True)

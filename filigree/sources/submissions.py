@@ -13,6 +13,12 @@ def read_pages(spark: SparkSession, directory: str) -> DataFrame:
     return pages.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"), "*")
 
 
+def parse_pages(fetched: DataFrame) -> DataFrame:
+    """The relation of `read_pages` from fetched `(file_name, json)`."""
+    page = F.from_json("json", SUBMISSION_PAGE, {"mode": "FAILFAST"})
+    return fetched.select("file_name", page.alias("p")).select("file_name", "p.*")
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """`(cik, page_ord, block)`: the primary page's recent filings, then each listed page.
 

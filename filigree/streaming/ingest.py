@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.operators.bounded import spread
+from filigree.operators.bounded import broadcast_if_small, spread
 from filigree.operators.chunking import CHUNK_STRIDE, CHUNK_TOKENS, chunk_documents
 from filigree.operators.lexical import postings
 
@@ -47,6 +47,8 @@ def _replace(rows: DataFrame, path: str, batch: int) -> None:
 def stored_chunks(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """All ingested chunks; a document that arrived again counts as its newest version."""
     chunks = spark.read.parquet(f"{path}/chunks")
-    newest = chunks.groupBy(F.col(id_col).alias("_id")).agg(F.max("batch").alias("_newest"))
-    current = chunks.join(newest, (chunks[id_col] == F.col("_id")) & (chunks["batch"] == F.col("_newest")), "left_semi")
-    return current.drop("batch")
+    batches = chunks.groupBy(F.col(id_col).alias("_id")).agg(F.max("batch").alias("_newest"), F.min("batch").alias("_oldest"))
+    # Only documents that came more than once have chunks to leave out.
+    again = broadcast_if_small(batches.where(F.col("_newest") > F.col("_oldest")))
+    stale = (chunks[id_col] == F.col("_id")) & (chunks["batch"] < F.col("_newest"))
+    return chunks.join(again, stale, "left_anti").drop("batch")

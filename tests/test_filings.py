@@ -6,6 +6,7 @@ import pytest
 from filigree.functions.filing_paths import suffix
 from filigree.operators.filings import extract_filings, select_filings
 from filigree.operators.manifest import manifest_document, manifest_rows
+from filigree.plans.download import download_filings
 from filigree.sinks.files import write_manifest
 from filigree.sources.parameters import Selection, tickers
 from filigree.sources.submissions import page_blocks, read_pages
@@ -163,3 +164,28 @@ def test_suffix(spark):
 
 def test_year_window_excludes_the_current_year():
     assert SELECTION.years() == ["2021", "2022", "2023", "2024", "2025"]
+
+
+def test_whole_run_from_a_file_site(spark, tmp_path):
+    site = tmp_path / "site"
+    site.mkdir()
+    land(site, PAGES)
+    for _, accession, path in EXPECTED:
+        cik = int(accession[:10])
+        names = {a: d for p in PAGES.values() for b in [p.get("filings", {}).get("recent", p)]
+                 for a, d in zip(b["accessionNumber"], b["primaryDocument"])}
+        folder = tmp_path / "archive" / str(cik) / accession.replace("-", "")
+        folder.mkdir(parents=True)
+        (folder / names[accession]).write_text(f"<p>{accession}")
+    out = tmp_path / "out"
+    (out / "2020").mkdir(parents=True)
+    (out / "2020" / "old.htm").write_text("old")
+    rows = download_filings(
+        spark, out.as_uri(), "tests t@example.com", names=("T1", "T2", "T3"), ciks=CIKS, selection=SELECTION, pause=0,
+        submissions_url=site.as_uri(), archive_url=(tmp_path / "archive").as_uri(),
+    )
+    assert rows.count() == 8
+    assert {str(p.relative_to(out)) for p in out.glob("2*/*")} == {e[2] for e in EXPECTED}
+    assert (out / EXPECTED[2][2]).read_text() == f"<p>{EXPECTED[2][1]}"
+    text = "".join(p.read_text() for p in (out / "manifest").glob("part-*"))
+    assert json.loads(text)["downloaded_count"] == 8

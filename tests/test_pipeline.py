@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from filigree.functions.embedding import HashingEmbedder
 from filigree.operators.semantic import semantic_search
 from filigree.plans.ingest import source_documents, store_corpus
+from filigree.plans.search import CorpusTools
 from filigree.schemas import DOCUMENT_CHUNKS, SOURCE_DOCUMENTS
 from filigree.sinks.files import export_raw_files, write_raw_table
 from filigree.sources.raw_files import fetch, fetch_json, read_raw_files, stream_raw_files
@@ -67,6 +68,16 @@ def test_raw_html_to_searchable_chunks(spark, landed, tmp_path):
         assert markdown[span["start"] : span["end"]] == r["text"]
         assert r["metadata"]["company"] == "Acme" and r["metadata"]["year"] == 2024
         assert len(r["embedding"]) == 64
+    tools = CorpusTools(spark, str(tmp_path / "corpus"), embedder)
+    query = spark.createDataFrame([(1, "supply chain risk")], "query_id int, text string")
+    hits = tools.search_filings(query, 3, where=tools.restrict(["T1"], [2024], ["10-K"])).orderBy("rank").collect()
+    assert hits[0]["chunk_id"] == "acc-1-1" and hits[0]["section"] == "Risk Factors"
+    assert tools.search_filings(query, 3, where=tools.restrict(years=[2020])).count() == 0
+    even = tools.search_filings(query, 3, balance="ticker").orderBy("rank").collect()
+    assert [h["chunk_id"] for h in even] == [h["chunk_id"] for h in hits]
+    assert tools.read_chunk("acc-1-2").collect()[0]["section"] == "MD&A"
+    near = spark.createDataFrame([(1, "acc-1", 1)], "query_id int, document_id string, chunk_index int")
+    assert {r["chunk_id"] for r in tools.read_surrounding_chunks(near).collect()} == {"acc-1-0", "acc-1-1", "acc-1-2"}
     asked = [float(x) for x in embedder.embed(["supply chain risk"])[0]]
     queries = spark.createDataFrame([(1, asked)], "query_id int, embedding array<float>")
     best = semantic_search(chunks, queries, 1, id_col="chunk_id", dim=64).collect()
