@@ -17,30 +17,3 @@ def tokens(text: Column, unicode: bool = False) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body` as a bound variable."""
     return F.transform(F.array(value), body)[0]
-
-
-def term_counts(toks: Column) -> Column:
-    """One `(term, tf)` struct per distinct term of a token array.
-
-    The array is sorted within its row and cut into runs of equal terms, so counting
-    needs neither an explode nor a shuffle.
-    """
-
-    def runs(terms: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(terms) - 1),
-            lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)),
-        )
-        return let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda begin, n: F.struct(
-                    F.get(terms, begin).alias("term"),
-                    (F.coalesce(F.get(s, n + 1), F.size(terms)) - begin).alias("tf"),
-                ),
-            ),
-        )
-
-    nothing = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(F.size(toks) > 0, let(F.array_sort(toks), runs)).otherwise(nothing)

@@ -11,6 +11,7 @@ from filigree.operators.lexical import (
     ALL,
     Bm25,
     bm25_task,
+    documents_of,
     posting_entries,
     postings,
     term_weights,
@@ -81,7 +82,7 @@ def search_index(
 
     def one_slice(part: DataFrame) -> DataFrame:
         wanted = wanted_terms(part, unicode, slice_rows)
-        asked = spark.createDataFrame([(t,) for t in wanted.terms], "term string")
+        asked = spark.createDataFrame(list(enumerate(wanted.terms)), "code int, term string")
         asked = asked.withColumn("bucket", term_bucket(buckets=buckets))
         used = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # at most `buckets`
         # wanted_terms has bounded the vocabulary.
@@ -90,12 +91,12 @@ def search_index(
             terms.where(F.col("bucket") == -1)
         )
         weights = term_weights(stats, wanted, scorer)
-        hits = stored.where(F.col("bucket").isin(used)).join(mine, "term", "left_semi")
-        # One document holds each wanted term once, so a group is no longer than the vocabulary.
-        gathered = hits.groupBy(id_col, "dl").agg(F.collect_list(F.struct("term", "tf")).alias("_entries"))
-        scored = gathered.mapInArrow(
-            bm25_task(wanted, weights, k, id_col, None, scorer, posting_entries),
-            candidate_schema(queries, stored, id_col, None),
+        hits = stored.where(F.col("bucket").isin(used)).join(mine, "term")
+        # A document has each wanted term once, so its rows are no more than the vocabulary.
+        together = hits.select(id_col, "dl", "code", "tf").repartition(id_col).sortWithinPartitions(id_col)
+        score = bm25_task(wanted, weights, k, id_col, None, scorer, posting_entries)
+        scored = together.mapInArrow(
+            lambda batches: score(documents_of(batches, id_col)), candidate_schema(queries, stored, id_col, None)
         )
         return rank_candidates(scored, k, id_col, None)
 

@@ -3,8 +3,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from filigree.functions.html import markdown, sections, title, unescape
-from filigree.functions.text import term_counts, tokens
+from filigree.functions.text import tokens
 from filigree.operators.chunking import chunk_documents, chunk_sections
+from filigree.operators.lexical import postings
 
 
 def one(spark, expression, value):
@@ -75,12 +76,16 @@ def test_section_chunks_keep_to_their_section(spark):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(texts=st.lists(st.text("abc -É", max_size=40), min_size=1, max_size=12))
-def test_term_counts(spark, texts):
+def test_postings(spark, texts):
+    import re
     from collections import Counter
 
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("k"))
-    for r in df.withColumn("e", term_counts(F.col("k"))).collect():
-        assert {e["term"]: e["tf"] for e in r["e"]} == dict(Counter(r["k"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for doc, text in enumerate(texts):
+        found = re.findall("[a-z0-9]+", text.lower())
+        want |= {(term, doc, tf, len(found)) for term, tf in Counter(found).items()}
+    assert {tuple(r) for r in postings(df).collect()} == want
 
 
 def test_unicode_tokens(spark):
