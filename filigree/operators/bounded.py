@@ -68,6 +68,8 @@ def in_query_slices(
 ) -> DataFrame:
     """Run `search` on slices of the query set small enough to ship to every task.
 
+    `query_id` is unique, so hashing it gives slices of like size; a slice that exceeds
+    `max_rows` nevertheless fails.
     A few slices become one lazy union. With many, each slice is its own job that
     appends to a shared table, so neither the plan nor the driver grows with them.
     """

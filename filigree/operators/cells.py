@@ -1,6 +1,7 @@
 """Vector retrieval over a table laid out in cells, so a query reads only some of them."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -15,6 +16,7 @@ from filigree.operators.topk import TaskTopK, blocks, candidate_batch, candidate
 
 MAX_CELLS = 4096
 TRAINING_ROWS_PER_CELL = 256
+VECTORS_PER_SLICE = 1_000_000
 SLACK = 2e-6  # wider than the rounding of scores and angles
 
 
@@ -29,15 +31,14 @@ class Cells:
 def train_centroids(vectors: DataFrame, n_cells: int, seed: int = 7) -> list[list[float]]:
     """Cell centres of unit length from k-means.
 
-    Beyond a few hundred vectors per cell k-means sees a hash sample. The centres only
-    lay out the table; every vector is still assigned and stored.
+    Beyond a few hundred vectors per cell k-means sees a row sample, so neither the data
+    nor many copies of one vector make training large. The centres only lay out the
+    table; every vector is still assigned and stored.
     """
     if n_cells > MAX_CELLS:
         raise ValueError(f"at most {MAX_CELLS} cells")
     total, target = vectors.count(), n_cells * TRAINING_ROWS_PER_CELL
-    seen = vectors if total <= target else vectors.where(
-        F.pmod(F.xxhash64("embedding"), F.lit(total)) < target
-    )
+    seen = vectors if total <= target else vectors.sample(fraction=target / total, seed=seed)
     unit = F.transform("embedding", lambda x: x.cast("double"))
     points = seen.where(F.col("embedding").isNotNull()).select(array_to_vector(unit).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(points)
@@ -67,10 +68,11 @@ def assign_cells(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
     return vectors.where(F.col("embedding").isNotNull()).mapInArrow(run, schema)
 
 
-def write_cells(assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Store by cell. Ranges over (cell, id) split a crowded cell over several tasks and files."""
-    ranged = assigned.repartitionByRange("cell", id_col)
-    ranged.write.mode("overwrite").partitionBy("cell").parquet(path)
+def write_cells(assigned: DataFrame, path: str, n_vectors: int, id_col: str = "doc_id") -> None:
+    """Store by cell; a cell, however crowded, is cut into slices by id, as many as the size needs."""
+    slices = math.ceil(n_vectors / VECTORS_PER_SLICE) or 1
+    spot = F.pmod(F.xxhash64(id_col), F.lit(slices))
+    assigned.repartition("cell", spot).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def describe_cells(assigned: DataFrame, centroids: list[list[float]]) -> Cells:

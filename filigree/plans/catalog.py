@@ -250,7 +250,7 @@ def _cells(spark: SparkSession, sf: str, **options) -> DataFrame:
     vectors = tables.vectors(spark, sf)
     centroids = cell_ops.train_centroids(vectors, 16)
     path = shared_dir(spark, "cells")
-    cell_ops.write_cells(cell_ops.assign_cells(vectors, centroids), path)
+    cell_ops.write_cells(cell_ops.assign_cells(vectors, centroids), path, vectors.count())
     laid = spark.read.parquet(path)
     found = cell_ops.describe_cells(laid, centroids)
     return cell_ops.cell_search(laid, tables.query_vectors(spark, sf), found, 10, **options)

@@ -12,8 +12,8 @@ def commit_available(parts: DataFrame, path: str) -> None:
 
     Parts of messages still running are carried in `<path>/open` from one micro-batch to
     the next, so a batch reads what is in flight and not all history. When a message's
-    end arrives it is assembled: complete ones go to `<path>/messages`, failed ones to
-    `<path>/failures` without their text. Nothing partial is committed.
+    end arrives it is assembled and goes to `<path>/ended`, complete or as a failure
+    without text. Nothing partial is committed.
     """
 
     def store(rows: DataFrame, batch: int) -> None:
@@ -25,9 +25,8 @@ def commit_available(parts: DataFrame, path: str) -> None:
         landed = spark.read.schema(rows.schema).parquet(f"{path}/landed/batch={batch}")
         ended = landed.where(F.col("part_type").isin(FINISH, ERROR)).select("message_id").distinct()
         done = assemble_messages(landed.join(ended, "message_id", "left_semi"))
-        _replace(done.where(F.col("status") == "complete").drop("error"), f"{path}/messages", batch)
-        failed = done.where(F.col("status") == "error").select("message_id", "error")
-        _replace(failed, f"{path}/failures", batch)
+        said = F.when(F.col("status") == "complete", F.col("text"))
+        _replace(done.withColumn("text", said), f"{path}/ended", batch)
         _replace(landed.join(ended, "message_id", "left_anti").select(*rows.columns), f"{path}/open", batch)
 
     query = (
@@ -44,8 +43,10 @@ def _replace(rows: DataFrame, path: str, batch: int) -> None:
 
 
 def committed_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/messages").drop("batch")
+    ended = spark.read.parquet(f"{path}/ended").drop("batch", "error")
+    return ended.where(F.col("status") == "complete")
 
 
 def failed_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/failures").drop("batch")
+    ended = spark.read.parquet(f"{path}/ended")
+    return ended.where(F.col("status") == "error").select("message_id", "error")

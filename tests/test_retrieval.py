@@ -151,7 +151,7 @@ def test_cells(spark, vectors, tmp_path):
     stored, asked = vectors
     centroids = cell_ops.train_centroids(stored, 8)
     assigned = cell_ops.assign_cells(stored, centroids)
-    cell_ops.write_cells(assigned, str(tmp_path / "cells"))
+    cell_ops.write_cells(assigned, str(tmp_path / "cells"), 300)
     laid = spark.read.parquet(str(tmp_path / "cells"))
     assert laid.count() == 300
     cells = cell_ops.describe_cells(laid, centroids)
