@@ -107,7 +107,7 @@ def sections(md: Column) -> Column:
     """Cut Markdown at headings and page breaks.
 
     Array of `(section_index, level, section, page, text, start)`. `section` is the
-    heading in force, null before the first; `page` counts page breaks and is null in a
+    heading in force, null (and its level 0) before the first; `page` counts page breaks and is null in a
     text without any. The texts joined again give the input.
     """
     marked = F.regexp_replace(F.regexp_replace(md, r"(?m)^(#{1,6} )", "\u0001$1"), "\f", "\u0001\f")
@@ -140,7 +140,7 @@ def sections(md: Column) -> Column:
         )
 
     start = F.struct(
-        F.lit(None).cast("int").alias("level"),
+        F.lit(0).alias("level"),
         F.lit(None).cast("string").alias("section"),
         F.lit(1).alias("page"),
         F.lit(0).alias("at"),

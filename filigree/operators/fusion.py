@@ -16,14 +16,16 @@ def reciprocal_rank_fusion(
 ) -> DataFrame:
     """Sum `1 / (constant + rank)` over the named lists.
 
-    Gives `(query_id, id, rrf_score, <name>_rank..., rank)`. The lists are unioned and
-    summed in one aggregation, however many there are.
+    Gives `(query_id, id, rrf_score, <name>_rank..., rank)`, a list's rank being 0 where
+    it lacks the document. The lists are unioned and summed in one aggregation, however
+    many there are.
     """
     ranked = reduce(
         DataFrame.unionByName,
         [x.select("query_id", id_col, "rank", F.lit(name).alias("_list")) for name, x in lists.items()],
     )
-    own = [F.max(F.when(F.col("_list") == name, F.col("rank"))).alias(f"{name}_rank") for name in lists]
+    in_list = {name: F.max(F.when(F.col("_list") == name, F.col("rank")).otherwise(0)) for name in lists}
+    own = [rank.alias(f"{name}_rank") for name, rank in in_list.items()]
     fused = ranked.groupBy("query_id", id_col).agg(
         F.round(F.sum(F.lit(1.0) / (F.lit(constant) + F.col("rank"))), 12).alias("rrf_score"), *own
     )

@@ -127,14 +127,15 @@ def html_title(spark, sf):
 @register
 def html_sections(spark, sf):
     rows = _page_markdown(spark, sf).select("page_id", F.inline(sections(F.col("markdown"))))
-    return rows.withColumnRenamed("start", "start_offset")
+    return rows.withColumnRenamed("start", "start_offset").withColumn("page", F.col("page").cast("string"))
 
 
 @register
 def page_chunks(spark, sf):
     """Passages of pages that keep to one section each."""
     docs = _page_markdown(spark, sf).select("page_id", sections(F.col("markdown")).alias("sections"))
-    return _plain_offsets(chunk_sections(docs, id_col="page_id"))
+    chunks = chunk_sections(docs, id_col="page_id")
+    return _plain_offsets(chunks.withColumn("page", F.col("page").cast("string")))
 
 
 def _plain_offsets(chunks: DataFrame) -> DataFrame:

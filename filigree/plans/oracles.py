@@ -144,9 +144,9 @@ named AS (
   SELECT *, regexp_matches(body, {_q(HEAD)}) AS headed FROM heads),
 sections AS (
   SELECT page_id, CAST(section_index AS INT) AS section_index,
-         CAST(last_value(CASE WHEN headed THEN length(regexp_extract(body, {_q(HEAD)}, 1)) END IGNORE NULLS) OVER w AS INT) AS level,
+         CAST(coalesce(last_value(CASE WHEN headed THEN length(regexp_extract(body, {_q(HEAD)}, 1)) END IGNORE NULLS) OVER w, 0) AS INT) AS level,
          last_value(CASE WHEN headed THEN trim(regexp_extract(body, {_q(HEAD)}, 2)) END IGNORE NULLS) OVER w AS section,
-         CAST(CASE WHEN paged THEN 1 + sum(broke) OVER w END AS INT) AS page, text,
+         CAST(CASE WHEN paged THEN 1 + CAST(sum(broke) OVER w AS INT) END AS VARCHAR) AS page, text,
          CAST(coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER BY section_index
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_offset
   FROM named WINDOW w AS (PARTITION BY page_id ORDER BY section_index))"""
@@ -250,7 +250,7 @@ def _fused(k: int, where: str = "true", vector_where: str = "true") -> str:
 fused AS (
   SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.doc_id, s.doc_id) AS doc_id,
          round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 12) AS rrf_score,
-         l.rank AS lexical_rank, s.rank AS semantic_rank
+         coalesce(l.rank, 0) AS lexical_rank, coalesce(s.rank, 0) AS semantic_rank
   FROM lex l FULL JOIN sem s ON l.query_id = s.query_id AND l.doc_id = s.doc_id),
 hits AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS INT) AS rank
@@ -387,7 +387,7 @@ FROM asked a LEFT JOIN threads t ON t.thread_id = a.thread_id""",
         "message_parts": f"WITH {PARTS} SELECT message_id, CAST(seq AS INT) AS seq, part_type, payload FROM parts",
         "message_assembly": f"""WITH {LOG}
 SELECT message_id, text, CAST(len(list_filter(regexp_extract_all(text, '[^ \\t\\n\\f\\r]*[ \\t\\n\\f\\r]*'), lambda w: w <> ''))
-  AS BIGINT) AS n_deltas, 1 AS n_sources, CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END AS status,
+  AS BIGINT) AS n_deltas, CAST(1 AS BIGINT) AS n_sources, CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END AS status,
   CASE WHEN event_type = 'error' THEN 'retrieval_failed' END AS error FROM log""",
         "streamed_message_commit": f"""WITH {LOG}
 SELECT message_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END AS status,
