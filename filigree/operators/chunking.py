@@ -1,6 +1,8 @@
 """Splitting documents into overlapping passages, within each document row."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from filigree.functions.text import let
 CHUNK_TOKENS = 200
 CHUNK_STRIDE = 150
 # A word with the blanks after it: joined again, the pieces give back the text.
-PIECE = r"[^ \t\n\f\r]+[ \t\n\f\r]*"
+PIECE = r"(?:[^ \t\n\f\r]++[ \t\n\f\r]*+)"
+MAX_UNIT = 200  # words matched by one repetition
 LEADING_BLANKS = r"^[ \t\n\f\r]*"
 TRAILING_BLANKS = r"[ \t\n\f\r]+$"
 
@@ -17,36 +20,46 @@ TRAILING_BLANKS = r"[ \t\n\f\r]+$"
 def passages(text: Column, size: int = CHUNK_TOKENS, stride: int = CHUNK_STRIDE) -> Column:
     """Array of `(text, token_count, start, end)`; character offsets, end exclusive.
 
-    A window starts every `stride` words; the last one ends with the text. Cost is
-    linear in the words, offsets being summed over whole strides only.
+    A window starts every `stride` words; the last one ends with the text. The text is
+    cut once into units of words that divide both size and stride, and windows are put
+    together from those, so cost grows with the words and not with their square.
     """
+    common = math.gcd(size, stride)
+    unit = max(d for d in range(1, min(common, MAX_UNIT) + 1) if common % d == 0)
 
-    def cut(words: Column) -> Column:
-        windows = F.when(F.size(words) <= size, F.lit(1)).otherwise(
-            F.lit(1) + F.ceil((F.size(words) - size) / F.lit(stride)).cast("int")
-        )
-        strides = F.transform(
-            F.sequence(F.lit(0), windows - 1),
-            lambda i: F.char_length(F.array_join(F.slice(words, i * stride + 1, F.lit(stride)), "")),
-        )
+    def words_in(piece: Column) -> Column:
+        return F.size(F.regexp_extract_all(piece, F.lit(PIECE), 0))
+
+    def units(blocks: Column, first: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.get(blocks, first + j))
+
+    def cut(blocks: Column) -> Column:
+        count = (F.size(blocks) - 1) * unit + words_in(F.element_at(blocks, -1))
+        return let(count, lambda n: windows(blocks, n))
+
+    def windows(blocks: Column, n: Column) -> Column:
+        last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(stride)).cast("int"))
         lead = F.char_length(F.regexp_extract(text, LEADING_BLANKS, 0))
         starts = F.aggregate(
-            strides,
+            F.sequence(F.lit(0), last),
             F.struct(lead.alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda acc, n: F.struct(
-                (acc["at"] + n).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")
+            lambda acc, i: F.struct(
+                (
+                    acc["at"] + F.char_length(F.array_join(units(blocks, i * (stride // unit), stride // unit), ""))
+                ).alias("at"),
+                F.array_append(acc["starts"], acc["at"]).alias("starts"),
             ),
             lambda acc: acc["starts"],
         )
         return F.transform(
             starts,
             lambda start, i: let(
-                F.slice(words, i * stride + 1, F.lit(size)),
+                F.array_join(units(blocks, i * (stride // unit), size // unit), ""),
                 lambda window: let(
-                    F.regexp_replace(F.array_join(window, ""), TRAILING_BLANKS, ""),
+                    F.regexp_replace(window, TRAILING_BLANKS, ""),
                     lambda passage: F.struct(
                         passage.alias("text"),
-                        F.size(window).alias("token_count"),
+                        F.least(F.lit(size), n - i * stride).alias("token_count"),
                         start.alias("start"),
                         (start + F.char_length(passage)).alias("end"),
                     ),
@@ -55,9 +68,11 @@ def passages(text: Column, size: int = CHUNK_TOKENS, stride: int = CHUNK_STRIDE)
         )
 
     nothing = F.array().cast("array<struct<text:string,token_count:int,start:int,end:int>>")
-    words = F.regexp_extract_all(text, F.lit(PIECE), 0)
-    return let(F.coalesce(words, F.array().cast("array<string>")),
-               lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(nothing))
+    blocks = F.regexp_extract_all(text, F.lit(PIECE + "{1,%d}" % unit), 0)
+    return let(
+        F.coalesce(blocks, F.array().cast("array<string>")),
+        lambda b: F.when(F.size(b) > 0, cut(b)).otherwise(nothing),
+    )
 
 
 def chunk_id(document_id: Column, index: Column) -> Column:
