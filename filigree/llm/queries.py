@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filigree.llm.packing import pack_documents
 from filigree.llm.simple8b import token_file_digest
+from filigree.llm.toxicity import toxicity
 from filigree.sources.tables import table
 
 BYTE_TOKENIZER, BYTE_END = public_tokenizers.path("byte_bpe_50k.json"), 2
 WORD_TOKENIZER, WORD_END, SEQUENCE = public_tokenizers.path("word_bpe_49k.json"), 0, 2048
 
 
+def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, BYTE_END)
 
@@ -25,6 +30,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_factorization_toxicity,
         op9_simple8b_tokens,
         op10_pattern_packing,
     )
