@@ -1,4 +1,63 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, whole tables included."""
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+CONTAMINATION = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS ws FROM documents),
+     b AS MATERIALIZED (SELECT item_id, {WORDS} AS ws FROM benchmark),
+     masks(m, o) AS (VALUES (0, [0, 1, 3, 4, 7, 9]), (1, [0, 1, 2, 5, 8, 9]), (2, [0, 1, 4, 6, 7, 9])),
+     dp AS (SELECT doc_id, unnest(range(len(ws) - 9)) AS p, ws FROM d WHERE len(ws) >= 10),
+     bp AS (SELECT item_id, unnest(range(len(ws) - 9)) AS p, ws FROM b WHERE len(ws) >= 10),
+     dk AS (SELECT doc_id, p, m, list_transform(o, lambda x: ws[p + x + 1]) AS k FROM dp, masks),
+     bk AS (SELECT item_id, p, m, list_transform(o, lambda x: ws[p + x + 1]) AS k FROM bp, masks),
+     shifts AS (SELECT DISTINCT doc_id, item_id, dk.p - bk.p AS s FROM dk JOIN bk USING (m, k)),
+     same AS (SELECT doc_id, item_id, s, i FROM (
+                SELECT doc_id, item_id, s, d.ws AS dw, b.ws AS bw, unnest(range(len(b.ws))) AS i
+                FROM shifts JOIN d USING (doc_id) JOIN b USING (item_id))
+              WHERE i + s >= 0 AND dw[i + s + 1] = bw[i + 1]),
+     found AS (SELECT doc_id, item_id, count(DISTINCT i) AS n_matched FROM same GROUP BY ALL),
+     starts AS (SELECT doc_id, item_id, min(greatest(s, 0)) AS start FROM shifts GROUP BY ALL)
+SELECT doc_id, item_id, start, n_matched, len(b.ws) AS item_words, round(n_matched / len(b.ws), 6) AS coverage
+FROM found JOIN starts USING (doc_id, item_id) JOIN b USING (item_id)
+WHERE n_matched >= 0.6 * len(b.ws)
+"""
+
+#: Every later line against every earlier one that shares its beginning or its end; the
+#: deletion variants of the query have no part in it.
+LINES = r"""
+WITH split AS (
+       SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body,
+              unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
+     worded AS (SELECT doc_id, line, body,
+                       list_filter(regexp_split_to_array(lower(body), '\s+'), lambda w: w <> '') AS ws FROM split),
+     firsts AS MATERIALIZED (
+       SELECT ws, len(ws) AS n, min(doc_id * 1000000 + line) AS f FROM worded WHERE len(ws) > 0 GROUP BY ws),
+     ends AS (
+       SELECT ws, n, f, 0 AS side, ws[1:4] AS k FROM firsts WHERE n >= 8
+       UNION ALL SELECT ws, n, f, 1, ws[-4:] FROM firsts WHERE n >= 8),
+     pairs AS (
+       SELECT DISTINCT y.ws AS late, y.f, x.ws AS early FROM ends x JOIN ends y USING (side, k)
+       WHERE x.f < y.f AND abs(x.n - y.n) <= 1),
+     cut AS (
+       SELECT late, f, CASE WHEN len(early) <= len(late) THEN early ELSE late END AS a,
+              CASE WHEN len(early) <= len(late) THEN late ELSE early END AS b FROM pairs),
+     differ AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])), len(a) + 1) AS i FROM cut),
+     beaten AS (
+       SELECT DISTINCT f FROM differ
+       WHERE a[i + 1:] = b[i + 1:] AND len(a) = len(b) OR len(a) + 1 = len(b) AND a[i:] = b[i + 1:]),
+     stay AS (SELECT f FROM firsts ANTI JOIN beaten USING (f)),
+     told AS (
+       SELECT doc_id, line, body, len(ws) > 0 AS worded,
+              len(ws) = 0 OR doc_id * 1000000 + line IN (SELECT f FROM stay) AS kept FROM worded),
+     texts AS (
+       SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (NOT kept) AS n_removed,
+              coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (kept), '') AS kept_text
+       FROM told GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, length(kept_text) AS kept_chars, md5(kept_text) AS kept_md5 FROM texts
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_spaced_seed_contamination": CONTAMINATION,
+    "op8_deletion_line_dedup": LINES,
+}

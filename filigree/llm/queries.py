@@ -6,6 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from filigree.llm.decontaminate import contaminated
+from filigree.llm.lines import line_report
 from filigree.llm.packing import pack_documents
 from filigree.llm.simple8b import token_file_digest
 from filigree.llm.toxicity import toxicity
@@ -19,6 +21,14 @@ def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, BYTE_END)
 
@@ -31,6 +41,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_factorization_toxicity,
+        op3_spaced_seed_contamination,
+        op8_deletion_line_dedup,
         op9_simple8b_tokens,
         op10_pattern_packing,
     )

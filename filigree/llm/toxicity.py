@@ -27,7 +27,7 @@ FACTORS = 8
 #: Labelled rows of each class that are fitted at most, those first by a hash of doc_id.
 SAMPLE_PER_CLASS = 4_000
 #: A term must be in so many sampled texts; the most telling `TERMS` of them by chi-square stay.
-MIN_TEXTS, TERMS = 4, 8_192
+MIN_TEXTS, TERMS = 4, 2_048
 EPOCHS, BATCH, RATE, SHRINK = 20, 128, 0.1, 1e-4
 #: Words whose terms a Python worker remembers.
 KEPT_WORDS = 300_000
