@@ -10,6 +10,7 @@ from filigree.llm.decontaminate import contaminated
 from filigree.llm.lines import line_report
 from filigree.llm.packing import pack_documents
 from filigree.llm.simple8b import token_file_digest
+from filigree.llm.substrings import substring_dedup
 from filigree.llm.toxicity import toxicity
 from filigree.sources.tables import table
 
@@ -25,6 +26,10 @@ def op3_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_factorization_toxicity,
         op3_spaced_seed_contamination,
+        op6_doubling_substring_dedup,
         op8_deletion_line_dedup,
         op9_simple8b_tokens,
         op10_pattern_packing,
