@@ -57,7 +57,26 @@ WITH split AS (
 SELECT doc_id, n_lines, n_removed, length(kept_text) AS kept_chars, md5(kept_text) AS kept_md5 FROM texts
 """
 
+LINKS = f"""
+WITH RECURSIVE
+  d AS MATERIALIZED (SELECT doc_id, {WORDS} AS ws FROM documents),
+  sh AS MATERIALIZED (
+    SELECT DISTINCT doc_id, s FROM (
+      SELECT doc_id, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                          ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END AS ss
+      FROM d WHERE len(ws) > 0) CROSS JOIN unnest(ss) AS u(s)),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  link AS MATERIALIZED (
+    SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+SELECT doc_id, (SELECT min(y) FROM reach WHERE x = doc_id) AS class_id,
+       (SELECT count(*) FROM link WHERE x = doc_id) AS n_links
+FROM d
+"""
+
 ORACLES: dict[str, str] = {
     "op3_spaced_seed_contamination": CONTAMINATION,
+    "op7_chosen_path_jaccard": LINKS,
     "op8_deletion_line_dedup": LINES,
 }

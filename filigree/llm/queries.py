@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from filigree.llm.decontaminate import contaminated
+from filigree.llm.jaccard import jaccard_join
 from filigree.llm.lines import line_report
 from filigree.llm.packing import pack_documents
 from filigree.llm.simple8b import token_file_digest
@@ -30,6 +31,10 @@ def op6_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_chosen_path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_factorization_toxicity,
         op3_spaced_seed_contamination,
         op6_doubling_substring_dedup,
+        op7_chosen_path_jaccard,
         op8_deletion_line_dedup,
         op9_simple8b_tokens,
         op10_pattern_packing,
