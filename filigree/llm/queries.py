@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from filigree.llm.decontaminate import contaminated
+from filigree.llm.html_crf import main_texts
 from filigree.llm.jaccard import jaccard_join
 from filigree.llm.lines import line_report
 from filigree.llm.packing import pack_documents
@@ -27,6 +28,10 @@ def op3_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_crf_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_factorization_toxicity,
         op3_spaced_seed_contamination,
+        op5_crf_html_text,
         op6_doubling_substring_dedup,
         op7_chosen_path_jaccard,
         op8_deletion_line_dedup,
