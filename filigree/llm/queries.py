@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from filigree.llm.decontaminate import contaminated
+from filigree.llm.graph_ann import nearest
 from filigree.llm.html_crf import main_texts
 from filigree.llm.jaccard import jaccard_join
 from filigree.llm.lines import line_report
@@ -28,6 +29,10 @@ def op3_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def op5_crf_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_factorization_toxicity,
         op3_spaced_seed_contamination,
+        op4_pruned_graph_neighbours,
         op5_crf_html_text,
         op6_doubling_substring_dedup,
         op7_chosen_path_jaccard,
