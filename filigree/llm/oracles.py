@@ -1,6 +1,8 @@
 """DuckDB SQL for the queries that SQL can express, whole tables included."""
 from __future__ import annotations
 
+from filigree.llm.licenses import TEMPLATES
+
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 CONTAMINATION = f"""
@@ -75,7 +77,33 @@ SELECT doc_id, (SELECT min(y) FROM reach WHERE x = doc_id) AS class_id,
 FROM d
 """
 
+KNOWN = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
+GRAMS = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+
+LICENSES = rf"""
+WITH t AS MATERIALIZED (
+       SELECT template, license, {GRAMS} AS g FROM (
+         SELECT template, license, {WORDS} AS ws FROM (VALUES {KNOWN}) AS v(template, license, text))),
+     parts AS (
+       SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, coalesce(text, '') AS body,
+              regexp_split_to_array(coalesce(text, ''), '
+[ 	
+]*
+') AS ps FROM documents),
+     every AS (SELECT doc_id, list_concat(ls, CASE WHEN len(ps) > 1 THEN ps ELSE [] END, CASE WHEN len(ls) > 1 THEN [body] ELSE [] END) AS us FROM parts),
+     units AS (SELECT doc_id, unnest(us) AS text, unnest(range(len(us))) AS unit FROM every),
+     own AS (SELECT doc_id, unit, {GRAMS} AS g FROM (SELECT doc_id, unit, {WORDS} AS ws FROM units) WHERE len(ws) > 1),
+     og AS (SELECT doc_id, unit, len(g) AS s, unnest(g) AS gram FROM own),
+     tg AS (SELECT template, license, len(g) AS t, unnest(g) AS gram FROM t),
+     dice AS (
+       SELECT doc_id, license, unit, 2 * count(*) / (s + t) AS d
+       FROM og JOIN tg USING (gram) GROUP BY doc_id, unit, s, template, license, t)
+SELECT doc_id, license, round(max(d), 6) AS dice, count(DISTINCT unit) AS n_units, min(unit) AS first_unit
+FROM dice WHERE d >= 0.8 GROUP BY doc_id, license
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_dice_license_scan": LICENSES,
     "op3_spaced_seed_contamination": CONTAMINATION,
     "op7_chosen_path_jaccard": LINKS,
     "op8_deletion_line_dedup": LINES,

@@ -10,6 +10,7 @@ from filigree.llm.decontaminate import contaminated
 from filigree.llm.graph_ann import nearest
 from filigree.llm.html_crf import main_texts
 from filigree.llm.jaccard import jaccard_join
+from filigree.llm.licenses import license_scan, templates
 from filigree.llm.lines import line_report
 from filigree.llm.packing import pack_documents
 from filigree.llm.simple8b import token_file_digest
@@ -25,6 +26,10 @@ def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_dice_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), templates(spark))
+
+
 def op3_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_factorization_toxicity,
+        op2_dice_license_scan,
         op3_spaced_seed_contamination,
         op4_pruned_graph_neighbours,
         op5_crf_html_text,
