@@ -152,13 +152,16 @@ def own_features(block: Block) -> list[str]:
     """Features of the block itself: its tag and its text."""
     text, tag = block.text, block.node.tag
     n = len(text)
-    found = [f"tag:{tag}", f"size:{min(9, int(math.log2(n)))}", f"linked:{min(4, 4 * block.linked // n)}", "bias"]
+    scope = block.node
+    while scope.parent is not None and scope.tag not in SCOPES:
+        scope = scope.parent
+    found = [f"tag:{tag}", f"within:{scope.tag}>{tag}", f"size:{min(9, int(math.log2(n)))}", f"linked:{min(4, 4 * block.linked // n)}", "bias"]
     if text[-1] in ".!?…\"”»":
         found.append("ends")
     if text.count(",") + text.count(". ") >= 2:
         found.append("sentences")
-    if n <= 200:
-        found += [f"word:{w}" for w in set(WORD.findall(text[:200].lower()))]
+    if n <= 120:
+        found += [f"word:{w}" for w in set(WORD.findall(text.lower()))]
         if "©" in text or "|" in text:
             found.append("sign")
     return found
@@ -198,6 +201,7 @@ PHRASES = {
     "share": "Share|Tweet|Print|Follow us|Share this article",
 }
 SYLLABLES = "ka lo mi ter san vel dor en pra sti on ul fe gri ba nes to ru".split()
+COMMON = "the of and a to in is for on more with that it as we you your our all now new at from this not are was by or an"
 MAIN_NAMES = "content post post-content entry entry-content article article-body story main-content text body"
 
 
@@ -211,6 +215,12 @@ class _Maker:
         return self.rng.choice(words.split(by))
 
     def word(self) -> str:
+        """Made up, or one that any part of a page may hold, so that words tell little on their own."""
+        roll = self.rng.random()
+        if roll < 0.3:
+            return self.pick(COMMON)
+        if roll < 0.4:
+            return self.pick(self.pick(PHRASES[self.pick(" ".join(PHRASES))], "|").strip(".©").lower())
         return "".join(self.rng.choice(SYLLABLES) for _ in range(self.rng.randint(1, 4)))
 
     def sentence(self, most: int = 18) -> str:
@@ -307,7 +317,7 @@ def labelled_pages(n: int, seed: int = 1) -> list[str]:
 # --- the chain ----------------------------------------------------------------------------
 
 #: Labelled pages and rounds of fitting; features of fewer blocks than this don't count.
-PAGES, ROUNDS, SEEN, SHRINK = 900, 120, 3, 1e-3
+PAGES, ROUNDS, SEEN, SHRINK = 900, 160, 3, 5e-4
 
 
 class Chain:

@@ -312,8 +312,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is the least of its class, with all their columns.
 
-    Rows without doc_id stay.
+    Blank texts are copies of each other, so the one with the least doc_id stays. Rows
+    without doc_id stay.
     """
     name = fresh(docs, "later_doc")
+    blank = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")) == ""
+    first_blank = docs.where(blank).agg(F.min(F.col("doc_id").cast("long"))).first()[0]
     later = jaccard_join(docs).where("class_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(later, docs["doc_id"].cast("long") == later[name], "left_anti")
+    kept = docs.join(later, docs["doc_id"].cast("long") == later[name], "left_anti")
+    return kept.where(F.coalesce(~blank | (F.col("doc_id") == F.lit(first_blank)), F.lit(True)))
