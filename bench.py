@@ -18,9 +18,7 @@ HEADLINE = [
     "hybrid_search_topk",
     "lexical_search_topk",
     "lexical_search_chunks",
-    "lexical_search_indexed",
     "semantic_search_topk",
-    "semantic_search_ivf",
     "search_balanced_per_source",
     "rrf_fusion",
     "surrounding_chunks_of_hits",

@@ -11,7 +11,8 @@ from filigree.session import shared_dir
 
 BROADCAST_ROWS = 200_000
 QUERY_SLICE = 8192
-UNION_SLICES = 8
+#: A table of so many splits is never shuffled to spread it.
+SMALL_SPLITS = 8
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -27,10 +28,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Give every core work when a scan has fewer splits than there are cores.
 
-    Only inputs of a few splits are shuffled; a large table is returned as it is.
+    Only inputs of a few splits, up to a gigabyte or so, are shuffled; a larger table is
+    returned as it is, however many cores there are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+    return rows if rows.rdd.getNumPartitions() >= min(cores, SMALL_SPLITS) else rows.repartition(cores, key)
 
 
 def collect_bounded(df: DataFrame, max_rows: int) -> list[Row]:
@@ -65,29 +67,23 @@ def in_query_slices(
     queries: DataFrame,
     search: Callable[[DataFrame], DataFrame],
     max_rows: int = QUERY_SLICE,
+    load: Callable[[DataFrame], float] | None = None,
 ) -> DataFrame:
     """Run `search` on slices of the query set small enough to ship to every task.
 
-    `query_id` is unique, so hashing it gives slices of like size; a slice that exceeds
-    `max_rows` nevertheless fails.
-    A few slices become one lazy union. With many, each slice is its own job that
-    appends to a shared table, so neither the plan nor the driver grows with them.
+    The slices hold about `max_rows` queries; `load` may ask for more slices, by other
+    measures of the whole set. Queries are dealt by a hash of all their columns. One
+    slice stays lazy; several are a job each that appends to a shared table, so neither
+    the plan nor the driver grows with them.
     """
     n = queries.count()
-    if n <= max_rows:
+    slices = math.ceil(max(n / max_rows, load(queries) if load else 0))
+    if slices <= 1:
         return search(queries)
-    slices = math.ceil(1.5 * n / max_rows)
-    bucket = F.pmod(F.xxhash64("query_id"), F.lit(slices))
-    parts = (search(queries.where(bucket == i)) for i in range(slices))
-    if slices <= UNION_SLICES:
-        result = next(parts)
-        for part in parts:
-            result = result.unionByName(part)
-        return result
     spark = queries.sparkSession
     path = shared_dir(spark, "query-slices")
-    schema = None
-    for part in parts:
-        schema = part.schema
+    bucket = F.pmod(F.xxhash64(*queries.columns), F.lit(slices))
+    for i in range(slices):
+        part = search(queries.where(bucket == i))
         part.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(part.schema).parquet(path)

@@ -16,6 +16,7 @@ from filigree.operators.topk import (
     blocks,
     candidate_batch,
     candidate_schema,
+    facet_slice,
     for_scoring,
     offer_block,
     rank_candidates,
@@ -23,8 +24,7 @@ from filigree.operators.topk import (
 )
 
 ALL = ""  # statistics row that stands for every document; no term is empty
-MAX_TERMS = 1_000_000
-GATHERED_POSTINGS = 250_000
+SLICE_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -115,12 +115,16 @@ def lexical_search(
     """
     statistics = corpus if corpus is not None else docs
 
+    def n_terms(some: DataFrame) -> float:
+        terms = some.agg(F.sum(F.size(tokens(F.col("text"), unicode)))).first()[0] or 0
+        return terms / SLICE_TERMS
+
     def one_slice(part: DataFrame) -> DataFrame:
-        wanted = wanted_terms(part, unicode, slice_rows)
+        wanted = wanted_terms(part, unicode)
         vocabulary = docs.sparkSession.createDataFrame(
             [(t,) for t in [*wanted.terms, ALL]], "term string"
         )
-        # Bounded by MAX_TERMS, which wanted_terms has checked.
+        # A slice has about SLICE_TERMS terms.
         stats = term_statistics(statistics, text_col, unicode).join(F.broadcast(vocabulary), "term", "left_semi")
         weights = term_weights(stats, wanted, scorer)
         columns = [id_col, tokens(F.col(text_col), unicode).alias("_toks")]
@@ -132,7 +136,7 @@ def lexical_search(
         )
         return rank_candidates(scored, k, id_col, facet_col)
 
-    return in_query_slices(queries, one_slice, slice_rows)
+    return in_query_slices(queries, one_slice, facet_slice(docs, facet_col, slice_rows), n_terms)
 
 
 @dataclass
@@ -143,17 +147,15 @@ class Wanted:
     pair_term: list[int]
 
 
-def wanted_terms(part: DataFrame, unicode: bool, max_rows: int) -> Wanted:
-    """The slice's queries as (query, term) pairs; the slice is bounded in rows and terms."""
-    rows = collect_bounded(query_terms(part, unicode), max_rows)
+def wanted_terms(part: DataFrame, unicode: bool) -> Wanted:
+    """The slice's queries as (query, term) pairs; slices are few rows and terms."""
+    rows = query_terms(part, unicode).collect()
     codes: dict[str, int] = {}
     pair_query, pair_term = [], []
     for q, row in enumerate(rows):
         for term in row["terms"]:
             pair_query.append(q)
             pair_term.append(codes.setdefault(term, len(codes)))
-    if len(codes) > MAX_TERMS:
-        raise ValueError(f"a slice of queries holds more than {MAX_TERMS} terms; use fewer slice_rows")
     return Wanted(typed_ids(rows, part), list(codes), pair_query, pair_term)
 
 
@@ -173,14 +175,9 @@ def term_weights(stats: DataFrame, wanted: Wanted, scorer: Bm25) -> Weights:
 
 
 def bm25_task(
-    wanted: Wanted, weights: Weights, k: int, id_col: str, facet_col: str | None, scorer: Bm25, entries=None
+    wanted: Wanted, weights: Weights, k: int, id_col: str, facet_col: str | None, scorer: Bm25
 ):
-    """Score document blocks against all queries of the slice and keep the task's best.
-
-    `entries(block, terms)` gives the block's `(document, term, tf)` arrays and its
-    document lengths; by default from a token list per document.
-    """
-    entries = entries or token_entries
+    """Score document blocks against all queries of the slice and keep the task's best."""
 
     def run(batches):
         import numpy as np
@@ -192,7 +189,7 @@ def bm25_task(
         for whole in batches:
             schema = whole.schema
             for batch in blocks(whole, len(wanted.query_ids)):
-                doc, term, tf, dl = entries(batch, term_set)
+                doc, term, tf, dl = token_entries(batch, term_set)
                 if not doc.size:
                     continue
                 saturation = tf + scorer.k1 * (1 - scorer.b + scorer.b * dl[doc] / weights.mean_dl)
@@ -200,8 +197,6 @@ def bm25_task(
                 scores = np.round(asked.score(doc, term, impact, batch.num_rows), SCORE_DIGITS)
                 scores[scores <= 0] = -np.inf
                 offer_block(best, scores, batch, id_col, facet_col)
-                if best.full():
-                    yield candidate_batch(best, wanted.query_ids, schema, id_col, facet_col)
         if schema is not None:
             yield candidate_batch(best, wanted.query_ids, schema, id_col, facet_col)
 
@@ -272,61 +267,3 @@ def token_entries(batch, term_set):
     known = code >= 0
     cell, tf = np.unique(doc[known] * max(len(term_set), 1) + code[known], return_counts=True)
     return cell // max(len(term_set), 1), cell % max(len(term_set), 1), tf, dl
-
-
-def documents_of(batches, id_col: str):
-    """Posting rows `(id, dl, code, tf)` sorted by document as one row per document.
-
-    Batches are gathered to a few hundred thousand postings. The rows of the last
-    document wait for the next ones, which may go on with it.
-    """
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    def pack(rows, starts, end: int):
-        lists = pa.array(np.append(starts, end).astype(np.int32))
-        entries = pa.StructArray.from_arrays([rows.column("code"), rows.column("tf")], names=["code", "tf"])
-        first = pa.array(starts)
-        columns = [rows.column(id_col).take(first), rows.column("dl").take(first)]
-        return pa.RecordBatch.from_arrays(
-            [*columns, pa.ListArray.from_arrays(lists, entries)], names=[id_col, "dl", "_entries"]
-        )
-
-    def gathered():
-        held, n = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= GATHERED_POSTINGS:
-                yield held
-                held, n = [], 0
-        if held:
-            yield held
-
-    rest = None
-    for held in gathered():
-        table = pa.Table.from_batches(held if rest is None else [rest, *held])
-        rows = table.combine_chunks().to_batches()[0]
-        ids = rows.column(id_col)
-        changes = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
-        starts = np.append(0, np.flatnonzero(changes) + 1)
-        if starts.size > 1:
-            yield pack(rows, starts[:-1], int(starts[-1]))
-        rest = rows.slice(int(starts[-1]))
-    if rest is not None:
-        yield pack(rest, np.array([0]), rest.num_rows)
-
-
-def posting_entries(batch, term_set):
-    """The wanted postings gathered per document, `_entries array<struct<code, tf>>`."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    lists = batch.column("_entries")
-    found = lists.flatten()
-    doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    term = found.field("code").to_numpy(zero_copy_only=False)
-    tf = found.field("tf").to_numpy(zero_copy_only=False)
-    return doc, term, tf, batch.column("dl").to_numpy(zero_copy_only=False)

@@ -1,4 +1,4 @@
-"""The manifest of selected filings, as rows and as one document."""
+"""The manifest of selected filings: its rows and its header."""
 from __future__ import annotations
 
 from datetime import UTC, datetime
@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.functions.filing_paths import ARCHIVE_URL, local_path, source_url
-from filigree.operators.bounded import fits
 from filigree.schemas import MANIFEST_COLUMNS
 from filigree.sources.parameters import Selection
 
+# Fixed value of the manifest format.
 SOURCE_NAME = "SEC EDGAR"
-DOCUMENT_ROWS = 100_000
 
 
 def manifest_rows(selected: DataFrame, order: list[str], archive_url: str = ARCHIVE_URL) -> DataFrame:
@@ -24,24 +23,15 @@ def manifest_rows(selected: DataFrame, order: list[str], archive_url: str = ARCH
     return rows.select(*order, *[c for c in MANIFEST_COLUMNS if c not in order])
 
 
-def manifest_document(
-    rows: DataFrame, order: list[str], selection: Selection = Selection(), as_of: datetime | None = None
-) -> DataFrame:
-    """One row holding header and filings in order; for a list that fits one document."""
-    if not fits(rows, DOCUMENT_ROWS):
-        raise ValueError(f"more than {DOCUMENT_ROWS} filings; write the rows with sinks.manifests instead")
-    entry = F.struct(*order, F.struct(*MANIFEST_COLUMNS).alias("filing"))
+def manifest_header(rows: DataFrame, selection: Selection = Selection(), as_of: datetime | None = None) -> DataFrame:
+    """One row: source, time, forms and count; the filings themselves stay rows."""
     generated = F.lit(as_of.astimezone(UTC).isoformat()) if as_of else F.date_format(
         F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
     )
-    return rows.agg(
-        F.count(F.lit(1)).alias("downloaded_count"),
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["filing"]).alias("filings"),
-    ).select(
+    return rows.agg(F.count(F.lit(1)).alias("downloaded_count")).select(
         F.lit(SOURCE_NAME).alias("source"),
         generated.alias("generated_at_utc"),
         F.array(*[F.lit(f) for f in selection.annual_forms]).alias("annual_forms"),
         F.array(*[F.lit(f) for f in selection.fallback_forms]).alias("fallback_forms"),
         "downloaded_count",
-        "filings",
     )

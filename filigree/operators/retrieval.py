@@ -29,12 +29,11 @@ def hybrid_search(
     """Lexical and semantic lists of `depth`, fused to the top `k` per query.
 
     `where` restricts on metadata columns of `docs` before anything is scored; term
-    statistics stay those of the whole corpus.
+    statistics stay those of the whole corpus. Vectors without a document are left out
+    before the lists are cut, so a query gets `k` hits if it has so many candidates.
     """
-    kept, kept_vectors = docs, vectors
-    if where is not None:
-        kept = docs.where(where)
-        kept_vectors = vectors.join(kept.select(id_col), id_col, "left_semi")
+    kept = docs if where is None else docs.where(where)
+    kept_vectors = vectors.join(kept.select(id_col), id_col, "left_semi")
     lists = {
         "lexical": lexical_search(kept, queries, depth, id_col=id_col, text_col=text_col, corpus=docs),
         "semantic": semantic_search(kept_vectors, query_vectors, depth, id_col=id_col),
@@ -54,10 +53,13 @@ def search_filings(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The bounded search tool: hybrid hits with their metadata and an excerpt."""
+    """The bounded search tool: hybrid hits with their metadata and an excerpt.
+
+    No hit is lost when its document can't be shown; its metadata are then null.
+    """
     hits = hybrid_search(docs, vectors, queries, query_vectors, k, where=where, id_col=id_col, text_col=text_col)
-    shown = attach(hits, docs.select(id_col, text_col, *metadata), id_col, k * queries.count())
-    return shown.withColumn("excerpt", excerpt(F.col(text_col))).drop(text_col)
+    shown = docs.select(id_col, *metadata, excerpt(F.col(text_col)).alias("excerpt"))
+    return attach(hits, shown, id_col, k * queries.count(), how="left")
 
 
 def evidence_status(

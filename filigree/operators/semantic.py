@@ -4,13 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.operators.bounded import QUERY_SLICE, collect_bounded, in_query_slices
+from filigree.operators.bounded import QUERY_SLICE, in_query_slices
 from filigree.operators.topk import (
     SCORE_DIGITS,
     TaskTopK,
     blocks,
     candidate_batch,
     candidate_schema,
+    facet_slice,
     for_scoring,
     offer_block,
     rank_candidates,
@@ -55,7 +56,7 @@ def semantic_search(
         raise ValueError(f"metric must be one of {METRICS}")
 
     def one_slice(part: DataFrame) -> DataFrame:
-        ids, matrix = query_matrix(part, slice_rows, dim)
+        ids, matrix = query_matrix(part, dim)
         columns = [id_col, "embedding", *([facet_col] if facet_col else [])]
         rows = for_scoring(vectors.where(F.col("embedding").isNotNull()).select(*columns))
         scored = rows.mapInArrow(
@@ -64,14 +65,14 @@ def semantic_search(
         )
         return rank_candidates(scored, k, id_col, facet_col)
 
-    return in_query_slices(queries, one_slice, slice_rows)
+    return in_query_slices(queries, one_slice, facet_slice(vectors, facet_col, slice_rows))
 
 
-def query_matrix(part: DataFrame, max_rows: int, dim: int | None):
+def query_matrix(part: DataFrame, dim: int | None):
     """The slice's query ids and their vectors as one float64 matrix."""
     import numpy as np
 
-    rows = collect_bounded(part.select("query_id", "embedding"), max_rows)
+    rows = part.select("query_id", "embedding").collect()
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     if rows and (matrix.ndim != 2 or (dim is not None and matrix.shape[1] != dim)):
         raise ValueError(f"query vectors must all have dimension {dim or 'd'}")
@@ -113,8 +114,6 @@ def _score_task(query_ids, queries, k, id_col, facet_col, metric):
             for batch in blocks(whole, len(query_ids)):
                 stored = as_matrix(batch.column("embedding"), queries.shape[1])
                 offer_block(best, score_block(queries, stored, metric), batch, id_col, facet_col)
-                if best.full():
-                    yield candidate_batch(best, query_ids, schema, id_col, facet_col)
         if schema is not None:
             yield candidate_batch(best, query_ids, schema, id_col, facet_col)
 

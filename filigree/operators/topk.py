@@ -9,6 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 SCORE_DIGITS = 6
 SCORING_TASKS = 8192
 SCORE_CELLS = 4_000_000
+FACET_CELLS = 1_000_000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -25,12 +26,12 @@ def best_first(score: str, *ids: str) -> list[Column]:
 class TaskTopK:
     """Running best `k` candidates per (facet, query) inside one task.
 
-    Every task emits at most k rows per query and facet, so scoring never
-    materialises a row per (query, document) pair.
+    A task emits once, at most k rows per query and facet, so scoring never
+    materialises a row per (query, document) pair. `facet_slice` keeps the cells few.
     """
 
-    def __init__(self, n_queries: int, k: int, max_cells: int = 200_000):
-        self.n, self.k, self.max_cells = n_queries, k, max_cells
+    def __init__(self, n_queries: int, k: int):
+        self.n, self.k = n_queries, k
         self.facets: dict = {}
 
     def offer(self, facet, scores, ids, queries=None) -> None:
@@ -56,16 +57,20 @@ class TaskTopK:
             if len(merged) == self.k:
                 floor[q] = -merged[-1][0]
 
-    def full(self) -> bool:
-        return len(self.facets) * self.n > self.max_cells
-
     def drain(self):
-        """Yield `(facet, query position, id, score)` and start over."""
+        """Yield `(facet, query position, id, score)`."""
         for facet, (_, best) in self.facets.items():
             for q, rows in enumerate(best):
                 for negated, doc in rows:
                     yield facet, q, doc, -negated
-        self.facets = {}
+
+
+def facet_slice(rows: DataFrame, facet_col: str | None, slice_rows: int) -> int:
+    """Queries of a slice such that a task holds at most `FACET_CELLS` of (facet, query)."""
+    if facet_col is None:
+        return slice_rows
+    facets = rows.select(facet_col).distinct().count()
+    return max(1, min(slice_rows, FACET_CELLS // max(facets, 1)))
 
 
 def for_scoring(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from filigree.functions.filing_paths import fiscal_year, local_path, source_url, suffix
 from filigree.functions.html import markdown, sections, title
 from filigree.functions.text import tokens
-from filigree.operators import cells as cell_ops
 from filigree.operators import chats, grounding, messages
 from filigree.operators.chunking import chunk_documents, chunk_sections
 from filigree.operators.context import attach, excerpt, surrounding_chunks
@@ -21,7 +20,7 @@ from filigree.operators.filings import (
 )
 from filigree.operators.fusion import reciprocal_rank_fusion
 from filigree.operators.lexical import lexical_search, postings, term_statistics
-from filigree.operators.manifest import manifest_rows
+from filigree.operators.manifest import manifest_header, manifest_rows
 from filigree.operators.retrieval import (
     LIST_DEPTH,
     evidence_status,
@@ -29,7 +28,6 @@ from filigree.operators.retrieval import (
     search_filings,
 )
 from filigree.operators.semantic import semantic_search
-from filigree.plans.index import build_index, search_index
 from filigree.session import shared_dir, stored
 from filigree.sinks.turns import turn_outputs
 from filigree.sources import domain, tables
@@ -99,6 +97,13 @@ def filings_manifest(spark, sf):
     return manifest_rows(filings_select(spark, sf), ["ticker", "rank"])
 
 
+@register
+def filings_manifest_header(spark, sf):
+    """The manifest's header with its count."""
+    head = manifest_header(filings_manifest(spark, sf)).drop("generated_at_utc")
+    return head.withColumns({c: F.array_join(c, ",") for c in ("annual_forms", "fallback_forms")})
+
+
 @register
 def filings_downloaded_counts(spark, sf):
     """Manifest entries per year folder."""
@@ -202,14 +207,6 @@ def lexical_search_unicode(spark, sf):
     return _lexical(spark, sf, unicode=True)
 
 
-@register
-def lexical_search_indexed(spark, sf):
-    """The same ranking from a stored index."""
-    path = shared_dir(spark, "index")
-    build_index(tables.documents(spark, sf, "doc_id", "text"), path)
-    return search_index(spark, path, tables.benchmark_queries(spark, sf), LIST_DEPTH)
-
-
 def _chunk_hits(spark: SparkSession, sf: str, depth: int) -> DataFrame:
     return lexical_search(
         _document_chunks(spark, sf), tables.benchmark_queries(spark, sf), depth, id_col="chunk_id"
@@ -247,28 +244,6 @@ def semantic_search_topk(spark, sf):
     return _semantic(spark, sf)
 
 
-def _cells(spark: SparkSession, sf: str, **options) -> DataFrame:
-    vectors = tables.vectors(spark, sf)
-    centroids = cell_ops.train_centroids(vectors, 16)
-    path = shared_dir(spark, "cells")
-    cell_ops.write_cells(cell_ops.assign_cells(vectors, centroids), path, vectors.count())
-    laid = spark.read.parquet(path)
-    found = cell_ops.describe_cells(laid, centroids)
-    return cell_ops.cell_search(laid, tables.query_vectors(spark, sf), found, 10, **options)
-
-
-@register
-def semantic_search_ivf(spark, sf):
-    """Search in vector cells, extended until no other cell can hold a better vector."""
-    return _cells(spark, sf, probes=4, exact=True)
-
-
-@register
-def semantic_search_ivf_probed(spark, sf):
-    """Search in the nearest vector cells only; approximate."""
-    return _cells(spark, sf, probes=4)
-
-
 @register
 def rrf_fusion(spark, sf):
     lists = {"lexical": _lexical(spark, sf), "semantic": _semantic(spark, sf)}
@@ -389,14 +364,20 @@ def citations_for_display(spark, sf):
 # ---- chats ----------------------------------------------------------------------
 
 
+def _callers(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "events").where("event_type = 'click'").select("user_id").distinct()
+
+
 @register
 def thread_list(spark, sf):
-    return chats.list_threads(chats.summarize_threads(domain.message_log(spark, sf)))
+    """Threads of the users who clicked, as callers."""
+    return chats.list_threads(chats.summarize_threads(domain.message_log(spark, sf)), _callers(spark, sf))
 
 
 @register
 def thread_history(spark, sf):
-    rows = chats.thread_history(domain.message_log(spark, sf))
+    """Messages of the users who clicked, as callers."""
+    rows = chats.thread_history(domain.message_log(spark, sf), _callers(spark, sf))
     return rows.select("thread_id", "ordinal", "user_id", "role", "text", "created_at")
 
 
@@ -422,6 +403,15 @@ def thread_access(spark, sf):
     return chats.resolve_threads(requests, threads, ["event_id"])
 
 
+@register
+def document_access(spark, sf):
+    """Every event as a request for the document its properties name; many don't exist."""
+    requests = tables.table(spark, sf, "events").select(
+        "event_id", (F.variant_get(F.parse_json("props"), "$.k", "bigint") * 7).alias("doc_id")
+    )
+    return chats.resolve_ids(requests, tables.table(spark, sf, "documents"), "doc_id")
+
+
 @register
 def ui_message_conversion(spark, sf):
     """Messages to their stored JSON form and back."""

@@ -21,10 +21,13 @@ log = logging.getLogger(__name__)
 
 
 def fetch_pages(companies: DataFrame, user_agent: str, base: str = SUBMISSIONS_URL) -> DataFrame:
-    """Primary pages of the companies, then the pages they list; every page fetched once."""
+    """Primary pages of the companies, then the pages they list; every page fetched once.
+
+    Companies that share a CIK share its pages.
+    """
 
     def pages(names: DataFrame) -> DataFrame:
-        urls = names.select("file_name", F.concat(F.lit(f"{base}/"), "file_name").alias("url"))
+        urls = names.distinct().select("file_name", F.concat(F.lit(f"{base}/"), "file_name").alias("url"))
         return parse_pages(stored(fetch_json(urls, user_agent=user_agent).select("file_name", "json"), "pages"))
 
     primary = pages(companies.select(F.concat(F.lit("CIK"), "cik", F.lit(".json")).alias("file_name")))

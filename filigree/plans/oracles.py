@@ -98,6 +98,9 @@ SELECT accession_number AS "accessionNumber", suffix,
          || CASE WHEN suffix = '' THEN '.html' ELSE suffix END AS local_path
 FROM parts""",
         "filings_manifest": f"WITH {SELECTED} SELECT * FROM manifest",
+        "filings_manifest_header": f"""WITH {SELECTED}
+SELECT 'SEC EDGAR' AS source, {_q(','.join(SELECTION.annual_forms))} AS annual_forms,
+       {_q(','.join(SELECTION.fallback_forms))} AS fallback_forms, count(*) AS downloaded_count FROM manifest""",
         "filings_downloaded_counts": f"""WITH {SELECTED}
 SELECT split_part(local_path, '/', 1) AS year, count(*) AS downloaded_count FROM manifest GROUP BY ALL""",
     }
@@ -260,13 +263,15 @@ hits AS (
 EXCERPT = f"trim(substr(regexp_replace(text, '{BLANK}', ' ', 'g'), 1, 200))"
 
 
+KNOWN = "vec_id IN (SELECT doc_id FROM documents)"
+
+
 def _retrieval_oracles() -> dict[str, str]:
     lexical = f"WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 50)} SELECT * FROM lex"
     chunk_hits = f"{BENCH}, {DOC_CHUNKS}, " + "{hits}"
     german = "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
     return {
         "lexical_search_topk": lexical,
-        "lexical_search_indexed": lexical,
         "lexical_search_unicode": f"WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 50, breaks=UNICODE)} SELECT * FROM lex",
         "lexical_search_chunks": "WITH " + chunk_hits.format(hits=_bm25("lex", "chunks", "bench", 10, "chunk_id"))
         + " SELECT * FROM lex",
@@ -278,11 +283,10 @@ def _retrieval_oracles() -> dict[str, str]:
           FROM lex JOIN chunks h USING (chunk_id) JOIN chunks n ON n.doc_id = h.doc_id
           AND n.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1""",
         "semantic_search_topk": f"WITH {_cosine(50)} SELECT * FROM sem",
-        "semantic_search_ivf": f"WITH {_cosine(10)} SELECT * FROM sem",
         "rrf_fusion": f"WITH {_fused(100)} SELECT * FROM hits",
-        "hybrid_search_topk": f"WITH {_fused(10)} SELECT * FROM hits",
-        "search_filings_tool": f"""WITH {_fused(10)} SELECT hits.*, lang, source, n_chars, {EXCERPT} AS excerpt
-FROM hits JOIN documents USING (doc_id)""",
+        "hybrid_search_topk": f"WITH {_fused(10, vector_where=KNOWN)} SELECT * FROM hits",
+        "search_filings_tool": f"""WITH {_fused(10, vector_where=KNOWN)} SELECT hits.*, lang, source, n_chars, {EXCERPT} AS excerpt
+FROM hits LEFT JOIN documents USING (doc_id)""",
         "search_filtered_by_lang": f"WITH {_fused(10, 'lang = ' + _q('en'), german.replace('doc_id IN', 'vec_id IN'))} SELECT * FROM hits",
         "search_balanced_per_source": f"WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 2, facet='source')} SELECT * FROM lex",
         "search_insufficient_evidence": f"""WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 50)}, {_cosine(50)},
@@ -350,6 +354,9 @@ parts AS (
     CASE WHEN event_type = 'error' THEN 'retrieval_failed' END AS payload FROM words)"""
 
 
+CALLERS = "(SELECT user_id FROM events WHERE event_type = 'click')"
+
+
 def _chat_oracles() -> dict[str, str]:
     passed = f"{STATUS}, owners AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id FROM events)"
     owner = "LEFT JOIN owners ON event_id = thread_id * 8 + ordinal WHERE status <> 'grounding_failed'"
@@ -373,8 +380,11 @@ UNION ALL SELECT turn_id || '-assistant', thread_id, user_id, CAST(ordinal + 1 A
         "turn_usage": f"""WITH {passed} SELECT thread_id, user_id, turn_id,
 CAST(len({_tokens('question')}) AS BIGINT) AS input_tokens, CAST(len({_tokens('said')}) AS BIGINT) AS output_tokens
 FROM judged {owner}""",
-        "thread_list": f"WITH {THREADS} SELECT * FROM threads",
-        "thread_history": f"WITH {LOG} SELECT thread_id, ordinal, user_id, role, text, created_at FROM log",
+        "thread_list": f"WITH {THREADS} SELECT * FROM threads WHERE user_id IN {CALLERS}",
+        "thread_history": f"""WITH {LOG} SELECT thread_id, ordinal, user_id, role, text, created_at FROM log
+WHERE user_id IN {CALLERS}""",
+        "document_access": """WITH asked AS (SELECT event_id, 7 * CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id FROM events)
+SELECT event_id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM documents) THEN 'ok' ELSE 'not_found' END AS access FROM asked""",
         "thread_last_turn": """SELECT conv_id AS thread_id, max(turn) AS ordinal, arg_max(role, turn) AS role,
 arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""",
         "turn_pairs": f"WITH {TURNS} SELECT thread_id, ordinal, question, answer FROM pairs",

@@ -30,10 +30,11 @@ def build_session(app: str = "filigree", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared folder for one written table.
 
-    The folder is `spark.checkpoint.dir`. Only a local master, where driver and
-    executors are one process, may fall back to a machine-local folder.
+    The folder is `spark.checkpoint.dir`, or that of the context. Only a local master,
+    where driver and executors are one process, may fall back to a machine-local folder.
+    Tables there live until whoever owns the folder empties it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")

@@ -2,10 +2,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from filigree.operators.bounded import fits
-from filigree.operators.manifest import DOCUMENT_ROWS, manifest_document
+from filigree.operators.manifest import manifest_header
 from filigree.schemas import MANIFEST_COLUMNS
 from filigree.sources.parameters import Selection
 
@@ -49,17 +47,13 @@ def export_raw_files(filings: DataFrame, base_uri: str) -> DataFrame:
 
 
 def write_manifest(rows: DataFrame, order: list[str], path: str, selection: Selection = Selection()) -> DataFrame:
-    """Write the manifest last, as the mark of a complete run, and return its rows.
+    """Write the manifest, its header last as the mark of a complete run, and return its rows.
 
-    Up to a bound it is one indented JSON document; a longer list is written as sorted
-    JSON lines, one filing each.
+    The layout is the same at every size: `<path>/filings` holds the filings in order as
+    JSON lines, `<path>/header` one JSON object.
     """
-    if fits(rows, DOCUMENT_ROWS):
-        document = manifest_document(rows, order, selection)
-        text = document.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
-        text.coalesce(1).write.mode("overwrite").text(path)
-    else:
-        rows.orderBy(*order).select(*MANIFEST_COLUMNS).write.mode("overwrite").json(path)
+    rows.orderBy(*order).select(*MANIFEST_COLUMNS).write.mode("overwrite").json(f"{path}/filings")
+    manifest_header(rows, selection).coalesce(1).write.mode("overwrite").json(f"{path}/header")
     return rows
 
 

@@ -5,7 +5,8 @@ import pytest
 
 from filigree.functions.filing_paths import suffix
 from filigree.operators.filings import extract_filings, select_filings
-from filigree.operators.manifest import manifest_document, manifest_rows
+from filigree.operators.manifest import manifest_header, manifest_rows
+from filigree.plans import download
 from filigree.plans.download import download_filings
 from filigree.sinks.files import write_manifest
 from filigree.sources.parameters import Selection, tickers
@@ -98,18 +99,47 @@ def test_hand_worked_selection(spark, tmp_path):
     assert rows[0]["cik"] == "0000000101"
 
 
-def test_manifest_document(spark, tmp_path):
+def test_manifest_has_one_layout(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
     rows = manifest_rows(select_filings(filings(spark, pages), SELECTION), ["ticker_ord", "rank"])
-    doc = manifest_document(rows, ["ticker_ord", "rank"], SELECTION, datetime(2026, 6, 1, tzinfo=UTC)).collect()[0]
-    assert doc["downloaded_count"] == 8
-    assert [f["accession_number"] for f in doc["filings"]] == [e[1] for e in EXPECTED]
-    assert doc["generated_at_utc"] == "2026-06-01T00:00:00+00:00"
+    head = manifest_header(rows, SELECTION, datetime(2026, 6, 1, tzinfo=UTC)).collect()[0]
+    assert head["downloaded_count"] == 8
+    assert head["generated_at_utc"] == "2026-06-01T00:00:00+00:00"
     out = tmp_path / "manifest"
     write_manifest(rows, ["ticker_ord", "rank"], str(out), SELECTION)
-    text = "".join(p.read_text() for p in out.glob("part-*"))
-    assert json.loads(text)["filings"][2]["local_path"] == EXPECTED[2][2]
+    lines = [json.loads(x) for p in sorted((out / "filings").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [f["accession_number"] for f in lines] == [e[1] for e in EXPECTED]
+    assert lines[2]["local_path"] == EXPECTED[2][2]
+    (header,) = (out / "header").glob("part-*")
+    assert json.loads(header.read_text())["downloaded_count"] == 8
+
+
+def test_companies_that_share_a_cik(spark, monkeypatch):
+    """Each of two tickers of one page gets its five different filings, and the page is fetched once."""
+    recent = {
+        "form": ["10-K"] * 6,
+        "accessionNumber": [f"0000000101-2{i}-000001" for i in range(6)],
+        "primaryDocument": [f"d{i}.htm" for i in range(6)],
+        "filingDate": [f"202{i}-11-01" for i in range(6)],
+        "reportDate": [f"202{i}-09-30" for i in range(6)],
+    }
+    asked = []
+
+    def fetch_json(urls, user_agent):
+        names = [r["file_name"] for r in urls.collect()]
+        asked.extend(names)
+        page = json.dumps({"filings": {"recent": recent, "files": []}})
+        return spark.createDataFrame([(n, page) for n in names], "file_name string, json string")
+
+    monkeypatch.setattr(download, "fetch_json", fetch_json)
+    companies = tickers(spark, ["A1", "A2"], {"A1": "0000000101", "A2": "0000000101"})
+    blocks = page_blocks(download.fetch_pages(companies, "agent"))
+    found = select_filings(extract_filings(blocks.join(companies, "cik")), SELECTION).collect()
+    assert asked == ["CIK0000000101.json"]
+    for ticker in ("A1", "A2"):
+        mine = [r["accession_number"] for r in found if r["ticker"] == ticker]
+        assert len(mine) == len(set(mine)) == 5
 
 
 def test_unequal_columns_fail(spark, tmp_path):
@@ -187,5 +217,5 @@ def test_whole_run_from_a_file_site(spark, tmp_path):
     assert rows.count() == 8
     assert {str(p.relative_to(out)) for p in out.glob("2*/*")} == {e[2] for e in EXPECTED}
     assert (out / EXPECTED[2][2]).read_text() == f"<p>{EXPECTED[2][1]}"
-    text = "".join(p.read_text() for p in (out / "manifest").glob("part-*"))
+    text = "".join(p.read_text() for p in (out / "manifest" / "header").glob("part-*"))
     assert json.loads(text)["downloaded_count"] == 8

@@ -91,3 +91,17 @@ def test_postings(spark, texts):
 def test_unicode_tokens(spark):
     assert one(spark, lambda c: tokens(c, unicode=True), "Größe l'été 42") == ["größe", "l", "été", "42"]
     assert one(spark, tokens, None) == []
+
+
+def test_sections_keep_every_character(spark):
+    text = "a\u0001b\n# One\u0001\n\u0001# x\f## Two\ntail\f\f"
+    parts = one(spark, sections, text)
+    assert "".join(p["text"] for p in parts) == text
+    assert [(p["section"], p["page"]) for p in parts] == [(None, 1), ("One\u0001", 1), ("Two", 2), ("Two", 3), ("Two", 4)]
+
+
+def test_sections_of_many_headings(spark):
+    text = "".join(f"# h{i}\nbody\n" for i in range(5000))
+    parts = one(spark, sections, text)
+    assert len(parts) == 5000 and parts[-1]["section"] == "h4999" and parts[-1]["section_index"] == 4999
+    assert parts[-1]["start"] + len(parts[-1]["text"]) == len(text)
