@@ -283,7 +283,13 @@ def search_balanced_per_source(spark, sf):
 
 @register
 def search_insufficient_evidence(spark, sf):
-    return evidence_status(tables.benchmark_queries(spark, sf), _lexical(spark, sf), _semantic(spark, sf))
+    """Evidence for queries of which some share no term, some no vector and some neither with the corpus."""
+    strange = F.when(F.col("query_id") % 3 == 0, F.regexp_replace("text", "[A-Za-z]+", "zzq")).otherwise(F.col("text"))
+    asked = tables.benchmark_queries(spark, sf).withColumn("text", strange)
+    near = tables.query_vectors(spark, sf).where("query_id % 2 = 0")
+    docs = tables.documents(spark, sf, "doc_id", "text")
+    lexical = lexical_search(docs, asked, LIST_DEPTH)
+    return evidence_status(asked, lexical, semantic_search(tables.vectors(spark, sf), near, LIST_DEPTH))
 
 
 # ---- grounding ------------------------------------------------------------------
@@ -452,6 +458,12 @@ def turn_persistence(spark, sf):
     )
 
 
+@register
+def turn_citations(spark, sf):
+    """The stored citations of turns that passed."""
+    return _persisted(spark, sf)["message_citations"]
+
+
 @register
 def turn_usage(spark, sf):
     return _persisted(spark, sf)["usage"]

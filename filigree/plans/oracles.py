@@ -289,9 +289,11 @@ def _retrieval_oracles() -> dict[str, str]:
 FROM hits LEFT JOIN documents USING (doc_id)""",
         "search_filtered_by_lang": f"WITH {_fused(10, 'lang = ' + _q('en'), german.replace('doc_id IN', 'vec_id IN'))} SELECT * FROM hits",
         "search_balanced_per_source": f"WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 2, facet='source')} SELECT * FROM lex",
-        "search_insufficient_evidence": f"""WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 50)}, {_cosine(50)},
+        "search_insufficient_evidence": f"""WITH bench AS (
+  SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN regexp_replace(text, '[A-Za-z]+', 'zzq', 'g') ELSE text END AS text
+  FROM benchmark), {_bm25('lex', 'documents', 'bench', 50)}, {_cosine(50)},
 l AS (SELECT query_id, count(*) AS n_lexical FROM lex GROUP BY ALL),
-s AS (SELECT query_id, max(score) AS best_cosine FROM sem GROUP BY ALL)
+s AS (SELECT query_id, max(score) AS best_cosine FROM sem WHERE query_id % 2 = 0 GROUP BY ALL)
 SELECT query_id, coalesce(n_lexical, 0) AS n_lexical, best_cosine,
        CASE WHEN coalesce(n_lexical, 0) = 0 AND coalesce(best_cosine, -1) < 0.2 THEN 'insufficient' ELSE 'ok' END AS status
 FROM bench LEFT JOIN l USING (query_id) LEFT JOIN s USING (query_id)""",
@@ -377,6 +379,10 @@ SELECT turn_id || '-user' AS message_id, thread_id, user_id, CAST(ordinal AS INT
        CAST(length(question) AS INT) AS n_chars FROM judged {owner}
 UNION ALL SELECT turn_id || '-assistant', thread_id, user_id, CAST(ordinal + 1 AS INT), 'assistant',
        CAST(length(said) AS INT) FROM judged {owner}""",
+        "turn_citations": f"""WITH {passed}
+SELECT DISTINCT c.turn_id || '-' || c.doc_id AS citation_id, c.turn_id || '-assistant' AS message_id,
+       CAST(c.doc_id AS VARCHAR) AS chunk_id, user_id
+FROM cited c JOIN judged USING (turn_id) {owner}""",
         "turn_usage": f"""WITH {passed} SELECT thread_id, user_id, turn_id,
 CAST(len({_tokens('question')}) AS BIGINT) AS input_tokens, CAST(len({_tokens('said')}) AS BIGINT) AS output_tokens
 FROM judged {owner}""",
