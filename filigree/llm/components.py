@@ -25,19 +25,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return kept.unionByName(least.select(F.col("node").alias("high"), F.col("least").alias("low"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two lower neighbours, or a lower and a higher one."""
+    ends = edges.select(F.col("high").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("low").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return ends.where("below > 1 OR below = 1 AND above = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of `edges` (low, high); a component is its least node.
 
-    Rounds end when an edge table repeats itself; their number grows with the logarithm of
+    Rounds end when all that is left are stars; their number grows with the logarithm of
     the longest path. Each round is written to the shared folder.
     """
     now = written(edges.where("low < high").select("high", "low").distinct(), "edges")
-    mark = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("high", "low")).alias("x")).first()
-        if seen["n"] == 0 or (seen["n"], seen["x"]) == mark:
-            break
-        mark = (seen["n"], seen["x"])
+    while not _are_stars(now):
         now = written(_star(_star(now, True), False), "edges")
     stars = now.select(F.col("high").alias("node"), F.col("low").alias("component"))
     return stars.unionByName(now.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())

@@ -33,9 +33,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 RECALL, PICKS = 0.99999, 4.0
 RUNS = math.ceil(math.log(1 - RECALL) / (-THRESHOLD * PICKS))
 #: Shingles kept for deeper splits, and the share of them that a split follows.
-DEEP, FOLLOWED = 64, 8
+DEEP, FOLLOWED = 64, 16
 #: Buckets up to this size are compared; deeper than this no bucket is split.
-BRUTE, DEPTH = 256, 4
+BRUTE, DEPTH = 1024, 6
+#: Classes of a block whose sets are compared exactly.
+EXACT = 256
 #: Sketch size, and the agreement that nominates: 4 standard errors below the threshold.
 SKETCH = 128
 NOMINATE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
@@ -135,13 +137,18 @@ class _Forest:
             self.parent[max(a, b)] = min(a, b)
         return a != b
 
+    def stars(self) -> tuple[list[int], list[int]]:
+        """An edge from each root, the least of its tree, to every other node."""
+        edges = [(self.root(x), x) for x in list(self.parent)]
+        return [r for r, x in edges if r != x], [x for r, x in edges if r != x]
+
 
 def _nominate(batches):
-    """Edges (low, high) of a spanning forest of the pairs whose sketches agree enough."""
+    """Edges (low, high) that tie classes to the least one that their sketches lead to."""
     for frame in groups(batches, "path"):
         keys, ids = frame["path"].to_numpy(), frame["rep"].to_numpy()
         bytes_ = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), SKETCH)
-        forest, low, high = _Forest(), [], []
+        forest = _Forest()
         at, gap = np.arange(len(keys)), 1
         while True:
             at = at[at + gap < len(keys)]
@@ -152,21 +159,19 @@ def _nominate(batches):
                 part = at[begin : begin + 65_536]
                 alike = (bytes_[part] == bytes_[part + gap]).sum(axis=1) >= NOMINATE * SKETCH
                 for i in part[alike].tolist():
-                    a, b = int(ids[i]), int(ids[i + gap])
-                    if a != b and forest.joins(a, b):
-                        low.append(min(a, b))
-                        high.append(max(a, b))
+                    forest.joins(int(ids[i]), int(ids[i + gap]))
             gap += 1
+        low, high = forest.stars()
         yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["low", "high"])
 
 
-def blocks(members: DataFrame, key: str) -> DataFrame:
+def blocks(members: DataFrame, key: str, size: int) -> DataFrame:
     """Members (key, rep, size of the group `n`) under keys of two blocks each.
 
-    A group of at most `BRUTE` has one block. `side` is 0 or 1 for the two blocks; a block
+    A group of at most `size` has one block. `side` is 0 or 1 for the two blocks; a block
     with itself has only side 0.
     """
-    n_blocks = F.ceil(F.col("n") / BRUTE).cast("int")
+    n_blocks = F.ceil(F.col("n") / size).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     out = members.withColumn("n_blocks", n_blocks).withColumn("own", own)
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
@@ -176,7 +181,7 @@ def blocks(members: DataFrame, key: str) -> DataFrame:
 
 def buckets(reps: DataFrame) -> DataFrame:
     """(path, rep, n): the buckets to compare, of two classes at least."""
-    nodes = reps.select("rep", F.explode("paths").alias("path")).distinct()
+    nodes = reps.select("rep", F.explode(F.array_distinct("paths")).alias("path"))
     leaves = None
     for depth in range(DEPTH + 1):
         sizes = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
@@ -188,15 +193,15 @@ def buckets(reps: DataFrame) -> DataFrame:
         if depth == DEPTH:
             leaves = leaves.unionByName(large)
             break
-        split = large.join(reps.select("rep", "deep"), "rep").select("path", "rep", "n", F.explode("deep").alias("shingle"))
-        split = split.where(F.pmod(F.xxhash64("path", "shingle"), F.lit(FOLLOWED)) == 0)
+        followed = F.filter("deep", lambda x: F.pmod(F.xxhash64("path", x), F.lit(FOLLOWED)) == 0)
+        split = large.join(reps.select("rep", "deep"), "rep").select("path", "rep", "n", F.explode(followed).alias("shingle"))
         child = F.xxhash64("shingle", "path")
         split = written(split.select("path", "rep", "n", child.alias("child")), "children")
         parts = split.groupBy("path", "child", "n").agg(F.count("*").alias("m"))
         dense = parts.groupBy("path").agg((F.sum(F.col("m") * F.col("m")) / F.sum("m") / F.max("n")).alias("share"))
         dense = dense.where("share >= 0.25").select("path")
         leaves = leaves.unionByName(large.join(dense, "path", "left_semi"))
-        nodes = split.join(dense, "path", "left_anti").select("rep", F.col("child").alias("path")).distinct()
+        nodes = split.join(dense, "path", "left_anti").select("rep", F.col("child").alias("path"))
     return leaves
 
 
@@ -212,8 +217,9 @@ def _count_links(batches):
             ids, copies, sides = (group[c].to_numpy() for c in ("rep", "copies", "side"))
             sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
             size = np.array([len(x) for x in sets])
-            _, at = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(len(sets)), size)
+            _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sets)), size)[times[at] > 1]
+            at = (np.cumsum(times > 1) - 1)[at[times[at] > 1]]  # shingles of one set alone are shared by no pair
             order = np.argsort(at, kind="stable")
             at, owner = at[order], owner[order]
             shared = np.zeros((len(sets), len(sets)), np.float32)
@@ -229,15 +235,17 @@ def _count_links(batches):
             if sides.any():
                 linked &= sides[:, None] != sides[None, :]
             a, b = np.nonzero(linked)
+            # counts are whole numbers far below 2**24, so exact in single precision
             exact = shared[a, b].astype(np.int64) * 5 >= 4 * (size[a] + size[b] - shared[a, b].astype(np.int64))
             a, b = a[exact], b[exact]
             count = np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
             forest = _Forest()
             for x, y in zip(ids[a].tolist(), ids[b].tolist()):
-                if forest.joins(x, y):
-                    low.append(min(x, y))
-                    high.append(max(x, y))
-                    links.append(None)
+                forest.joins(x, y)
+            tied = forest.stars()
+            low += tied[0]
+            high += tied[1]
+            links += [None] * len(tied[0])
             for i in np.flatnonzero(count).tolist():
                 low.append(int(ids[i]))
                 high.append(None)
@@ -266,32 +274,29 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     keyed = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     base = written(keyed.mapInArrow(_describe, SET_FIELDS), "sets")
     known = base.where("doc_id IS NOT NULL")
-    once = known.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    members = known.select("doc_id", "text_hash", "size", "set1", "set2").join(once, ["doc_id", "text_hash"])
-    members = written(members.dropDuplicates(["doc_id"]), "members")
+    once = known.groupBy("doc_id").agg(F.min(F.struct("text_hash", "size", "set1", "set2")).alias("m"))
+    members = written(once.select("doc_id", "m.*"), "members")
     same = members.where("size > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(same, "classes")
-    reps = known.join(
-        classes.select(F.col("rep").alias("doc_id"), "set1", "set2"), ["doc_id", "set1", "set2"], "left_semi"
-    ).dropDuplicates(["doc_id"])
-    reps = written(reps.select(F.col("doc_id").alias("rep"), "text_hash", "paths", "deep", "sketch"), "reps")
+    of_class = ["doc_id", "set1", "set2"]
+    reps = known.join(classes.withColumnRenamed("rep", "doc_id"), of_class).dropDuplicates(of_class)
+    reps = written(reps.select(F.col("doc_id").alias("rep"), "text_hash", "copies", "paths", "deep", "sketch"), "reps")
 
-    met = blocks(buckets(reps), "path").where("n_blocks = 1 OR own <> other OR side = 0")
+    met = blocks(buckets(reps), "path", BRUTE).where("n_blocks = 1 OR own <> other OR side = 0")
     compared = met.select("path", "rep").join(reps.select("rep", "sketch"), "rep")
     compared = compared.repartition("path").sortWithinPartitions("path")
     nominated = components(compared.mapInArrow(_nominate, "low long, high long"))
     nominated = written(nominated.select(F.col("node").alias("rep"), "component"), "nominated")
 
     sizes = nominated.groupBy("component").agg(F.count("*").alias("n"))
-    cluster = nominated.join(sizes, "component").join(classes.select("rep", "copies"), "rep")
-    cluster = cluster.join(reps.select("rep", "text_hash"), "rep")
+    cluster = nominated.join(sizes, "component").join(reps.select("rep", "copies", "text_hash"), "rep")
     held = keyed.join(cluster, (F.col("rep") == F.col("doc_id")) & (keyed["text_hash"] == cluster["text_hash"]))
     held = held.select("rep", "copies", "component", "n", "text")
     with_sets = written(
         held.mapInArrow(_sets, "rep long, copies long, component long, n long, members binary").dropDuplicates(["rep"]),
         "shingles",
     )
-    paired = blocks(with_sets.withColumn("cluster", F.col("component")), "cluster")
+    paired = blocks(with_sets.withColumn("cluster", F.col("component")), "cluster", EXACT)
     paired = paired.select("cluster", "side", "rep", "copies", "members").repartition("cluster").sortWithinPartitions("cluster")
     told = written(paired.mapInArrow(_count_links, "low long, high long, links long"), "links")
     linked = components(told.where("high IS NOT NULL").select("low", "high"))
