@@ -6,7 +6,7 @@ shorter has at least `NEAR_WORDS` words. Of lines that are the same or near, the
 (by doc_id, then line) stays.
 
 Near lines have a half in common, so only lines that share a half with a different line
-emit their deletion variants. A variant is keyed by the hash of the words that are left:
+(by a bit set of the shared halves) emit their deletion variants. A variant is keyed by the hash of the words that are left:
 
 - two lines of n words whose variants without word i are equal differ in word i alone;
 - a line equal to a variant of another is that line without one word.
@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.common import fresh
+from filigree.llm.common import fresh, written
 
 NEAR_WORDS = 8
+#: Size of the bit set that holds back lines without a shared half.
+BITS_PER_KEY, MOST_BITS = 32, 1 << 27
 
 
 def lines_of(text: Column) -> Column:
@@ -29,7 +31,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\f\x0b", "    "), " "), "")
 
 
 def hashes(words: Column) -> tuple[Column, Column]:
@@ -57,37 +59,80 @@ def half_keys(words: Column) -> Column:
     )
 
 
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line and words of every line that isn't blank.
+
+    The words are made before the lines become rows, so that no filter on them, moved down
+    by the optimizer, cuts a line again.
+    """
+    worded = F.transform(lines_of(F.col("text")), line_words)
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(worded).alias("line", "words"))
+    return split.where(F.size("words") > 0)
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """h1, h2, first (doc_id, line) and halves of every different line that isn't blank."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(lines_of(F.col("text"))).alias("line", "body"))
-    split = split.select("doc_id", "line", line_words(F.col("body")).alias("words")).where(F.size("words") > 0)
-    keyed = split.select("doc_id", "line", *hashes(F.col("words")), half_keys(F.col("words")).alias("halves"))
+    keyed = split_lines(docs).select("doc_id", "line", *hashes(F.col("words")), half_keys(F.col("words")).alias("halves"))
     return keyed.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "line")).alias("first"), F.max("halves").alias("halves")
     )
 
 
+def marked(keys: DataFrame) -> DataFrame:
+    """A bit set (`bits`, array of 64-bit words, in one row) in which two bits of each `key` are on.
+
+    The set has at least `BITS_PER_KEY` bits a key, up to `MOST_BITS`, which bounds what
+    every task gets. A fuller set only lets more keys pass.
+    """
+    n_words = 1 << max(4, min(MOST_BITS // 64, keys.count() * BITS_PER_KEY // 64).bit_length())
+    bits = keys.select(F.explode(F.array(*_bits(F.col("key")))).alias("bit"))
+    words = bits.groupBy(F.pmod(F.shiftright("bit", 6), F.lit(n_words)).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("value")
+    )
+    every = keys.sparkSession.range(n_words).select(F.col("id").cast("int").alias("word"))
+    filled = every.join(words, "word", "left").select("word", F.coalesce("value", F.lit(0)).alias("value"))
+    return filled.agg(F.array_sort(F.collect_list(F.struct("word", "value")))["value"].alias("bits"))
+
+
+def _bits(key: Column) -> tuple[Column, Column]:
+    return key, F.xxhash64(key)
+
+
+def passing(table: DataFrame, keys: Column, shared: DataFrame) -> DataFrame:
+    """The rows of which one of the `keys` (an array) has its bits on in the set of `shared`.
+
+    All rows with a shared key pass, and a few others. Nothing is shuffled.
+    """
+
+    bits = F.col("bits")
+
+    def on(bit: Column) -> Column:
+        word = F.get(bits, F.pmod(F.shiftright(bit, 6), F.size(bits)).cast("int"))
+        return F.getbit(word, bit.bitwiseAND(63).cast("int")) == 1
+
+    held = table.withColumn("bits", marked(shared).scalar())
+    return held.where(F.exists(keys, lambda key: on(_bits(key)[0]) & on(_bits(key)[1]))).drop("bits")
+
+
+def repeated_keys(keys: DataFrame, name: str) -> DataFrame:
+    """`key`s that are in two rows at least."""
+    return written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), name)
+
+
 def variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Deletion variants of the lines that share a half with another line.
+    """Deletion variants of the lines that may share a half with another line.
 
-    Rows: line (h1, h2), first, n (words left), gap (the word left out, -1 for the whole
-    line) and the hash of what is left (v1, v2). The words come from the document that
-    holds the line first. Hashes of the left part and of the shifted right part are running
+    Rows: first (the place of the line), n (words left), gap (the word left out, -1 for the
+    whole line) and the hash of what is left (v1, v2). The texts are read again for the
+    words of these lines. Hashes of the left part and of the shifted right part are running
     XORs, so a line costs as much as it has words.
     """
-    halves = lines.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    near = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    near = lines.select("h1", "h2", "first").join(near, ["h1", "h2"], "left_semi")
-    at = near.groupBy(F.col("first.doc_id").alias("doc")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("wanted"))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = (
-        held.join(at, held["doc_id"].eqNullSafe(at["doc"]))
-        .select(lines_of(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
-        .select("w.*", line_words(F.get("lines", F.col("w.first.line"))).alias("words"))
-        .where(F.xxhash64("words") == F.col("h1"))
-        .groupBy("h1", "h2")
-        .agg(F.first("first").alias("first"), F.first("words").alias("words"))
+    shared = repeated_keys(lines.select(F.explode("halves").alias("key")), "halves")
+    near = passing(lines, F.col("halves"), shared).select("first.doc_id", "first.line", "h1", "h2", "first")
+    split = passing(split_lines(docs), half_keys(F.col("words")), shared)
+    found = split.join(near, (split["doc_id"].eqNullSafe(near["doc_id"])) & (split["line"] == near["line"]))
+    found = found.where(F.xxhash64("words") == F.col("h1")).groupBy("h1", "h2").agg(
+        F.first("first").alias("first"), F.first("words").alias("words")
     )
     one = Window.partitionBy("h1", "h2")
     before, upto = one.orderBy("at").rowsBetween(Window.unboundedPreceding, -1), one.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,21 +143,24 @@ def variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
         return kept.bitwiseXOR(F.bit_xor(moved).over(one)).bitwiseXOR(F.bit_xor(moved).over(upto))
 
     words = found.select("h1", "h2", "first", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    gaps = words.select(
-        "h1", "h2", "first", (F.col("n") - 1).alias("n"), F.col("at").alias("gap"), left_out(0).alias("v1"), left_out(1).alias("v2")
-    )
+    gaps = words.select("first", (F.col("n") - 1).alias("n"), F.col("at").alias("gap"), left_out(0).alias("v1"), left_out(1).alias("v2"))
     whole = words.groupBy("h1", "h2").agg(
         F.first("first").alias("first"),
         F.max("n").alias("n"),
         F.lit(-1).alias("gap"),
         *[F.bit_xor(F.xxhash64(F.lit(salt), "word", "at")).alias(f"v{salt + 1}") for salt in (0, 1)],
     )
-    return gaps.unionByName(whole)
+    return gaps.unionByName(whole.drop("h1", "h2"))
 
 
 def beaten_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1, h2 of the lines that have a near line before them."""
-    every = variants(docs, lines)
+    """`first` of the lines that have a near line before them.
+
+    Variants whose hash is in no second row are held back by a bit set; of the others, each
+    group of equal variants is reduced to its earliest line and compared with it.
+    """
+    every = written(variants(docs, lines), "variants")
+    every = passing(every, F.array("v1"), repeated_keys(every.select(F.col("v1").alias("key")), "variant-keys"))
     of = ["n", "v1", "v2"]
     substituted = every.where("gap >= 0").groupBy(*of, "gap").agg(F.min("first").alias("best"))
     swapped = every.where("gap >= 0").join(substituted, [*of, "gap"]).where("best < first")
@@ -125,7 +173,7 @@ def beaten_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     dropped = without.join(ends, of).where(
         F.when(F.col("gap") == -1, F.col("long") < F.col("first")).otherwise(F.col("short") < F.col("first"))
     )
-    return swapped.select("h1", "h2").unionByName(dropped.select("h1", "h2")).distinct()
+    return written(swapped.select("first").unionByName(dropped.select("first")).distinct(), "beaten")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -136,8 +184,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stay. A null text stays null and an empty one empty; a document that loses all its
     lines keeps its row. Rows with the same doc_id are taken as copies of one document.
     """
-    lines = distinct_lines(docs)
-    kept = lines.join(beaten_lines(docs, lines), ["h1", "h2"], "left_anti")
+    lines = written(distinct_lines(docs), "lines")
+    kept = lines.select("first").join(beaten_lines(docs, lines), "first", "left_anti")
     kept = kept.groupBy(F.col("first.doc_id").alias("kept_doc")).agg(F.collect_list("first.line").alias("kept_lines"))
     kept_doc, kept_lines = fresh(docs, "kept_doc"), fresh(docs, "kept_lines")
     kept = kept.select(F.col("kept_doc").alias(kept_doc), F.col("kept_lines").alias(kept_lines))
