@@ -85,16 +85,10 @@ def units(text: Column) -> Column:
     return F.concat(lines, several(paragraphs), whole)
 
 
-def with_bigrams(table: DataFrame, text: str) -> DataFrame:
-    """`table` with `grams`, the hashes of the different pairs of neighbouring words of a text.
-
-    The words are a column of their own, so that a text is cut once and not for every pair.
-    """
-    worded = table.withColumn("words", words_of(F.col(text))).drop(text)
-    firsts = F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))
-    seconds = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
-    grams = F.array_distinct(F.zip_with(firsts, seconds, lambda a, b: F.xxhash64(a, b)))
-    return worded.withColumn("grams", grams).drop("words")
+def bigrams(words: Column) -> Column:
+    """Hashes of the different pairs of neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
 
 
 def license_scan(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,10 +99,14 @@ def license_scan(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD
     paragraphs, then the whole. Rows that repeat a doc_id count as one document. The
     templates are broadcast; they are a parameter of some hundred texts, not a corpus.
     """
-    wanted = with_bigrams(known.select("template", "license", "text"), "text").withColumn("t", F.size("grams"))
+    wanted = known.select("template", "license", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    wanted = wanted.select("template", "license", bigrams(F.col("words")).alias("grams")).withColumn("t", F.size("grams"))
     sized = wanted.select("template", "license", "t", F.explode("grams").alias("gram"))
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(units(F.coalesce("text", F.lit("")))).alias("unit", "body"))
-    own = with_bigrams(parts, "body").withColumn("s", F.size("grams"))
+    # The words are made before the units become rows, so that no filter moved down cuts them again.
+    worded = F.transform(units(F.coalesce("text", F.lit(""))), words_of)
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(worded).alias("unit", "words"))
+    own = parts.where(F.size("words") > 1).select("doc_id", "unit", bigrams(F.col("words")).alias("grams"))
+    own = own.withColumn("s", F.size("grams"))
     bounds = wanted.where("t > 0").agg(F.min("t").alias("least"), F.max("t").alias("most")).first()
     ratio = threshold / (2 - threshold)
     own = own.where((F.col("s") >= (bounds["least"] or 0) * ratio) & (F.col("s") <= (bounds["most"] or 0) / ratio))
