@@ -142,7 +142,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
     Rows are ranged by doc_id first, so each task encodes and writes a run of the order on
     its own, and a lost task is simply run again. A null text is empty; equal doc_ids stay
-    neighbours, ordered by a hash of the text. An empty table writes no segment.
+    neighbours, ordered by a hash of the text. Rows without doc_id have no place in the
+    order and are not written. An empty table writes no segment.
     """
 
     def encode(batches):
