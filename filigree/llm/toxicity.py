@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import fresh, texts
+from filigree.llm.common import fresh, texts, written
 
 HASH_BITS = 30
 FACTORS = 8
@@ -181,17 +181,37 @@ def train(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
 
     def terms(frames):
         for frame in frames:
-            hashed = [np.unique(np.array([t for c in set(x.split()) for t in word_terms(c)], np.int64)) for x in frame["text"]]
+            hashed = [np.unique(np.array([t for c in set(x.split()) for t in word_terms(c)], np.int32)) for x in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": hashed})
 
     labelled = texts(docs).join(F.broadcast(sample), "doc_id")
-    rows = labelled.mapInPandas(terms, "doc_id long, toxic int, terms array<long>").toPandas()
-    rows["size"] = rows["terms"].map(len)
-    rows = rows.sort_values(["doc_id", "size"]).drop_duplicates("doc_id")
+    found = labelled.mapInPandas(terms, "doc_id long, toxic int, terms array<int>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.size("terms").alias("n"), "toxic", "terms")).alias("t"))
+    found = written(found.select("doc_id", "t.toxic", "t.terms"), "labelled-terms")
+    kept = set(_telling(found))
+
+    def known(frames):
+        for frame in frames:
+            yield frame.assign(terms=[[t for t in x if t in kept] for x in frame["terms"]])
+
+    rows = found.mapInPandas(known, "doc_id long, toxic int, terms array<int>").orderBy("doc_id").toPandas()
     share = counts.get(1, 0) / sum(counts.values())
     return fit([np.asarray(x, np.int64) for x in rows["terms"]], rows["toxic"].to_numpy(), share)
 
 
+def _telling(found: DataFrame) -> list[int]:
+    """`telling_terms` of the sample, counted by Spark: the driver gets `TERMS` numbers at most."""
+    size = found.agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")).first()
+    n, ones = size["n"], size["ones"] or 0
+    with_term = found.select(F.explode("terms").alias("term"), "toxic").groupBy("term")
+    counted = with_term.agg(F.count("*").alias("texts"), F.sum("toxic").alias("toxic")).where(F.col("texts") >= MIN_TEXTS)
+    expected = F.col("texts") * ones / max(1, n)
+    spread = F.col("texts") * (n - F.col("texts")) * float(ones) * float(n - ones) / float(max(1, n)) ** 3
+    chi = F.pow(F.col("toxic") - expected, F.lit(2)) / F.greatest(spread, F.lit(1e-9))
+    best = counted.withColumn("chi", chi).where("chi > 0").orderBy(F.desc("chi"), "term").limit(TERMS)
+    return [r["term"] for r in best.select("term").collect()]
+
+
 def with_score(docs: DataFrame, model: FactorizationMachine, name: str) -> DataFrame:
     """All columns of `docs` and the score of the whole text; a null text is empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
