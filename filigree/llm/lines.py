@@ -134,6 +134,7 @@ def variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
     found = found.where(F.xxhash64("words") == F.col("h1")).groupBy("h1", "h2").agg(
         F.first("first").alias("first"), F.first("words").alias("words")
     )
+    found = written(found, "near-lines")  # read twice below; the scan behind it is the costly part
     one = Window.partitionBy("h1", "h2")
     before, upto = one.orderBy("at").rowsBetween(Window.unboundedPreceding, -1), one.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
 
