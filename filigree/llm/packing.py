@@ -2,8 +2,9 @@
 
 The histogram of piece lengths (at most `capacity` numbers, whatever the corpus) is all
 that the driver sees. Patterns of up to three lengths that fill a sequence exactly are
-fitted to it by non-negative least squares; their rounded repeat counts are taken, and what
-is left is placed best-fit by counts, so the plan stays a few thousand patterns. Pieces
+fitted to it by non-negative least squares; their rounded repeat counts are taken unless
+they cost a sequence, and what is left is placed best-fit by counts, so the plan stays a few
+thousand patterns. Pieces
 then find their place by their rank among the pieces of their length.
 """
 from __future__ import annotations
@@ -23,6 +24,8 @@ from filigree.llm.tokens import encoder
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rounds of the multiplicative least-squares update.
 FIT_ROUNDS = 60
+#: Fits of the pieces left at most, and blocks that a fit's counts are halved into at most.
+REFITS, BLOCKS = 4, 64
 #: Salt buckets per length at least; more as pieces grow, at about this many pieces each.
 SALTS, PIECES_PER_SALT = 64, 2_000_000
 
@@ -119,32 +122,59 @@ def best_fit(histogram: np.ndarray, capacity: int) -> Counter:
     return out
 
 
+def repeats_of(patterns: np.ndarray, x: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and rounded repeat counts, most used first."""
+    order = np.argsort(-x, kind="stable")
+    order = order[x[order] + 0.5 >= 1]
+    return [(tuple(v for v in patterns[i].tolist() if v), int(x[i] + 0.5)) for i in order.tolist()]
+
+
+def take(wanted: list[tuple[tuple[int, ...], int]], histogram: np.ndarray) -> tuple[Counter, np.ndarray]:
+    """As many of the wanted repeats as there are pieces for, and the pieces left."""
+    left, taken = histogram.copy(), Counter()
+    for pattern, repeats in wanted:
+        repeats = min(repeats, *(int(left[v]) // k for v, k in Counter(pattern).items()))
+        if repeats > 0:
+            taken[pattern] += repeats
+            np.subtract.at(left, list(pattern), repeats)
+    return taken, left
+
+
 def plan(histogram: np.ndarray, capacity: int) -> Counter:
     """Patterns and repeat counts that hold exactly the pieces of the histogram.
 
-    Fitted patterns come first, fullest use first; the rest is packed best-fit. Where plain
-    best-fit needs fewer sequences (small inputs), that plan is taken.
+    Fitted patterns, and best-fit for the pieces that they leave. Blocks of repeat counts
+    are taken most used first; one that would need more sequences than its pieces placed
+    best-fit is halved, down to single patterns and repeats. The pieces left are fitted
+    again while that takes any and the sequences are above the bound.
     """
-    plain = best_fit(histogram, capacity)
-    lengths = np.flatnonzero(histogram)
-    patterns = exact_patterns(lengths[lengths > 0], capacity)
-    if not len(patterns):
-        return plain
-    x = fit_counts(patterns, histogram)
-    left = histogram.copy()
-    fitted: Counter = Counter()
-    for i in np.argsort(-x, kind="stable").tolist():
-        repeats = int(x[i] + 0.5)
-        if not repeats:
+    bound = -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
+    fitted, left = Counter(), histogram.copy()
+    rest = best_fit(left, capacity)
+    total = sum(rest.values())
+    for _ in range(REFITS):
+        lengths = np.flatnonzero(left)
+        patterns = exact_patterns(lengths[lengths > 0], capacity)
+        blocks = [repeats_of(patterns, fit_counts(patterns, left))] if len(patterns) else []
+        least, before = len(blocks[0]) // BLOCKS if blocks else 0, sum(fitted.values())
+        while blocks:
+            block = blocks.pop()
+            taken, after = take(block, left)
+            if not taken:
+                continue
+            filled = best_fit(after, capacity)
+            needs = sum(fitted.values()) + sum(taken.values()) + sum(filled.values())
+            if needs <= total:
+                fitted.update(taken)
+                left, rest, total = after, filled, needs
+            elif len(block) > max(1, least):
+                half = len(block) // 2
+                blocks += [block[half:], block[:half]]
+            elif max(r for _, r in block) > 1:
+                blocks.append([(p, r // 2) for p, r in block if r > 1])
+        if total == bound or sum(fitted.values()) == before:
             break
-        need = Counter(v for v in patterns[i].tolist() if v)
-        repeats = min(repeats, *(int(left[v]) // k for v, k in need.items()))
-        if repeats > 0:
-            fitted[tuple(v for v in patterns[i].tolist() if v)] += repeats
-            for v, k in need.items():
-                left[v] -= k * repeats
-    fitted.update(best_fit(left, capacity))
-    return fitted if sum(fitted.values()) < sum(plain.values()) else plain
+    return fitted + rest
 
 
 def slots(counts: Counter) -> dict[int, tuple[np.ndarray, ...]]:

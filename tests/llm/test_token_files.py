@@ -103,3 +103,16 @@ def test_fitted_patterns_beat_best_fit():
     bound = -(-(histogram * np.arange(2049)).sum() // 2048)
     assert sum(plan(histogram, 2048).values()) < sum(best_fit(histogram, 2048).values())
     assert sum(plan(histogram, 2048).values()) < 1.05 * bound
+
+
+def test_fitted_patterns_win_ties():
+    # best-fit alone meets the bound too, with sequences of four and five pieces that no pattern has
+    histogram = np.zeros(129, np.int64)
+    for length, n in {64: 40, 60: 30, 40: 60, 32: 90, 28: 30, 16: 80, 8: 100}.items():
+        histogram[length] = n
+    bound = -(-(histogram * np.arange(129)).sum() // 128)
+    assert sum(best_fit(histogram, 128).values()) == bound
+    patterns = plan(histogram, 128)
+    assert sum(patterns.values()) == bound
+    made = {p for p in patterns if len(p) <= 3 and sum(p) == 128}
+    assert sum(patterns[p] for p in made) > sum(n for p, n in best_fit(histogram, 128).items() if len(p) <= 3 and sum(p) == 128)
