@@ -40,7 +40,7 @@ def windows(table: DataFrame, at: str) -> DataFrame:
 
 
 def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Agreeing item positions for each (doc_id, item_id, shift) that a seed has hit."""
+    """Agreeing item positions for each (doc_id, text_hash, item_id, shift) that a seed has hit."""
     test = windows(items, "item_at").select("item_id", "item_at", "seed", F.size("words").alias("item_words"))
     shift = F.col("doc_at") - F.col("item_at")
     first = F.greatest(shift, F.lit(0))
@@ -49,11 +49,12 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         .join(F.broadcast(test), "seed")
         .select(
             "doc_id",
+            "text_hash",
             "item_id",
             shift.alias("shift"),
             F.slice("words", first + 1, F.col("item_words") - (first - shift)).alias("met"),
         )
-        .groupBy("doc_id", "item_id", "shift")
+        .groupBy("doc_id", "text_hash", "item_id", "shift")
         .agg(F.max("met").alias("met"))
     )
     skipped = F.greatest(-F.col("shift"), F.lit(0))
@@ -63,6 +64,7 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         .withColumn("skipped", skipped)
         .select(
             "doc_id",
+            "text_hash",
             "item_id",
             (F.col("shift") + F.col("skipped")).alias("start"),
             F.size("words").alias("item_words"),
@@ -71,23 +73,17 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Pairs of a document and a test item of which it holds at least `coverage`.
-
-    Rows: doc_id, item_id, start (first word of the document that meets the item),
-    n_matched (distinct item words that agree on some hit alignment), item_words, coverage.
-
-    Words are lower-case runs of letters and digits. Null or empty texts hold nothing;
-    items of fewer than SPAN words have no seed and are never found. Rows of one doc_id count
-    as one document, a null doc_id too; repeated items each give their pairs once.
-    """
+def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The pairs of `contaminated` for each text: its columns, and text_hash."""
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
         .where(F.size("words") >= SPAN)
         .groupBy("item_id")
         .agg(F.max("words").alias("words"))
     )
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")
+    )
     n_seeds = items.agg(F.sum(F.size("words")) * len(MASKS)).first()[0] or 0
     slices = -(-n_seeds // SEEDS_PER_SLICE) or 1
     parts = [
@@ -97,16 +93,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     matched = F.size(F.array_distinct(F.flatten(F.collect_list("agreeing"))))
     return (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("doc_id", "item_id", "item_words")
+        .groupBy("doc_id", "text_hash", "item_id", "item_words")
         .agg(F.min("start").alias("start"), matched.alias("n_matched"))
         .withColumn("coverage", F.round(F.col("n_matched") / F.col("item_words"), 6))
         .where(F.col("n_matched") >= F.lit(coverage) * F.col("item_words"))
-        .select("doc_id", "item_id", "start", "n_matched", "item_words", "coverage")
+        .select("doc_id", "text_hash", "item_id", "start", "n_matched", "item_words", "coverage")
+    )
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """Pairs of a document and a test item of which it holds at least `coverage`.
+
+    Rows: doc_id, item_id, start (first word of the document that meets the item),
+    n_matched (distinct item words that agree on some hit alignment), item_words, coverage.
+
+    Words are lower-case runs of letters and digits. Null or empty texts hold nothing;
+    items of fewer than SPAN words have no seed and are never found. Different texts under
+    one doc_id, or under none, are searched each on its own; the one that holds most of an
+    item, then the one that meets it first, gives the row of the doc_id. Repeated items each
+    give their pairs once.
+    """
+    best = F.min(F.struct(-F.col("n_matched"), "start", "n_matched", "coverage")).alias("best")
+    return (
+        held_items(docs, benchmark, coverage)
+        .groupBy("doc_id", "item_id", "item_words")
+        .agg(best)
+        .select("doc_id", "item_id", "best.start", "best.n_matched", "item_words", "best.coverage")
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no test item, with all their columns."""
-    found = fresh(docs, "found_doc")
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias(found)).distinct()
-    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(held[found]), "left_anti")
+    """The rows of `docs` that hold no test item, with all their columns.
+
+    Rows are told apart by doc_id and the hash of their text, so a clean row stays where
+    another without doc_id, or with the same one, holds an item.
+    """
+    found, found_hash = fresh(docs, "found_doc"), fresh(docs, "found_hash")
+    held = held_items(docs, benchmark).select(F.col("doc_id").alias(found), F.col("text_hash").alias(found_hash)).distinct()
+    own = docs["doc_id"].cast("long").eqNullSafe(held[found]) & (F.xxhash64(docs["text"]) == held[found_hash])
+    return docs.join(held, own, "left_anti")

@@ -3,7 +3,8 @@
 Lines are sequences of lower-case words. Two lines are the same when their words are, and
 near when one word inserted, deleted or substituted turns one into the other, if the
 shorter has at least `NEAR_WORDS` words. Of lines that are the same or near, the earliest
-(by doc_id, then line) stays.
+(by doc_id, then hash of the text, then line) stays. Rows are told apart by doc_id and the
+hash of their text, so rows without doc_id are documents of their own.
 
 Near lines have a half in common, so only lines that share a half with a different line
 (by a bit set of the shared halves) emit their deletion variants. A variant is keyed by the hash of the words that are left:
@@ -60,21 +61,25 @@ def half_keys(words: Column) -> Column:
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line and words of every line that isn't blank.
+    """doc_id, text_hash, line and words of every line that isn't blank.
 
     The words are made before the lines become rows, so that no filter on them, moved down
     by the optimizer, cuts a line again.
     """
     worded = F.transform(lines_of(F.col("text")), line_words)
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(worded).alias("line", "words"))
+    split = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
+        F.posexplode(worded).alias("line", "words"),
+    )
     return split.where(F.size("words") > 0)
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """h1, h2, first (doc_id, line) and halves of every different line that isn't blank."""
-    keyed = split_lines(docs).select("doc_id", "line", *hashes(F.col("words")), half_keys(F.col("words")).alias("halves"))
+    """h1, h2, first (doc_id, text_hash, line) and halves of every different line that isn't blank."""
+    keyed = split_lines(docs).select("doc_id", "text_hash", "line", *hashes(F.col("words")), half_keys(F.col("words")).alias("halves"))
     return keyed.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "line")).alias("first"), F.max("halves").alias("halves")
+        F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.max("halves").alias("halves")
     )
 
 
@@ -128,9 +133,10 @@ def variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
     XORs, so a line costs as much as it has words.
     """
     shared = repeated_keys(lines.select(F.explode("halves").alias("key")), "halves")
-    near = passing(lines, F.col("halves"), shared).select("first.doc_id", "first.line", "h1", "h2", "first")
+    near = passing(lines, F.col("halves"), shared).select("first.*", "h1", "h2", "first")
     split = passing(split_lines(docs), half_keys(F.col("words")), shared)
-    found = split.join(near, (split["doc_id"].eqNullSafe(near["doc_id"])) & (split["line"] == near["line"]))
+    place = [split[c].eqNullSafe(near[c]) for c in ("doc_id", "text_hash", "line")]
+    found = split.join(near, place)
     found = found.where(F.xxhash64("words") == F.col("h1")).groupBy("h1", "h2").agg(
         F.first("first").alias("first"), F.first("words").alias("words")
     )
@@ -183,14 +189,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Added: `lines_before` and `lines_removed` (of lines that aren't blank), named so that
     they clash with no column. `n_chars`, if there, is set to the new length. Blank lines
     stay. A null text stays null and an empty one empty; a document that loses all its
-    lines keeps its row. Rows with the same doc_id are taken as copies of one document.
+    lines keeps its row. Rows with the same doc_id and text are taken as copies of one document;
+    other rows that repeat a doc_id, or have none, are documents of their own.
     """
     lines = written(distinct_lines(docs), "lines")
     kept = lines.select("first").join(beaten_lines(docs, lines), "first", "left_anti")
-    kept = kept.groupBy(F.col("first.doc_id").alias("kept_doc")).agg(F.collect_list("first.line").alias("kept_lines"))
-    kept_doc, kept_lines = fresh(docs, "kept_doc"), fresh(docs, "kept_lines")
-    kept = kept.select(F.col("kept_doc").alias(kept_doc), F.col("kept_lines").alias(kept_lines))
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[kept_doc]), "left")
+    kept_doc, kept_hash, kept_lines = (fresh(docs, x) for x in ("kept_doc", "kept_hash", "kept_lines"))
+    kept = kept.groupBy(F.col("first.doc_id").alias(kept_doc), F.col("first.text_hash").alias(kept_hash)).agg(
+        F.collect_list("first.line").alias(kept_lines)
+    )
+    own = docs["doc_id"].cast("long").eqNullSafe(kept[kept_doc]) & (F.xxhash64(docs["text"]) == kept[kept_hash])
+    joined = docs.join(kept, own, "left")
     all_lines, before, removed = (fresh(docs, x) for x in ("all_lines", "lines_before", "lines_removed"))
     stays = F.coalesce(F.col(kept_lines), F.array().cast("array<int>"))
     blank = F.filter(
@@ -204,7 +213,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.drop(all_lines, kept_doc, kept_lines)
+    return out.drop(all_lines, kept_doc, kept_hash, kept_lines)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

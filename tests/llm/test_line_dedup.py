@@ -73,3 +73,19 @@ def test_awkward_documents(spark):
     report = told(line_report(awkward(spark)), "doc_id", "n_lines", "n_removed")
     assert (11, 3, 1) in report and (12, 2, 2) in report and (2, 0, 0) in report
     assert told(clean_lines(empty(spark))) == []
+
+
+def test_different_texts_without_or_under_one_doc_id(spark):
+    rows = [(None, "a b\nc d\na b"), (None, "e f\na b\ng h"), (None, "i j"), (5, "k l\nm n"), (5, "o p\nq r\no p"), (7, "m n\ns t")]
+    got = told(line_report(awkward(spark, rows)), "doc_id", "n_lines", "n_removed")
+    assert sum(n for _, n, _ in got) == 14 and sum(r for _, _, r in got) == 4 and all(r >= 0 for _, _, r in got)
+    texts = [t for _, t in told(clean_lines(awkward(spark, rows)), "doc_id", "text")]
+    assert sorted("\n".join(texts).split("\n")) == ["a b", "c d", "e f", "g h", "i j", "k l", "m n", "o p", "q r", "s t"]
+    assert "c d" in {t[-3:] for t in texts} and "i j" in texts and "k l\nm n" in texts and "o p\nq r" in texts
+
+
+def test_near_lines_without_doc_id(spark):
+    line = "one two three four five six seven eight nine"
+    rows = [(None, f"{line}\nown first"), (None, f"own second\n{line} ten"), (3, f"{line} eleven\nlast")]
+    kept = "\n".join(t for _, t in told(clean_lines(awkward(spark, rows)), "doc_id", "text")).split("\n")
+    assert sum(x.startswith(line) for x in kept) == 1 and {"own first", "own second", "last"} <= set(kept)

@@ -58,3 +58,11 @@ def test_license_scan_of_awkward_documents(spark):
     assert told(license_scan(awkward(spark), templates(spark))) == []
     assert told(license_scan(empty(spark), templates(spark))) == []
     assert told(license_scan(awkward(spark), templates(spark, ()))) == []
+
+
+def test_clean_texts_stay_beside_held_ones_without_or_under_one_doc_id(spark):
+    rows = [(None, f"x {ITEM}"), (None, "clean one"), (None, "clean two"), (None, None), (4, ITEM), (4, "clean three"), (5, "clean four")]
+    items = bench(spark, [(1, ITEM, None)])
+    kept = told(decontaminated(awkward(spark, rows), items), "doc_id", "text")
+    assert kept == sorted([r for r in rows if r[1] is None or "clean" in r[1]], key=str)
+    assert told(contaminated(awkward(spark, rows), items)) == [(4, 1, 0, 20, 20, 1.0), (None, 1, 1, 20, 20, 1.0)]
