@@ -3,7 +3,9 @@
 Each mask picks six of ten consecutive words and ignores the rest, so a substituted word
 spoils only the windows whose picked positions it meets. Hashes of the picked words are
 joined between documents and test items; a hit fixes an alignment of the two, and the words
-that agree along it are counted.
+that agree along it are counted. An item is held if a share of its words agrees, or a run of
+aligned words of fixed length, however long the item. Items shorter than a mask are held
+where all their words stand in a row.
 """
 from __future__ import annotations
 
@@ -14,9 +16,12 @@ from pyspark.sql import functions as F
 
 from filigree.llm.common import fresh, words_of
 
-#: Picked positions of each mask; all masks span SPAN words.
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 1, 2, 5, 8, 9), (0, 1, 4, 6, 7, 9))
+#: Picked positions of each mask, in SPAN words. A mask at least leaves out each position, so
+#: one substitution in ten words never spoils all.
+MASKS = ((0, 1, 3, 4, 7, 9), (0, 1, 2, 5, 8, 9), (0, 1, 4, 6, 7, 9), (2, 3, 4, 5, 6, 8))
 SPAN = 10
+#: Aligned words of a run that is enough by itself, and how many of them must agree (80 %).
+RUN, RUN_AGREEING = 13, 11
 #: Share of an item's words that must agree with a document.
 COVERAGE = 0.6
 #: Seeds that are sent to every task at a time; a larger benchmark is searched in slices.
@@ -33,19 +38,34 @@ def seeds(words: Column, at: Column) -> Column:
     )
 
 
-def windows(table: DataFrame, at: str) -> DataFrame:
-    """A row per word position at which a window fits, and mask: the column `seed`."""
+def windows(table: DataFrame, at: str, short: Column) -> DataFrame:
+    """A row per word position at which a window fits, and mask: the column `seed`.
+
+    `short` is an array of further seeds of a position, for items of less than SPAN words.
+    """
     placed = table.select("*", F.posexplode("words").alias(at, "word")).drop("word")
-    return placed.where(F.col(at) + SPAN <= F.size("words")).withColumn("seed", F.explode(seeds(F.col("words"), F.col(at))))
+    none = F.array().cast("array<bigint>")
+    masked = F.when(F.col(at) + SPAN <= F.size("words"), seeds(F.col("words"), F.col(at))).otherwise(none)
+    return placed.withColumn("seed", F.explode(F.concat(masked, short)))
+
+
+def short_seeds(at: str, lengths: list[int], whole: bool) -> Column:
+    """Hashes of the next n words, for each n of `lengths` that fits; of all words if `whole`."""
+    end = F.size("words") - F.col(at)
+    fits = lambda n: (end == n) & (F.col(at) == 0) if whole else end >= n
+    none = F.array().cast("array<bigint>")
+    return F.concat(
+        none, *[F.when(fits(n), F.array(F.xxhash64(F.lit(-n), F.slice("words", F.col(at) + 1, n)))).otherwise(none) for n in lengths]
+    )
 
 
-def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _overlaps(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     """Agreeing item positions for each (doc_id, text_hash, item_id, shift) that a seed has hit."""
-    test = windows(items, "item_at").select("item_id", "item_at", "seed", F.size("words").alias("item_words"))
+    test = windows(items, "item_at", short_seeds("item_at", lengths, True)).select("item_id", "item_at", "seed", F.size("words").alias("item_words"))
     shift = F.col("doc_at") - F.col("item_at")
     first = F.greatest(shift, F.lit(0))
     hits = (
-        windows(docs, "doc_at")
+        windows(docs, "doc_at", short_seeds("doc_at", lengths, False))
         .join(F.broadcast(test), "seed")
         .select(
             "doc_id",
@@ -59,6 +79,8 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     skipped = F.greatest(-F.col("shift"), F.lit(0))
     agreeing = F.expr("filter(sequence(0, size(met) - 1), i -> get(met, i) = get(words, i + skipped))")
+    last = RUN_AGREEING - 1
+    run = F.expr(f"exists(sequence(0, greatest(size(met_at) - 1 - {last}, 0)), j -> get(met_at, j + {last}) - get(met_at, j) < {RUN})")
     return (
         hits.join(F.broadcast(items), "item_id")
         .withColumn("skipped", skipped)
@@ -69,7 +91,10 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
             (F.col("shift") + F.col("skipped")).alias("start"),
             F.size("words").alias("item_words"),
             F.transform(agreeing, lambda i: i + F.col("skipped")).alias("agreeing"),
+            agreeing.alias("met_at"),
         )
+        .withColumn("run", F.coalesce(run, F.lit(False)))
+        .drop("met_at")
     )
 
 
@@ -77,7 +102,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """The pairs of `contaminated` for each text: its columns, and text_hash."""
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
-        .where(F.size("words") >= SPAN)
+        .where(F.size("words") > 0)
         .groupBy("item_id")
         .agg(F.max("words").alias("words"))
     )
@@ -85,24 +110,26 @@ def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")
     )
     n_seeds = items.agg(F.sum(F.size("words")) * len(MASKS)).first()[0] or 0
+    short = items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct()
+    lengths = sorted(r["n"] for r in short.collect())
     slices = -(-n_seeds // SEEDS_PER_SLICE) or 1
     parts = [
-        _overlaps(plain, items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i) if slices > 1 else items)
+        _overlaps(plain, items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i) if slices > 1 else items, lengths)
         for i in range(slices)
     ]
     matched = F.size(F.array_distinct(F.flatten(F.collect_list("agreeing"))))
     return (
         reduce(DataFrame.unionByName, parts)
         .groupBy("doc_id", "text_hash", "item_id", "item_words")
-        .agg(F.min("start").alias("start"), matched.alias("n_matched"))
+        .agg(F.min("start").alias("start"), matched.alias("n_matched"), F.max("run").alias("run"))
         .withColumn("coverage", F.round(F.col("n_matched") / F.col("item_words"), 6))
-        .where(F.col("n_matched") >= F.lit(coverage) * F.col("item_words"))
+        .where((F.col("n_matched") >= F.lit(coverage) * F.col("item_words")) | F.col("run"))
         .select("doc_id", "text_hash", "item_id", "start", "n_matched", "item_words", "coverage")
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Pairs of a document and a test item of which it holds at least `coverage`.
+    """Pairs of a document and a test item of which it holds at least `coverage`, or a run of RUN words.
 
     Rows: doc_id, item_id, start (first word of the document that meets the item),
     n_matched (distinct item words that agree on some hit alignment), item_words, coverage.

@@ -66,3 +66,13 @@ def test_clean_texts_stay_beside_held_ones_without_or_under_one_doc_id(spark):
     kept = told(decontaminated(awkward(spark, rows), items), "doc_id", "text")
     assert kept == sorted([r for r in rows if r[1] is None or "clean" in r[1]], key=str)
     assert told(contaminated(awkward(spark, rows), items)) == [(4, 1, 0, 20, 20, 1.0), (None, 1, 1, 20, 20, 1.0)]
+
+
+def test_long_parts_short_items_and_masked_ends_are_found(spark):
+    long = [f"q{i}" for i in range(1000)]
+    ten = ITEM.split()[:10]
+    rows = [(1, "a b " + " ".join(long[300:334]) + " c"), (2, "a " + " ".join(long[500:510]) + " c"), (3, "say one two three now")]
+    rows += [(4, "one two four three")] + [(10 + i, " ".join([*ten[:i], "other", *ten[i + 1 :]])) for i in range(10)]
+    items = bench(spark, [(1, " ".join(long), ""), (2, "One two, three", ""), (3, " ".join(ten), "")])
+    found = {(d, i): n for d, i, _, n, _, _ in told(contaminated(awkward(spark, rows), items))}
+    assert found == {(1, 1): 34, (3, 2): 3, **{(10 + i, 3): 9 for i in range(10)}}
