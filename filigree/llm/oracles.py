@@ -102,9 +102,42 @@ SELECT doc_id, license, round(max(d), 6) AS dice, count(DISTINCT unit) AS n_unit
 FROM dice WHERE d >= 0.8 GROUP BY doc_id, license
 """
 
+#: All occurrences, counted by brute force; products are 128-bit integers.
+COLLOCATIONS = r"""
+WITH pieces AS (
+       SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+       FROM documents),
+     words AS MATERIALIZED (
+       SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+     sizes AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+     grams AS (
+       SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g
+       FROM words, (VALUES (1), (2), (3)) AS v(k) WHERE len(ws) >= k),
+     f AS MATERIALIZED (SELECT lang, k, g, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+     heads AS MATERIALIZED (
+       SELECT lang, g, k, f AS a, cut, g[:cut] AS head, g[cut + 1:] AS rest FROM f, (VALUES (1), (2)) AS v(cut) WHERE k > cut),
+     cuts AS (
+       SELECT h.lang, h.g, h.k, a, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+       FROM heads h JOIN f x ON x.lang = h.lang AND x.g = head JOIN f y ON y.lang = h.lang AND y.g = rest),
+     scored AS (
+       SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+     around AS (
+       SELECT lang, g, max(f) AS around FROM (
+         SELECT lang, g[:2] AS g, f FROM f WHERE k = 3 UNION ALL SELECT lang, g[2:], f FROM f WHERE k = 3) GROUP BY ALL),
+     free AS (
+       SELECT s.* FROM scored s LEFT JOIN around USING (lang, g) WHERE k = 3 OR around IS NULL OR 100 * around < 50 * a),
+     ranked AS (
+       SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+              row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM free)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_dice_license_scan": LICENSES,
     "op3_spaced_seed_contamination": CONTAMINATION,
     "op7_chosen_path_jaccard": LINKS,
     "op8_deletion_line_dedup": LINES,
+    "op11_dynamic_collocations": COLLOCATIONS,
 }

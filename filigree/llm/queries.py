@@ -6,6 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from filigree.llm.collocations import collocations
 from filigree.llm.decontaminate import contaminated
 from filigree.llm.graph_ann import nearest
 from filigree.llm.html_crf import main_texts
@@ -62,6 +63,10 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER, WORD_END, SEQUENCE)
 
 
+def op11_dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_deletion_line_dedup,
         op9_simple8b_tokens,
         op10_pattern_packing,
+        op11_dynamic_collocations,
     )
 }
