@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filigree.llm.collocations import collocations
 from filigree.llm.decontaminate import contaminated
+from filigree.llm.fingerprints import fingerprints
 from filigree.llm.graph_ann import nearest
 from filigree.llm.html_crf import main_texts
 from filigree.llm.jaccard import jaccard_join
@@ -15,6 +16,7 @@ from filigree.llm.licenses import license_scan, templates
 from filigree.llm.lines import line_report
 from filigree.llm.packing import pack_documents
 from filigree.llm.simple8b import token_file_digest
+from filigree.llm.spellings import spelling_groups
 from filigree.llm.substrings import substring_dedup
 from filigree.llm.toxicity import toxicity
 from filigree.sources.tables import table
@@ -67,6 +69,14 @@ def op11_dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_letter_count_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_peeled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,5 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simple8b_tokens,
         op10_pattern_packing,
         op11_dynamic_collocations,
+        op12_letter_count_spellings,
+        op13_peeled_fingerprints,
     )
 }
