@@ -60,7 +60,7 @@ def digests(units: list[str]) -> np.ndarray:
         size = min(len(unit), int(SIZES))
         body = unit.encode("utf-8", "surrogatepass")
         for i in range(times):
-            found.append(xxhash.xxh3_64_intdigest(body, seed=i) >> SIZE_BITS << SIZE_BITS | size)
+            found.append(xxhash.xxh3_64_intdigest(b"%s\n%d" % (body, i)) >> SIZE_BITS << SIZE_BITS | size)
     return np.unique(np.array(found, np.uint64))
 
 
