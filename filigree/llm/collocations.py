@@ -8,8 +8,9 @@ scans. After three cycles every activated phrase has had its full one.
 
 A shard is a set of chunks: the words of many texts of one language as local numbers, with
 their vocabulary. What a chunk may count is answered per chunk: its phrases meet the
-counters in a shuffle by 128-bit key, and those at the threshold come back to it. Nothing
-that grows with the corpus is broadcast, and a chunk sends each of its phrases once.
+counters in a shuffle by a 96-bit key, and those at the threshold come back to it. Nothing
+that grows with the corpus is broadcast, and a chunk sends each of its phrases once a scan.
+Phrases travel in rows of arrays, all of one chunk and one range of keys in a row.
 """
 from __future__ import annotations
 
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -42,10 +42,18 @@ SALTS = 16
 #: One step of the byte table lower-cases A-Z, ends pieces and makes tabs spaces.
 PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
 CHUNK_FIELDS = "chunk long, shard int, lang string, n_words long, vocabulary binary, ids binary"
-GRAM_FIELDS = "key1 long, key2 long, chunk long, code long, last int, n long, start int"
-COUNTER_FIELDS = "key1 long, key2 long, chunk long, code long, last int, n long, start int, reached int"
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-NEVER = np.int32(1 << 30)
+NEVER = np.int16((1 << 15) - 1)
+#: Counters are dealt to buckets by ranges of their keys: so many for each shuffle
+#: partition, and more where a bucket would stand for more words than this.
+BUCKETS_PER_PARTITION = 4
+BUCKET_WORDS = 16_000_000
+#: A row of phrases: one little-endian array per column. `kind` 0 holds counters, which say
+#: for each phrase the chunk `at` which it was seen; 1 the phrases of one chunk.
+COLUMNS = {"key1": "<u8", "key2": "<u4", "code": "<i8", "last": "<i4", "n": "<i8", "start": "<i2", "reached": "<i2", "at": "<i8"}
+ROW_FIELDS = "bucket int, kind int, chunk long, " + ", ".join(f"{c} binary" for c in COLUMNS)
+ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in COLUMNS]])
+COUNTERS, OF_CHUNK = 0, 1
 
 
 class _Numbers(dict):
@@ -136,77 +144,197 @@ def _keys(words: np.ndarray, numbers: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+class Grams:
+    """Phrases as columns of numbers; columns that a row doesn't need are left empty."""
+
+    def __init__(self, **columns: np.ndarray):
+        for name, kind in COLUMNS.items():
+            setattr(self, name, np.asarray(columns.get(name, ()), kind))
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def taken(self, at) -> Grams:
+        return Grams(**{c: v[at] for c in COLUMNS if len(v := getattr(self, c))})
+
+    def row(self, bucket: int, kind: int, chunk: int) -> dict:
+        return {"bucket": bucket, "kind": kind, "chunk": chunk, **{c: getattr(self, c).tobytes() for c in COLUMNS}}
+
+
+def grams_of(table: pa.Table) -> list[tuple[int, int, Grams]]:
+    """(kind, chunk, phrases) of each row."""
+    columns = [table.column(c).to_pylist() for c in COLUMNS]
+    kinds, chunks = table.column("kind").to_pylist(), table.column("chunk").to_pylist()
+    return [
+        (kind, chunk, Grams(**{c: np.frombuffer(v, COLUMNS[c]) for c, v in zip(COLUMNS, row)}))
+        for kind, chunk, *row in zip(kinds, chunks, *columns)
+    ]
+
+
+def table_of(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, ROW_SCHEMA)
+
+
 class _Body:
     """A chunk as it comes to a task: its words, their keys and the sequence of numbers."""
 
-    def __init__(self, row):
-        self.chunk, self.lang = int(row.chunk), row.lang
-        self.words = [b"", *row.vocabulary.split(b"\n")]
-        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.ids), np.int32)
+    def __init__(self, chunk: int, lang: str, vocabulary: bytes, ids: bytes):
+        self.chunk, self.lang = chunk, lang
+        self.words = [b"", *vocabulary.split(b"\n")]
+        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.int32)
+
+    @classmethod
+    def all_of(cls, chunks: pa.Table | pa.RecordBatch) -> Iterator[_Body]:
+        columns = [chunks.column(c) for c in ("chunk", "lang", "vocabulary", "ids")]
+        for i in range(chunks.num_rows):
+            yield cls(*[c[i].as_py() for c in columns])
 
     def keys(self) -> np.ndarray:
         before = self.lang.encode("utf-8", "surrogatepass") + b"\n"
-        digests = b"".join(xxhash.xxh3_128_digest(before + w) for w in self.words)
+        digests = b"".join([xxhash.xxh3_128_digest(before + w) for w in self.words])
         return np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
 
-    def grams(self, numbers: list[np.ndarray], n: np.ndarray, start) -> pd.DataFrame:
-        keys = _keys(self.keys(), numbers).view(np.int64)
+    def rows(self, numbers: list[np.ndarray], n: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[dict]:
+        """The phrases made of the words of these numbers, a row for each bucket of keys."""
+        keys = _keys(self.keys(), numbers)
         first, second, last = (numbers + [np.zeros(len(n), np.int64)] * 2)[:3]
-        return pd.DataFrame(
-            {
-                "key1": keys[:, 0],
-                "key2": keys[:, 1],
-                "chunk": np.full(len(n), self.chunk, np.int64),
-                "code": (first.astype(np.int64) << 32) | second.astype(np.int64),
-                "last": last.astype(np.int32),
-                "n": n.astype(np.int64),
-                "start": np.broadcast_to(np.asarray(start, np.int32), len(n)),
-            }
+        order = np.argsort(keys[:, 0])
+        every = Grams(
+            key1=keys[order, 0],
+            key2=keys[order, 1] >> np.uint64(32),
+            code=(first[order].astype(np.int64) << 32) | second[order].astype(np.int64),
+            last=last[order] if len(numbers) > 2 else (),
+            n=n[order],
+            start=start[order],
         )
+        bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+        cuts = [0, *np.searchsorted(every.key1, bounds).tolist(), len(every)]
+        for bucket, (begin, end) in enumerate(zip(cuts, cuts[1:])):
+            if begin < end:
+                yield every.taken(slice(begin, end)).row(bucket, OF_CHUNK, self.chunk)
 
 
-def _words(bodies: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _words(buckets: int):
     """The words of whole chunks; all of them are active from the first scan on."""
-    for part in bodies:
-        for row in part.itertuples():
-            body = _Body(row)
-            n = np.bincount(body.ids, minlength=len(body.words))[1:]
-            yield body.grams([np.arange(1, len(n) + 1)], n, 0)
 
+    def run(batches):
+        for batch in batches:
+            for body in _Body.all_of(batch):
+                n = np.bincount(body.ids, minlength=len(body.words))[1:]
+                found = body.rows([np.arange(1, len(n) + 1)], n, np.zeros(len(n), np.int16), buckets)
+                yield from table_of(list(found)).to_batches()
+
+    return run
 
-def _pairs(bodies: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+
+def _known(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases at the threshold in a chunk, by code, and the steps that took them there."""
+    parts = [g for _, _, g in grams_of(answers)]
+    codes = np.concatenate([np.zeros(0, np.int64), *[g.code for g in parts]])
+    reached = np.concatenate([np.zeros(0, np.int16), *[g.reached for g in parts]])
+    order = np.argsort(codes)
+    return codes[order], reached[order]
+
+
+def _pairs(buckets: int):
     """The pairs of a chunk whose words have both reached the threshold."""
-    found = [pd.DataFrame(columns=["key1", "key2", "chunk", "code", "last", "n", "start"])]
-    for row in bodies.itertuples():
-        body = _Body(row)
-        reached = np.full(len(body.words), NEVER)
-        reached[known["code"].to_numpy(np.int64) >> 32] = known["reached"].to_numpy(np.int32)
-        left, right = body.ids[:-1], body.ids[1:]
-        live = (reached[left] < NEVER) & (reached[right] < NEVER)
-        code, n = np.unique((left[live].astype(np.int64) << 32) | right[live], return_counts=True)
-        left, right = code >> 32, code & 0xFFFFFFFF
-        found.append(body.grams([left, right], n, np.maximum(reached[left], reached[right]) + 1))
-    return found[-1]
-
-
-def _triples(bodies: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        codes, steps = _known(answers)
+        found = []
+        for body in _Body.all_of(chunks):
+            reached = np.full(len(body.words), NEVER)
+            reached[codes >> 32] = steps
+            left, right = body.ids[:-1], body.ids[1:]
+            live = (reached[left] < NEVER) & (reached[right] < NEVER)
+            code, n = np.unique((left[live].astype(np.int64) << 32) | right[live], return_counts=True)
+            left, right = code >> 32, code & 0xFFFFFFFF
+            found += body.rows([left, right], n, np.maximum(reached[left], reached[right]) + 1, buckets)
+        return table_of(found)
+
+    return run
+
+
+def _triples(buckets: int):
     """The triples of a chunk whose two pairs have both reached the threshold."""
-    found = [pd.DataFrame(columns=["key1", "key2", "chunk", "code", "last", "n", "start"])]
-    known = known.sort_values("code")
-    codes, reached = known["code"].to_numpy(np.int64), known["reached"].to_numpy(np.int32)
-    for row in bodies.itertuples():
-        if not len(codes):
-            break
-        body = _Body(row)
-        every = (body.ids[:-1].astype(np.int64) << 32) | body.ids[1:]
-        place = np.minimum(np.searchsorted(codes, every), len(codes) - 1)
-        live = codes[place] == every
-        both = live[:-1] & live[1:]
-        pair, n = np.unique((place[:-1][both] << 32) | place[1:][both], return_counts=True)
-        left, right = pair >> 32, pair & 0xFFFFFFFF
-        numbers = [codes[left] >> 32, codes[left] & 0xFFFFFFFF, codes[right] & 0xFFFFFFFF]
-        found.append(body.grams(numbers, n, np.maximum(reached[left], reached[right]) + 1))
-    return found[-1]
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        codes, reached = _known(answers)
+        found = []
+        for body in _Body.all_of(chunks) if len(codes) else ():
+            every = (body.ids[:-1].astype(np.int64) << 32) | body.ids[1:]
+            place = np.minimum(np.searchsorted(codes, every), len(codes) - 1)
+            live = codes[place] == every
+            both = live[:-1] & live[1:]
+            pair, n = np.unique((place[:-1][both] << 32) | place[1:][both], return_counts=True)
+            left, right = pair >> 32, pair & 0xFFFFFFFF
+            numbers = [codes[left] >> 32, codes[left] & 0xFFFFFFFF, codes[right] & 0xFFFFFFFF]
+            found += body.rows(numbers, n, np.maximum(reached[left], reached[right]) + 1, buckets)
+        return table_of(found)
+
+    return run
+
+
+def answered(counters: Grams, asked: Grams) -> Grams:
+    """Those of the asked phrases whose counters are at the threshold."""
+    place = np.searchsorted(counters.key1, asked.key1)
+    hit = np.zeros(len(asked), bool)
+    reached = np.full(len(asked), NEVER)
+    last = len(counters) - 1
+    longest = int(np.diff(np.flatnonzero(np.diff(counters.key1, prepend=~counters.key1[:1], append=~counters.key1[-1:]))).max()) if last >= 0 else 0
+    for i in range(longest):  # one, but for phrases that share the first half of their keys
+        at = np.minimum(place + i, last)
+        same = (counters.key1[at] == asked.key1) & (counters.key2[at] == asked.key2)
+        hit |= same
+        reached[same] = counters.reached[at][same]
+    hit &= reached < NEVER
+    return Grams(code=asked.code[hit], reached=reached[hit])
+
+
+def counted(counters: Grams, seen: list[Grams], step: int, least: int) -> Grams:
+    """The counters, sorted by key, after what a step has seen."""
+    parts = [counters, *seen]
+    every = Grams(**{c: np.concatenate([getattr(g, c) for g in parts]) for c in COLUMNS if len(getattr(counters, c)) or any(len(getattr(g, c)) for g in seen)})
+    if not len(every):
+        return every
+    order = np.argsort(every.key1, kind="stable")
+    key1, key2 = every.key1[order], every.key2[order]
+    if ((key1[1:] == key1[:-1]) & (key2[1:] != key2[:-1])).any():
+        order = np.lexsort((every.key2, every.key1))
+        key1, key2 = every.key1[order], every.key2[order]
+    first = np.flatnonzero(np.append(True, (key1[1:] != key1[:-1]) | (key2[1:] != key2[:-1])))
+    out = every.taken(order[first])
+    out.n = np.add.reduceat(every.n[order], first)
+    out.reached = np.where((out.n >= least) & (out.reached == NEVER), np.int16(step), out.reached)
+    return out
+
+
+def _exchanged(step: int, shards: int, least: int, count: bool, answer: bool, done: bool):
+    """One bucket: its counters and the phrases of the chunks of a step."""
+
+    def run(key, table):
+        bucket, held = key[0].as_py(), grams_of(table)
+        counters = next((g for kind, _, g in held if kind == COUNTERS), Grams())
+        asked = [(chunk, g) for kind, chunk, g in held if kind == OF_CHUNK]
+        out = []
+        if answer and len(counters):
+            for chunk, g in asked:
+                told = answered(counters, g)
+                if len(told):
+                    out.append(told.row(bucket, OF_CHUNK, chunk))
+        if count:
+            seen = []
+            for chunk, g in asked:
+                g = g.taken((g.start <= step) & (g.start + shards > step))
+                g.reached, g.at = np.full(len(g), NEVER), np.full(len(g), chunk, np.int64)
+                seen.append(g)
+            total = counted(counters, seen, step, least)
+            total = total.taken(total.reached < NEVER) if done else total
+            if len(total):
+                out.append(total.row(bucket, COUNTERS, -1))
+        return table_of(out)
+
+    return run
 
 
 @contextmanager
@@ -225,54 +353,27 @@ class _Counters:
     """The counters of one phrase length, and how chunks and counters exchange what is known.
 
     The counters are written anew by each step that counts, to one of two folders in turn.
+    After the last such step only those at the threshold are kept.
     """
 
-    def __init__(self, spark: SparkSession, name: str, shards: int, least: int):
-        self.spark, self.shards, self.least = spark, shards, least
+    def __init__(self, spark: SparkSession, name: str, shards: int, least: int, last_step: int):
+        self.spark, self.shards, self.least, self.last_step = spark, shards, least, last_step
         self.folders = [shared_path(spark, f"{name}-{i}") for i in range(2)]
-        self.step = None
-        self.now = spark.createDataFrame([], COUNTER_FIELDS)
-
-    def exchange(self, grams: DataFrame, step: int, count: bool, answer: bool) -> DataFrame:
-        """Count the active ones of `grams` if asked to; returns those that had reached the
-        threshold before this step, with their chunk, if asked to."""
-        dealt = grams.repartition("key1", "key2")
-        told = dealt.limit(0).withColumn("reached", F.lit(0))
-        if answer:
-            done = self.now.where("reached IS NOT NULL").select("key1", "key2", "reached")
-            told = dealt.join(done.hint("shuffle_hash"), ["key1", "key2"]).select(*dealt.columns, "reached")
+        self.now = spark.createDataFrame([], ROW_FIELDS)
+
+    def exchange(self, grams: DataFrame, step: int, answer: bool) -> DataFrame:
+        """Count the active ones of `grams`, up to the last step of this length; returns, if
+        asked to, those at the threshold before this step, for each chunk."""
+        count = step <= self.last_step
+        run = _exchanged(step, self.shards, self.least, count, answer, step == self.last_step)
+        both = self.now.unionByName(grams).groupBy("bucket").applyInArrow(run, ROW_FIELDS)
         if not count:
-            return told
-        active = (F.col("start") <= step) & (F.col("start") + self.shards > step)
-        seen = dealt.where(active).select("key1", "key2", "chunk", "code", "last", "n", "start", F.lit(None).cast("int").alias("reached"))
-        total = (
-            self.now.unionByName(seen)
-            .groupBy("key1", "key2")
-            .agg(
-                F.min_by("code", "chunk").alias("code"),
-                F.min_by("last", "chunk").alias("last"),
-                F.min("chunk").alias("chunk"),
-                F.sum("n").alias("n"),
-                F.min("start").alias("start"),
-                F.min("reached").alias("reached"),
-            )
-        )
-        reached = F.when(F.col("n") >= self.least, F.coalesce("reached", F.lit(step))).cast("int")
-        total = total.withColumn("reached", reached).withColumn("kind", F.lit(0))
-        both = total.unionByName(told.withColumn("kind", F.lit(1))) if answer else total
+            return both
         path = self.folders[step % 2]
-        (
-            both.write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("kind")
-            .parquet(path)
-        )
-        table = self.spark.read.schema(COUNTER_FIELDS + ", kind int").parquet(path)
-        self.now = table.where("kind = 0").drop("kind")
-        return table.where("kind = 1").drop("kind")
-
-    def frequent(self) -> DataFrame:
-        return self.now.where("reached IS NOT NULL")
+        both.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(ROW_FIELDS).parquet(path)
+        self.now = table.where(F.col("kind") == COUNTERS)
+        return table.where(F.col("kind") == OF_CHUNK)
 
 
 def _counted(docs: DataFrame, shards: int, least: int, chunk_words: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -284,29 +385,41 @@ def _counted(docs: DataFrame, shards: int, least: int, chunk_words: int) -> tupl
         _chunks(shards, chunk_words), CHUNK_FIELDS
     ).write.partitionBy("shard").parquet(path)
     chunks = spark.read.schema(CHUNK_FIELDS).parquet(path)
+    words_in_all = chunks.agg(F.sum("n_words")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS_PER_PARTITION * partitions, words_in_all // BUCKET_WORDS)
 
-    words, pairs, triples = (_Counters(spark, name, shards, least) for name in ("words", "pairs", "triples"))
+    words, pairs, triples = (
+        _Counters(spark, name, shards, least, i * shards - 1) for i, name in enumerate(("words", "pairs", "triples"), 1)
+    )
     final_words: dict[int, DataFrame] = {}
     for step in range(LONGEST * shards):
         cycle, number = divmod(step, shards)
         shard = chunks.where(F.col("shard") == number).select("chunk", "lang", "vocabulary", "ids")
 
         def scanned(known: DataFrame, scan, shard=shard) -> DataFrame:
-            known = known.select("chunk", "code", "reached")
-            return shard.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(scan, GRAM_FIELDS)
+            return shard.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(scan, ROW_FIELDS)
 
         if cycle < 2:
-            known_words = words.exchange(shard.mapInPandas(_words, GRAM_FIELDS), step, cycle == 0, step > 0)
+            known_words = words.exchange(shard.mapInArrow(_words(buckets), ROW_FIELDS), step, step > 0)
             if cycle == 1:
                 known_words = final_words[number] = written(known_words, "known-words")
         else:
             known_words = final_words[number]
         if step < 1:
             continue
-        known_pairs = pairs.exchange(scanned(known_words, _pairs), step, cycle < 2, step > 1)
+        known_pairs = pairs.exchange(scanned(known_words, _pairs(buckets)), step, step > 1)
         if step > 1:
-            triples.exchange(scanned(known_pairs, _triples), step, True, False)
-    return chunks, [c.frequent() for c in (words, pairs, triples)]
+            triples.exchange(scanned(known_pairs, _triples(buckets)), step, False)
+    return chunks, [words.now, pairs.now, triples.now]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per counter: chunk, code, last, n."""
+    for batch in batches:
+        for _, _, g in grams_of(pa.Table.from_batches([batch])):
+            last = g.last if len(g.last) else np.zeros(len(g), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.at, g.code, last, g.n)], names=["chunk", "code", "last", "n"])
 
 
 def _spelled(chunks: pa.Table, grams: pa.Table) -> pa.Table:
@@ -332,7 +445,7 @@ def frequent_phrases(
         chunks, counters = _counted(docs, shards, least, chunk_words)
         grams = None
         for size, found in enumerate(counters, 1):
-            found = found.select("chunk", "code", "last", "n", F.lit(size).alias("size"))
+            found = found.mapInArrow(_frequent, "chunk long, code long, last int, n long").withColumn("size", F.lit(size))
             grams = found if grams is None else grams.unionByName(found)
         spelled = chunks.select("chunk", "lang", "vocabulary").groupBy("chunk").cogroup(grams.groupBy("chunk"))
         phrases = written(spelled.applyInArrow(_spelled, "lang string, size int, phrase string, f long"), "phrases")

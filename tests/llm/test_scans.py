@@ -1,3 +1,5 @@
+from collections import Counter
+
 import os
 
 import duckdb
@@ -34,7 +36,8 @@ def test_decontamination_of_awkward_documents(spark):
     items = bench(spark, [(1, " ".join(f"common{i}" for i in range(12)), None), (1, None, None), (None, ITEM, None)])
     kept = decontaminated(awkward(spark), items)
     assert kept.columns == awkward(spark).columns
-    assert [r[0] for r in told(kept, "doc_id")] == ["10", "11", "12", 2, 3, 4, 6, 8, 9, 9] or {r[0] for r in told(kept, "doc_id")} == {2, 3, 4, 6, 8, 9, 10, 11, 12}
+    # 1, 5 and 7 hold the item, and so does one of the two rows without doc_id; the empty one stays
+    assert Counter(r[0] for r in told(kept, "doc_id")) == Counter([2, 3, 4, 6, 8, 9, 9, 10, 11, 12, None])
     assert told(decontaminated(empty(spark), items)) == []
     assert decontaminated(awkward(spark), bench(spark, [])).count() == 15
 
