@@ -33,6 +33,8 @@ SIZE_BITS = 20
 SIZES = np.uint64((1 << SIZE_BITS) - 1)
 CELL = np.dtype([("count", "<i4"), ("digest", "<u8"), ("check", "<u4")])
 SENTENCES = re.compile(r"(?<=[.!?])\s+")
+#: Texts that are compared at a time, and about how many characters of them.
+BATCH_TEXTS, BATCH_CHARS = 1024, 8_000_000
 #: Buckets of the order by doc_id, for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
 
@@ -55,12 +57,12 @@ def paragraphs(text: str) -> list[str]:
 def digests(units: list[str]) -> np.ndarray:
     """A 64-bit digest per unit and repeat, with the unit's code points in its low bits; no two
     are equal, as equal ones would hide each other in any sketch."""
-    found = []
-    for unit, times in Counter(units).items():
-        size = min(len(unit), int(SIZES))
-        body = unit.encode("utf-8", "surrogatepass")
-        for i in range(times):
-            found.append(xxhash.xxh3_64_intdigest(b"%s\n%d" % (body, i)) >> SIZE_BITS << SIZE_BITS | size)
+    digest, most, shift = xxhash.xxh3_64_intdigest, int(SIZES), SIZE_BITS
+    found = [
+        digest(b"%s\n%d" % (unit.encode("utf-8", "surrogatepass"), i)) >> shift << shift | min(len(unit), most)
+        for unit, times in Counter(units).items()
+        for i in range(times)
+    ]
     return np.unique(np.array(found, np.uint64))
 
 
@@ -70,104 +72,135 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """The cells of each digest, one in each third; another choice for another size."""
+def places(keys: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The cells of each digest, one in each third; other ones for another number of cells."""
     part = cells // PARTS
-    return np.stack([_mixed(keys, cells * 4 + i) % np.uint64(part) + np.uint64(i * part) for i in range(PARTS)], 1).astype(np.int64)
+    return [(_mixed(keys, cells * 4 + i) % np.uint64(part)).astype(np.int64) + i * part for i in range(PARTS)]
 
 
 def checks(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys, 1) >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(keys: np.ndarray, cells: int) -> np.ndarray:
-    """The cells of a set of digests."""
-    out = np.zeros(cells, CELL)
-    if len(keys):
-        at, check = places(keys, cells), checks(keys)
-        out["count"] = np.bincount(at.ravel(), minlength=cells)
-        for i in range(PARTS):
-            np.bitwise_xor.at(out["digest"], at[:, i], keys)
-            np.bitwise_xor.at(out["check"], at[:, i], check)
-    return out
-
-
-def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The cells of what is in one of two versions only."""
-    out = np.empty(len(a), CELL)
-    out["count"] = a["count"] - b["count"]
-    out["digest"], out["check"] = a["digest"] ^ b["digest"], a["check"] ^ b["check"]
-    return out
-
-
-def peeled(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(digests of the first version only, of the second only), or None if some stay hidden."""
-    count, digest, check = (cells[name].copy() for name in CELL.names)
-    first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for _ in range(len(cells)):  # more rounds than that would go in circles over a false digest
-        pure = np.flatnonzero((count == 1) | (count == -1))
-        pure = pure[checks(digest[pure]) == check[pure]]
-        if not len(pure):
-            break
-        keys, at = np.unique(digest[pure], return_index=True)
-        sign = count[pure][at]
-        first.append(keys[sign == 1])
-        second.append(keys[sign == -1])
-        where, own = places(keys, len(cells)), checks(keys)
-        for i in range(PARTS):
-            np.subtract.at(count, where[:, i], sign)
-            np.bitwise_xor.at(digest, where[:, i], keys)
-            np.bitwise_xor.at(check, where[:, i], own)
-    if count.any() or digest.any() or check.any():
-        return None
-    return np.concatenate(first), np.concatenate(second)
-
-
-def folded(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-
-
-class Fingerprint:
-    """A version of a text: its base cells, and larger ones as they are asked for."""
-
-    def __init__(self, text: str, cells: int = CELLS):
-        self.keys = digests(paragraphs(text))
-        self.size = int((self.keys & SIZES).sum())
-        self.whole = folded(text)
-        self.cells = {cells: sketch(self.keys, cells)}
-        self.base = cells
-
-    def at(self, cells: int) -> np.ndarray:
-        if cells not in self.cells:
-            self.cells[cells] = sketch(self.keys, cells)
-        return self.cells[cells]
-
-    def __str__(self) -> str:
-        head = np.array([self.whole, len(self.keys), self.size], "<u8").tobytes()
-        return base64.b64encode(head + self.at(self.base).tobytes()).decode()
-
-    def differing(self, other: Fingerprint) -> tuple[np.ndarray, np.ndarray, int]:
-        """Digests of one version only, of the other only, and the cells that it took.
-
-        Doubling ends: with many times more cells than digests nearly every one is alone.
+class Sketches:
+    """The cells of `n` sets of digests, one after the other in flat columns."""
+
+    def __init__(self, n: int, cells: int):
+        self.n, self.cells = n, cells
+        self.count, self.digest, self.check = (np.zeros(n * cells, CELL[name]) for name in CELL.names)
+
+    def add(self, which: np.ndarray, keys: np.ndarray, sign) -> Sketches:
+        """Put digests into the sets `which` (sign 1) or take them out (-1)."""
+        own = checks(keys)
+        for at in places(keys, self.cells):
+            at = at + which * self.cells
+            np.add.at(self.count, at, sign)
+            np.bitwise_xor.at(self.digest, at, keys)
+            np.bitwise_xor.at(self.check, at, own)
+        return self
+
+    def minus(self, other: Sketches) -> Sketches:
+        """What is in one of two versions only, for each of the sets."""
+        out = Sketches(self.n, self.cells)
+        out.count = self.count - other.count
+        out.digest, out.check = self.digest ^ other.digest, self.check ^ other.check
+        return out
+
+    def taken(self, which: np.ndarray) -> Sketches:
+        out = Sketches(len(which), self.cells)
+        for name in CELL.names:
+            setattr(out, name, getattr(self, name).reshape(self.n, -1)[which].ravel())
+        return out
+
+    def stored(self, i: int) -> bytes:
+        """The cells of one set, as they stand in a fingerprint."""
+        out = np.empty(self.cells, CELL)
+        for name in CELL.names:
+            out[name] = getattr(self, name)[i * self.cells : (i + 1) * self.cells]
+        return out.tobytes()
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set, digest, sign) of all that is recovered, and which sets are empty then.
+
+        Only the cells of digests just removed can have become single ones, so a round
+        looks at those. More rounds than cells would go in circles over a false digest.
         """
-        cells = self.base
-        while True:
-            found = peeled(minus(self.at(cells), other.at(cells)))
-            if found is not None:
-                return *found, cells
-            cells *= 2
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        at = np.flatnonzero(np.abs(self.count) == 1)
+        for _ in range(self.cells):
+            at = at[(np.abs(self.count[at]) == 1) & (checks(self.digest[at]) == self.check[at])]
+            if not len(at):
+                break
+            keys, which = self.digest[at], at // self.cells
+            homes = [home + which * self.cells for home in places(keys, self.cells)]
+            own = at % self.cells // (self.cells // PARTS)
+            right = np.choose(own, homes) == at
+            for i, home in enumerate(homes):  # a digest alone in several cells is taken once
+                right &= ~((own > i) & (np.abs(self.count[home]) == 1) & (self.digest[home] == keys))
+            keys, which, sign = keys[right], which[right], self.count[at[right]]
+            found.append((which, keys, sign))
+            self.add(which, keys, -sign)
+            at = np.unique(np.concatenate([home[right] for home in homes]))
+        left = (self.count != 0) | (self.digest != 0) | (self.check != 0)
+        return *(np.concatenate(x) for x in zip(*found)), ~left.reshape(self.n, self.cells).any(axis=1)
+
+
+class Versions:
+    """The digests of many texts, flat, with their base sketches."""
+
+    def __init__(self, texts: list[str], cells: int = CELLS):
+        every = [digests(paragraphs(t)) for t in texts]
+        self.n, self.base = len(texts), cells
+        self.lengths = np.array([len(k) for k in every], np.int64)
+        self.keys = np.concatenate([np.zeros(0, np.uint64), *every])
+        self.which = np.repeat(np.arange(self.n), self.lengths)
+        self.sizes = np.bincount(self.which, (self.keys & SIZES).astype(np.float64), self.n).astype(np.int64)
+        self.whole = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        self.sketches = Sketches(self.n, cells).add(self.which, self.keys, 1)
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `which`, digest) of the texts asked for."""
+        begin = np.concatenate([[0], np.cumsum(self.lengths)])[which]
+        n = self.lengths[which]
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(which)), n), self.keys[at]
+
+    def fingerprint(self, i: int) -> str:
+        head = np.array([self.whole[i], self.lengths[i], self.sizes[i]], np.uint64).astype("<u8").tobytes()
+        return base64.b64encode(head + self.sketches.stored(i)).decode()
+
+
+def differing(a: Versions, at: np.ndarray, b: Versions, bt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the texts `at` of `a` and `bt` of `b` don't share, pair by pair: (pair, digest,
+    sign) with sign 1 for the first, and the cells that each pair took.
+
+    Pairs that don't peel are sketched again with twice as many cells. That ends: with many
+    times more cells than digests nearly every digest is alone in one.
+    """
+    cells, todo, took = a.base, np.arange(len(at)), np.zeros(len(at), np.int64)
+    apart = a.sketches.taken(at).minus(b.sketches.taken(bt))
+    found = []
+    while True:
+        pair, keys, sign, peeled = apart.peel()
+        whole = peeled[pair]
+        found.append((todo[pair[whole]], keys[whole], sign[whole]))
+        took[todo[peeled]] = cells
+        todo, cells = todo[~peeled], cells * 2
+        if not len(todo):
+            return *(np.concatenate(x) for x in zip(*found)), took
+        apart = Sketches(len(todo), cells).add(*a.of(at[todo]), 1).add(*b.of(bt[todo]), -1)
 
-    def likeness(self, other: Fingerprint) -> float:
-        """1 for versions of the same paragraphs, 0 for versions that share none.
 
-        Two texts without a paragraph are alike if they are equal.
-        """
-        total = self.size + other.size
-        if not total:
-            return float(self.whole == other.whole)
-        apart = sum(int((keys & SIZES).sum()) for keys in self.differing(other)[:2])
-        return (total - apart) / total
+def likeness(a: Versions, at: np.ndarray, b: Versions, bt: np.ndarray) -> np.ndarray:
+    """1 for versions of the same paragraphs, 0 for versions that share none.
+
+    Two texts without a paragraph are alike if they are equal.
+    """
+    pair, keys, _, _ = differing(a, at, b, bt)
+    apart = np.bincount(pair, (keys & SIZES).astype(np.float64), len(at))
+    total = a.sizes[at] + b.sizes[bt]
+    same = np.array([a.whole[i] == b.whole[j] for i, j in zip(at.tolist(), bt.tolist())], np.float64)
+    return np.where(total > 0, (total - apart) / np.maximum(total, 1), same)
 
 
 def edited(text: str, following: str) -> str:
@@ -179,28 +212,42 @@ def edited(text: str, following: str) -> str:
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _told(doc_ids: list, texts: list[str], cells: int) -> pa.RecordBatch:
+    """Neighbours in the order of the ids: every text but the last one, which is only a next."""
+    others = [edited(text, after) for text, after in zip(texts, texts[1:])]
+    own, changed = Versions(texts, cells), Versions(others, cells)
+    every = np.arange(len(others))
+    columns = [
+        doc_ids[:-1],
+        [len(t) for t in texts[:-1]],
+        [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in others],
+        [own.fingerprint(i) for i in range(len(others))],
+        [changed.fingerprint(i) for i in range(len(others))],
+        likeness(own, every, changed, every),
+        likeness(own, every, own, every + 1),
+    ]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in FIELDS.split(", ")])
+
+
 def _compared(cells: int):
-    """Rows in the order of the ids; each is compared with the row after it."""
+    """Rows in the order of the ids; each is compared with the row after it in its bucket."""
 
     def run(batches):
-        names = [f.split()[0] for f in FIELDS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        held = None
+        held: tuple[object, list, list] = (None, [], [])
         for buckets, guests, doc_ids, bodies in rows(batches, "bucket", "guest", "doc_id", "text"):
-            out = []
             for bucket, guest, doc_id, body in zip(buckets, guests, doc_ids, bodies):
-                if guest and (held is None or held[0] != bucket):
-                    continue
-                after = Fingerprint(body, cells)
-                if held is not None and held[0] == bucket:
-                    _, own_id, text, own = held
-                    other = edited(text, body)
-                    print_of = Fingerprint(other, cells)
-                    sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((own_id, len(text), sha, str(own), str(print_of), own.likeness(print_of), own.likeness(after)))
-                held = None if guest else (bucket, doc_id, body, after)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*out)), kinds)], names=names)
+                if bucket != held[0]:
+                    held = (bucket, [], [])
+                _, ids, texts = held
+                if guest and not texts:
+                    continue  # a second guest: equal rows are first together
+                ids.append(doc_id)
+                texts.append(body)
+                if guest or len(texts) > BATCH_TEXTS or sum(map(len, texts)) > BATCH_CHARS:
+                    if len(texts) > 1:
+                        yield _told(ids, texts, cells)
+                    held = (bucket, [], []) if guest else (bucket, ids[-1:], texts[-1:])
 
     return run
 

@@ -6,19 +6,19 @@ import numpy as np
 import pytest
 from cases import TEXTS, awkward, empty, told
 
+from filigree.llm import fingerprints as module
 from filigree.llm.fingerprints import (
     CELLS,
-    Fingerprint,
+    Sketches,
+    Versions,
     checks,
+    differing,
     digests,
     edited,
     fingerprints,
     in_order,
-    minus,
     paragraphs,
-    peeled,
     places,
-    sketch,
 )
 
 
@@ -60,7 +60,7 @@ def test_against_the_paragraphs_themselves(spark):
     by_id = {r.doc_id: r for r in got.collect()}
     texts = {i: t or "" for i, t in rows}
     for i, r in by_id.items():
-        assert r.fingerprint == str(Fingerprint(texts[i]))
+        assert r.fingerprint == Versions([texts[i]]).fingerprint(0)
         assert len(r.fingerprint) == len(r.edited_fingerprint)
 
 
@@ -94,28 +94,46 @@ def test_peeling_recovers_what_differs(n):
     both, first, second = (np.unique(rng.integers(1, 2**63, k).astype(np.uint64)) for k in (1000, n, n // 2))
     cells = CELLS
     while True:
-        found = peeled(minus(sketch(np.concatenate([both, first]), cells), sketch(np.concatenate([both, second]), cells)))
-        if found:
+        a, b = (Sketches(1, cells).add(np.zeros(len(k), np.int64), k, 1) for k in (np.concatenate([both, first]), np.concatenate([both, second])))
+        _, keys, sign, whole = a.minus(b).peel()
+        if whole[0]:
             break
         cells *= 2
-    assert [sorted(x.tolist()) for x in found] == [sorted(first.tolist()), sorted(second.tolist())]
+    assert sorted(keys[sign == 1].tolist()) == first.tolist() and sorted(keys[sign == -1].tolist()) == second.tolist()
     assert cells <= max(CELLS, 8 * (n + n // 2))
 
 
 def test_too_small_a_sketch_is_known_and_retried():
     a, b = ("\n".join(f"{name} line {i}" for i in range(200)) for name in ("left", "right"))
-    x, y = Fingerprint(a), Fingerprint(b)
-    assert peeled(minus(x.at(CELLS), y.at(CELLS))) is None
-    left, right, cells = x.differing(y)
-    assert cells > CELLS and (len(left), len(right)) == (200, 200) and x.likeness(y) == 0.0
+    x, y = Versions([a, "alone"]), Versions([b, "alone"])
+    every = np.arange(2)
+    assert x.sketches.minus(y.sketches).peel()[3].tolist() == [False, True]
+    pair, keys, sign, took = differing(x, every, y, every)
+    assert took[0] > CELLS and took[1] == CELLS
+    assert pair.tolist() == [0] * 400 and np.count_nonzero(sign == 1) == 200
+    assert set(keys[sign == 1].tolist()) == set(x.keys[x.which == 0].tolist())
+    assert module.likeness(x, every, y, every).tolist() == [0.0, 1.0]
 
 
 def test_a_false_digest_does_not_go_in_circles():
-    cells = np.zeros(CELLS, sketch(np.zeros(0, np.uint64), CELLS).dtype)
+    cells = Sketches(1, CELLS)
     key = np.array([12345 << 20 | 7], np.uint64)
-    wrong = (set(range(CELLS)) - set(places(key, CELLS).ravel().tolist())).pop()
-    cells[wrong] = (1, key[0], checks(key)[0])
-    assert peeled(cells) is None
+    homes = {int(at[0]) for at in places(key, CELLS)}
+    wrong = (set(range(CELLS)) - homes).pop()
+    cells.count[wrong], cells.digest[wrong], cells.check[wrong] = 1, key[0], checks(key)[0]
+    assert cells.peel()[3].tolist() == [False]
+
+
+def test_batches_are_cut_without_losing_a_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(module, "BATCH_TEXTS", 3)
+    rows = [(i, t or "") for i, t in sorted(corpus(4, 20))]
+    run = module._compared(CELLS)
+    import pyarrow as pa
+
+    texts = [t for _, t in rows]
+    batch = pa.RecordBatch.from_pydict({"bucket": [1] * 21, "guest": [False] * 20 + [True], "doc_id": [i for i, _ in rows] + [rows[0][0]], "text": texts + texts[:1]})
+    got = [tuple(r[c] for c in SHORT) for out in run([batch.slice(0, 5), batch.slice(5)]) for r in out.to_pylist()]
+    assert got == brute(rows)
 
 
 def test_paragraphs_and_digests():
