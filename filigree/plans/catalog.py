@@ -11,6 +11,7 @@ from filigree.functions.html import markdown, sections, title
 from filigree.functions.text import tokens
 from filigree.operators import chats, grounding, messages
 from filigree.operators.chunking import chunk_documents, chunk_sections
+from filigree.operators.comparison import passage_changes
 from filigree.operators.context import attach, excerpt, surrounding_chunks
 from filigree.operators.filings import (
     extract_filings,
@@ -185,6 +186,16 @@ def corpus_term_statistics(spark, sf):
     return term_statistics(tables.documents(spark, sf, "doc_id", "text"))
 
 
+# ---- comparison -----------------------------------------------------------------
+
+
+@register
+def passage_changes_by_source(spark, sf):
+    """Every document against the next one of its source, line by line."""
+    docs = tables.documents(spark, sf, "doc_id", "text", "source")
+    return passage_changes(docs.withColumn("passages", F.split("text", "\n")), ["source"], "doc_id")
+
+
 # ---- retrieval ------------------------------------------------------------------
 
 

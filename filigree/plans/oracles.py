@@ -194,6 +194,7 @@ SELECT page_id, page_id || '-' || chunk_index AS chunk_id, chunk_index, section,
        CAST(base + start_offset + length(text) AS INT) AS end_offset FROM numbered""",
         "chunk_documents_200_150": f"WITH {DOC_CHUNKS} SELECT * FROM chunks",
         "incremental_ingest_availablenow": f"WITH {DOC_CHUNKS} SELECT * FROM chunks",
+        "passage_changes_by_source": CHANGES,
         "chunk_token_counts": f"""WITH {DOC_CHUNKS}
 SELECT doc_id, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS n_tokens FROM chunks GROUP BY ALL""",
         "chunk_with_document_metadata": f"""WITH {DOC_CHUNKS}
@@ -208,6 +209,57 @@ UNION ALL SELECT '', count(*), CAST(sum(len(toks)) AS BIGINT) FROM t""",
     }
 
 
+# ---- comparison -----------------------------------------------------------------
+
+#: The alignment as a recursion over the candidates of each pair of versions: `best` and
+#: `prev` grow by one entry a step, then the chain is followed back from its end.
+CHANGES = rf"""
+WITH RECURSIVE
+  d AS MATERIALIZED (
+    SELECT source, doc_id, string_split(text, chr(10)) AS ls,
+           lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS following FROM documents),
+  lines AS MATERIALIZED (
+    SELECT source, doc_id, idx - 1 AS i, ws FROM (
+      SELECT source, doc_id, unnest(range(1, len(ls) + 1)) AS idx,
+             list_filter(string_split_regex(lower(ls[idx]), {_q(UNICODE)}), lambda w: w <> '') AS ws FROM d)
+    WHERE len(ws) > 0),
+  sh AS (
+    SELECT doc_id, i, ws, unnest(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+           ELSE list_transform(range(1, len(ws) - 1), lambda j: array_to_string(ws[j:j + 2], ' ')) END) AS s,
+           unnest(range(greatest(len(ws) - 2, 1))) AS pos FROM lines),
+  nth AS MATERIALIZED (
+    SELECT doc_id, i, ws, s, row_number() OVER (PARTITION BY doc_id, s ORDER BY i, pos) AS k FROM sh),
+  links AS (SELECT source, doc_id AS x, following AS y FROM d WHERE following IS NOT NULL),
+  cand AS MATERIALIZED (
+    SELECT x, y, a.i AS o, b.i AS n, 2000000 * count(*) // (greatest(len(a.ws) - 2, 1) + greatest(len(b.ws) - 2, 1)) AS w, a.ws = b.ws AS same
+    FROM links JOIN nth a ON a.doc_id = x JOIN nth b ON b.doc_id = y AND a.s = b.s AND a.k = b.k
+    GROUP BY x, y, a.i, b.i, a.ws, b.ws HAVING w >= 300000),
+  g AS MATERIALIZED (SELECT x, list({{'o': o, 'n': n, 'w': w, 'same': same}} ORDER BY o, n) AS c FROM cand GROUP BY x),
+  steps AS (
+    SELECT x, 0 AS pos, []::BIGINT[] AS best, []::BIGINT[] AS prev FROM g
+    UNION ALL
+    SELECT x, pos + 1, list_append(best, c[pos + 1].w + top), list_append(prev, CASE WHEN top > 0 THEN
+             list_min(list_filter(fits, lambda j: best[j] = top)) ELSE 0 END)
+    FROM (SELECT *, coalesce(list_max(list_transform(fits, lambda j: best[j])), 0) AS top FROM (
+      SELECT x, pos, best, prev, c,
+             list_filter(range(1, pos + 1), lambda j: c[j].o < c[pos + 1].o AND c[j].n < c[pos + 1].n) AS fits
+      FROM steps JOIN g USING (x) WHERE pos < len(c)))),
+  done AS MATERIALIZED (SELECT x, best, prev FROM steps JOIN g USING (x) WHERE pos = len(c)),
+  back AS (
+    SELECT x, list_position(best, list_max(best))::BIGINT AS pos, prev FROM done
+    UNION ALL SELECT x, prev[pos], prev FROM back WHERE prev[pos] > 0),
+  pairs AS MATERIALIZED (SELECT x, c[pos].o AS o, c[pos].n AS n, c[pos].w AS w, c[pos].same AS same FROM back JOIN g USING (x))
+SELECT source, x AS old_doc_id, y AS new_doc_id, CAST(o AS INT) AS old_index, CAST(n AS INT) AS new_index,
+       CASE WHEN same THEN 'kept' ELSE 'changed' END AS change, w / 1000000.0::DOUBLE AS similarity
+FROM pairs JOIN links USING (x)
+UNION ALL
+SELECT links.source, x, y, CAST(i AS INT), NULL, 'removed', NULL FROM links JOIN lines ON lines.doc_id = x
+WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.x = links.x AND o = i)
+UNION ALL
+SELECT links.source, x, y, NULL, CAST(i AS INT), 'added', NULL FROM links JOIN lines ON lines.doc_id = y
+WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.x = links.x AND n = i)"""
+
+
 # ---- retrieval ------------------------------------------------------------------
 
 
