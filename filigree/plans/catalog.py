@@ -508,12 +508,16 @@ def incremental_ingest_availablenow(spark, sf):
 
 @register
 def streamed_message_commit(spark, sf):
-    """Messages committed from a stream of parts, and the failures without text."""
+    """Messages committed from a stream of parts in three micro-batches, every third part in
+    each, and the failures without text."""
     path = shared_dir(spark, "turns")
     source = f"{path}/arriving"
     parts = _part_log(spark, sf)
-    parts.write.parquet(source)
-    commit_available(spark.readStream.schema(parts.schema).parquet(source), path)
+    for arrival in range(3):
+        parts.where(F.col("seq") % 3 == arrival).write.mode("append").parquet(source)
+    files = len(spark.read.schema(parts.schema).parquet(source).inputFiles())
+    arriving = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(source)
+    commit_available(arriving, path)
     done = committed_messages(spark, path).select("message_id", "status", "text")
     failed = failed_messages(spark, path).select(
         "message_id", F.lit("error").alias("status"), F.lit(None).cast("string").alias("text")

@@ -1,52 +1,167 @@
-"""Streamed answer parts: stored as they land, committed as messages when complete."""
+"""Streamed answer parts, committed as messages when complete; open ones are kept as state."""
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from filigree.operators.messages import ERROR, FINISH, SOURCE, TEXT
+
+COMPLETE, FAILED, EXPIRED = "complete", "error", "expired"
+ENDED_FIELDS = "message_id string, status string, text string, n_deltas long, n_sources long, error string"
+#: What the query needs of the session when it starts: state with several columns a key, and
+#: no batches without parts, which timers by the clock would call for without end.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
 
-from filigree.operators.messages import ERROR, FINISH, assemble_messages
 
+def milliseconds(interval: str) -> int:
+    """`10 minutes` as milliseconds."""
+    found = re.fullmatch(r"\s*(\d+)\s*(millisecond|second|minute|hour|day)s?\s*", interval)
+    if not found:
+        raise ValueError(f"not an interval: {interval}")
+    number, unit = int(found[1]), found[2]
+    return number if unit == "millisecond" else number * UNITS[unit] * 1000
 
-def commit_available(parts: DataFrame, path: str) -> None:
-    """Take the available parts, commit the messages that ended, then stop.
 
-    Parts of messages still running are carried in `<path>/open` from one micro-batch to
-    the next, so a batch reads what is in flight and not all history. When a message's
-    end arrives it is assembled and goes to `<path>/ended`, complete or as a failure
-    without text. Nothing partial is committed.
+class TurnAssembler(StatefulProcessor):
+    """The state of one message.
+
+    `parts` is appended to and read only when the message may be whole. `turn` says whether
+    it has ended, how many parts have come and which one is the last. A message ends with
+    an error part, or when `finish` and every part before it have come, in any order and
+    possibly twice; or it expires `idle` after its last part. Then its parts go, and a mark
+    stays for `keep`, so that a late part does not open it again.
     """
 
-    def store(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        seen = rows
-        if batch > 0:
-            seen = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/open/batch={batch - 1}"))
-        _replace(seen, f"{path}/landed", batch)
-        landed = spark.read.schema(rows.schema).parquet(f"{path}/landed/batch={batch}")
-        ended = landed.where(F.col("part_type").isin(FINISH, ERROR)).select("message_id").distinct()
-        done = assemble_messages(landed.join(ended, "message_id", "left_semi"))
-        said = F.when(F.col("status") == "complete", F.col("text"))
-        _replace(done.withColumn("text", said), f"{path}/ended", batch)
-        _replace(landed.join(ended, "message_id", "left_anti").select(*rows.columns), f"{path}/open", batch)
-
-    query = (
-        parts.writeStream.foreachBatch(store)
+    def __init__(self, idle: int, keep: int):
+        self.idle, self.keep = idle, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "seq int, part_type string, payload string")
+        self.turn = handle.getValueState("turn", "ended boolean, n long, last int, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        (message,) = key
+        ended, n, last, timer = self.turn.get() if self.turn.exists() else (False, 0, None, None)
+        if ended:
+            return
+        frames = [frame[["seq", "part_type", "payload"]] for frame in rows]
+        new = [tuple(r) for frame in frames for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False)]
+        n += len(new)
+        finish = next((seq for seq, kind, _ in new if kind == FINISH), None)
+        last = last if finish is None else int(finish)
+        error = next((payload or "" for _, kind, payload in new if kind == ERROR), None)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if error is not None:
+            yield self._end(message, FAILED, [], error, now, timer)
+            return
+        if last is not None and n > last:
+            whole = {int(seq): (kind, payload) for seq, kind, payload in [*self.parts.get(), *new] if int(seq) <= last}
+            if len(whole) == last + 1:
+                yield self._end(message, COMPLETE, [whole[i] for i in range(last + 1)], None, now, timer)
+                return
+        self.parts.appendList([(int(seq), kind, payload) for seq, kind, payload in new])
+        self._mark(False, n, last, now + self.idle, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (message,) = key
+        if not self.turn.exists():
+            return
+        if self.turn.get()[0]:
+            self.turn.clear()
+        else:
+            yield self._end(message, EXPIRED, [], None, timerValues.getCurrentProcessingTimeInMs(), None)
+
+    def _mark(self, ended: bool, n: int, last: int | None, timer: int, before: int | None) -> None:
+        if before is not None and before != timer:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(timer)
+        self.turn.update((ended, n, last, timer))
+
+    def _end(self, message, status, parts, error, now, timer) -> pd.DataFrame:
+        self.parts.clear()
+        self._mark(True, 0, None, now + self.keep, timer)
+        said = [payload or "" for kind, payload in parts if kind == TEXT]
+        return pd.DataFrame(
+            {
+                "message_id": [message],
+                "status": [status],
+                "text": ["".join(said) if status == COMPLETE else None],
+                "n_deltas": [len(said)],
+                "n_sources": [sum(kind == SOURCE for kind, _ in parts)],
+                "error": [error],
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def ended_messages(parts: DataFrame, *, idle: str = "10 minutes", keep: str = "1 day") -> DataFrame:
+    """A stream of messages `(message_id, status, text, n_deltas, n_sources, error)` that end,
+    from a stream of parts; each message once. Start it within `started_with(spark)`."""
+    return parts.groupBy("message_id").transformWithStateInPandas(
+        statefulProcessor=TurnAssembler(milliseconds(idle), milliseconds(keep)),
+        outputStructType=ENDED_FIELDS,
+        outputMode="append",
+        timeMode="processingTime",
+    )
+
+
+@contextmanager
+def started_with(spark: SparkSession):
+    """`SETTINGS` for the queries started within; they keep them."""
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def commit_available(parts: DataFrame, path: str, *, idle: str = "10 minutes", keep: str = "1 day") -> None:
+    """Take the available parts, commit the messages that ended to `<path>/ended`, then stop.
+
+    Only what is new is written: the file sink appends the ended messages of a micro-batch
+    once, also if the batch runs again, and the state in `<path>/checkpoint` changes by the
+    new parts. Messages expire in the next batch that has parts. Nothing partial is committed.
+    """
+    writer = (
+        ended_messages(parts, idle=idle, keep=keep)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{path}/ended")
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
+    with started_with(parts.sparkSession):
+        query = writer.start()
     query.awaitTermination()
 
 
-def _replace(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def _ended(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ENDED_FIELDS).parquet(f"{path}/ended")
 
 
 def committed_messages(spark: SparkSession, path: str) -> DataFrame:
-    ended = spark.read.parquet(f"{path}/ended").drop("batch", "error")
-    return ended.where(F.col("status") == "complete")
+    return _ended(spark, path).where(f"status = '{COMPLETE}'").drop("error")
 
 
 def failed_messages(spark: SparkSession, path: str) -> DataFrame:
-    ended = spark.read.parquet(f"{path}/ended")
-    return ended.where(F.col("status") == "error").select("message_id", "error")
+    return _ended(spark, path).where(f"status = '{FAILED}'").select("message_id", "error")
+
+
+def expired_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Messages that never ended."""
+    return _ended(spark, path).where(f"status = '{EXPIRED}'").select("message_id")

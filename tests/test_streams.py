@@ -4,7 +4,13 @@ from filigree.operators import messages
 from filigree.operators.messages import assemble_messages, to_parts
 from filigree.schemas import MESSAGE_PARTS
 from filigree.streaming.ingest import ingest_available, stored_chunks
-from filigree.streaming.turns import commit_available, committed_messages, failed_messages
+from filigree.streaming.turns import (
+    commit_available,
+    committed_messages,
+    expired_messages,
+    failed_messages,
+    milliseconds,
+)
 
 LOG = "message_id string, text string, sources array<string>, error string"
 
@@ -27,23 +33,53 @@ def write_parts(spark, path, rows):
     spark.createDataFrame(rows, MESSAGE_PARTS).coalesce(1).write.mode("append").parquet(path)
 
 
+def stream(spark, source):
+    return spark.readStream.schema(MESSAGE_PARTS).option("maxFilesPerTrigger", 1).parquet(source)
+
+
 def test_messages_commit_when_their_end_arrives(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
 
-    def run():
-        stream = spark.readStream.schema(MESSAGE_PARTS).option("maxFilesPerTrigger", 1).parquet(source)
-        commit_available(stream, out)
+    def run(**options):
+        commit_available(stream(spark, source), out, **options)
         done = {r["message_id"]: r["text"] for r in committed_messages(spark, out).collect()}
         return done, {r["message_id"]: r["error"] for r in failed_messages(spark, out).collect()}
 
     write_parts(spark, source, [("a", 0, "text-delta", "hello "), ("b", 0, "text-delta", "bad")])
     write_parts(spark, source, [("c", 0, "text-delta", "c"), ("c", 1, "finish", None)])
+    write_parts(spark, source, [("e", 2, "finish", None), ("e", 1, "source", "s")])
     assert run() == ({"c": "c"}, {})
-    write_parts(spark, source, [("b", 1, "error", "grounding_failed"), ("a", 1, "text-delta", "world")])
-    write_parts(spark, source, [("a", 2, "finish", None), ("d", 0, "text-delta", "open")])
-    assert run() == ({"c": "c", "a": "hello world"}, {"b": "grounding_failed"})
-    newest = max((tmp_path / "out" / "open").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))
-    assert [r["message_id"] for r in spark.read.parquet(str(newest)).collect()] == ["d"]
+    # out of order, twice, and late: c has ended
+    write_parts(spark, source, [("b", 1, "error", "grounding_failed"), ("a", 1, "text-delta", "world"), ("c", 0, "text-delta", "again")])
+    write_parts(spark, source, [("a", 2, "finish", None), ("a", 1, "text-delta", "world"), ("e", 0, "text-delta", "first"), ("c", 1, "finish", None)])
+    assert run() == ({"c": "c", "a": "hello world", "e": "first"}, {"b": "grounding_failed"})
+    assert run() == ({"c": "c", "a": "hello world", "e": "first"}, {"b": "grounding_failed"})
+    told = {r["message_id"]: (r["n_deltas"], r["n_sources"]) for r in committed_messages(spark, out).collect()}
+    assert told == {"c": (1, 0), "a": (2, 0), "e": (1, 1)}
+    assert expired_messages(spark, out).collect() == []
+
+
+def test_messages_that_never_end_expire_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_parts(spark, source, [("d", 0, "text-delta", "open")])
+    write_parts(spark, source, [("x", 0, "finish", None)])
+    write_parts(spark, source, [("d", 1, "finish", None), ("y", 0, "finish", None)])
+    commit_available(stream(spark, source), out, idle="1 millisecond")
+    # the timer fires after the batch of x; the end of d comes too late
+    assert [r["message_id"] for r in expired_messages(spark, out).collect()] == ["d"]
+    assert {r["message_id"]: r["text"] for r in committed_messages(spark, out).collect()} == {"x": "", "y": ""}
+    assert milliseconds("2 minutes") == 120_000
+
+
+def test_a_restart_from_the_checkpoint_gives_the_same_rows(spark, tmp_path):
+    source, whole, parted = (str(tmp_path / n) for n in ("in", "whole", "parted"))
+    rows = [(f"m{i}", seq, "text-delta", f"{i}.{seq} ") for i in range(12) for seq in range(4)] + [(f"m{i}", 4, "finish", None) for i in range(11)]
+    for k in range(3):
+        write_parts(spark, source, [r for j, r in enumerate(rows) if j % 3 == k])
+        commit_available(stream(spark, source), parted)
+    commit_available(stream(spark, source), whole)
+    told = [sorted(tuple(r) for r in committed_messages(spark, p).collect()) for p in (whole, parted)]
+    assert told[0] == told[1] and len(told[0]) == 11
 
 
 def test_ingest_takes_new_files_once_and_replaces_documents(spark, tmp_path):
