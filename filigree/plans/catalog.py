@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.functions.embedding import HashingEmbedder, embed_column
 from filigree.functions.filing_paths import fiscal_year, local_path, source_url, suffix
 from filigree.functions.html import markdown, sections, title
 from filigree.functions.text import tokens
@@ -19,6 +20,7 @@ from filigree.operators.filings import (
     select_fallback,
     select_filings,
 )
+from filigree.operators.incremental import update_tables
 from filigree.operators.fusion import reciprocal_rank_fusion
 from filigree.operators.lexical import lexical_search, postings, term_statistics
 from filigree.operators.manifest import manifest_header, manifest_rows
@@ -497,15 +499,38 @@ def _persisted(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 @register
 def incremental_ingest_availablenow(spark, sf):
-    """Chunks after the documents table has passed through the ingestion stream."""
+    """Chunks after the documents have passed through the ingestion stream in several
+    micro-batches, those with a label twice."""
     path = shared_dir(spark, "ingest")
-    schema = tables.table(spark, sf, "documents").schema
-    # The pattern matches one file as well as a folder of files.
-    arriving = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]").select("doc_id", "text")
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    labelled = docs.join(tables.table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    for arrival in (docs, labelled):
+        arrival.write.mode("append").parquet(f"{path}/arriving")
+    files = len(spark.read.schema(docs.schema).parquet(f"{path}/arriving").inputFiles())
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{path}/arriving")
     ingest_available(arriving, path)
     return _plain_offsets(stored_chunks(spark, path))
 
 
+@register
+def incremental_corpus_update(spark, sf):
+    """Chunks of the documents after an update in which the labelled ones say their quality:
+    only those are chunked and embedded again, and are of generation 2."""
+    path = shared_dir(spark, "corpus")
+    docs = tables.documents(spark, sf, "doc_id", "text", "lang")
+    labels = tables.table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" quality "), F.col("quality"))
+    later = docs.join(labels, "doc_id", "left").withColumn("text", F.coalesce(said, F.col("text"))).select(*docs.columns)
+
+    def derive(rows: DataFrame) -> DataFrame:
+        return embed_column(chunk_documents(rows, keep=["lang"]), HashingEmbedder(16))
+
+    for version in (docs, later):
+        update_tables(version, path, derive, id_col="doc_id", partition="lang")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    return _plain_offsets(chunks).select("doc_id", "chunk_id", "lang", "token_count", "start_offset", "end_offset", "generation", F.md5("text").alias("text_md5"))
+
+
 @register
 def streamed_message_commit(spark, sf):
     """Messages committed from a stream of parts in three micro-batches, every third part in

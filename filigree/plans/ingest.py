@@ -8,6 +8,7 @@ from filigree.functions.embedding import Embedder, embed_column
 from filigree.functions.html import markdown, sections
 from filigree.operators.bounded import lookup_join
 from filigree.operators.chunking import CHUNK_STRIDE, CHUNK_TOKENS, chunk_sections
+from filigree.operators.incremental import content_hash, update_tables
 from filigree.schemas import CHUNK_METADATA, SOURCE_DOCUMENTS
 from filigree.sinks.files import write_table
 
@@ -52,14 +53,40 @@ def document_chunks(
     )
 
 
+def update_corpus(
+    documents: DataFrame, embedder: Embedder, path: str, *, complete: bool = False, size: int = CHUNK_TOKENS,
+    stride: int = CHUNK_STRIDE,
+) -> dict[str, int]:
+    """Add or replace source documents; only those that are new or changed are chunked and
+    embedded, and only the year folders they are in (or were in) are rewritten. With
+    `complete`, documents that don't come any more are removed. Returns the counts."""
+
+    def derive(rows: DataFrame) -> DataFrame:
+        chunks = embed_column(document_chunks(rows, size=size, stride=stride), embedder)
+        return chunks.withColumn("year", F.col("metadata.year"))
+
+    return update_tables(
+        documents.to(SOURCE_DOCUMENTS), path, derive, id_col="document_id", partition="year",
+        documents="source_documents", derived="document_chunks", complete=complete,
+    )
+
+
 def store_corpus(
     documents: DataFrame, embedder: Embedder, path: str, *, clear: bool = True, size: int = CHUNK_TOKENS,
     stride: int = CHUNK_STRIDE,
 ) -> None:
-    """Write `<path>/source_documents`, then `<path>/document_chunks` read from the former."""
+    """Write `<path>/source_documents`, then `<path>/document_chunks` read from the former.
+
+    Without `clear`, the documents are added to what is stored.
+    """
+    if not clear:
+        update_corpus(documents, embedder, path, size=size, stride=stride)
+        return
     spark = documents.sparkSession
-    write_table(documents, f"{path}/source_documents", clear=clear)
-    stored = spark.read.schema(SOURCE_DOCUMENTS).parquet(f"{path}/source_documents")
-    chunks = embed_column(document_chunks(stored, size=size, stride=stride), embedder)
-    write_table(chunks.withColumn("year", F.col("metadata.year")), f"{path}/document_chunks",
-                partition_by=("year",), clear=True)
+    columns = documents.to(SOURCE_DOCUMENTS).columns
+    hashed = documents.to(SOURCE_DOCUMENTS).withColumn("content_hash", content_hash(columns)).withColumn("generation", F.lit(1))
+    write_table(hashed, f"{path}/source_documents", partition_by=("year",))
+    kept = spark.read.schema(hashed.schema).parquet(f"{path}/source_documents").select(*columns)
+    chunks = embed_column(document_chunks(kept, size=size, stride=stride), embedder)
+    chunks = chunks.withColumn("year", F.col("metadata.year")).withColumn("generation", F.lit(1))
+    write_table(chunks, f"{path}/document_chunks", partition_by=("year",))

@@ -195,6 +195,13 @@ SELECT page_id, page_id || '-' || chunk_index AS chunk_id, chunk_index, section,
         "chunk_documents_200_150": f"WITH {DOC_CHUNKS} SELECT * FROM chunks",
         "incremental_ingest_availablenow": f"WITH {DOC_CHUNKS} SELECT * FROM chunks",
         "passage_changes_by_source": CHANGES,
+        "incremental_corpus_update": f"""WITH said AS (
+  SELECT doc_id, lang, CASE WHEN quality IS NULL THEN text ELSE coalesce(text, '') || ' quality ' || quality END AS text,
+         CASE WHEN quality IS NULL THEN 1 ELSE 2 END AS generation
+  FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+{_chunks("said", "doc_id, lang, generation")}
+SELECT doc_id, doc_id || '-' || i AS chunk_id, lang, CAST(token_count AS INT) AS token_count, CAST(start_offset AS INT) AS start_offset,
+       CAST(start_offset + length(text) AS INT) AS end_offset, generation, md5(text) AS text_md5 FROM c""",
         "chunk_token_counts": f"""WITH {DOC_CHUNKS}
 SELECT doc_id, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS n_tokens FROM chunks GROUP BY ALL""",
         "chunk_with_document_metadata": f"""WITH {DOC_CHUNKS}

@@ -1,12 +1,11 @@
-"""Incremental ingestion: new texts become chunks and postings once, also after a restart."""
+"""Incremental ingestion: new texts become chunks once, also after a restart."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.operators.bounded import broadcast_if_small, spread
+from filigree.operators.bounded import broadcast_if_small
 from filigree.operators.chunking import CHUNK_STRIDE, CHUNK_TOKENS, chunk_documents
-from filigree.operators.lexical import postings
 
 
 def ingest_available(
@@ -21,15 +20,15 @@ def ingest_available(
     """Process everything available in the stream `arriving`, then stop.
 
     Each micro-batch overwrites its own `batch` partition, so a batch that runs again
-    after a failure replaces what it wrote before. Progress is kept in
-    `<path>/checkpoint`.
+    after a failure replaces what it wrote before; nothing stored earlier is rewritten. A
+    document that comes twice in a batch counts once (of different texts, the one with the
+    greatest hash). Progress is kept in `<path>/checkpoint`.
     """
 
     def store(rows: DataFrame, batch: int) -> None:
-        chunks = chunk_documents(spread(rows, id_col), id_col=id_col, text_col=text_col, size=size, stride=stride)
+        once = rows.groupBy(id_col).agg(F.max_by(text_col, F.xxhash64(text_col)).alias(text_col))
+        chunks = chunk_documents(once, id_col=id_col, text_col=text_col, size=size, stride=stride)
         _replace(chunks, f"{path}/chunks", batch)
-        stored = rows.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks/batch={batch}")
-        _replace(postings(spread(stored, "chunk_id"), "chunk_id"), f"{path}/postings", batch)
 
     query = (
         arriving.writeStream.foreachBatch(store)

@@ -115,7 +115,7 @@ def test_manifest_has_one_layout(spark, tmp_path):
     assert json.loads(header.read_text())["downloaded_count"] == 8
 
 
-def test_companies_that_share_a_cik(spark, monkeypatch):
+def test_companies_that_share_a_cik(spark, tmp_path):
     """Each of two tickers of one page gets its five different filings, and the page is fetched once."""
     recent = {
         "form": ["10-K"] * 6,
@@ -124,19 +124,13 @@ def test_companies_that_share_a_cik(spark, monkeypatch):
         "filingDate": [f"202{i}-11-01" for i in range(6)],
         "reportDate": [f"202{i}-09-30" for i in range(6)],
     }
-    asked = []
-
-    def fetch_json(urls, user_agent):
-        names = [r["file_name"] for r in urls.collect()]
-        asked.extend(names)
-        page = json.dumps({"filings": {"recent": recent, "files": []}})
-        return spark.createDataFrame([(n, page) for n in names], "file_name string, json string")
-
-    monkeypatch.setattr(download, "fetch_json", fetch_json)
+    site = tmp_path / "site"
+    site.mkdir()
+    land(site, {"CIK0000000101.json": {"filings": {"recent": recent, "files": []}}})
     companies = tickers(spark, ["A1", "A2"], {"A1": "0000000101", "A2": "0000000101"})
-    blocks = page_blocks(download.fetch_pages(companies, "agent"))
+    blocks = page_blocks(download.fetch_pages(companies, "agent", site.as_uri(), str(tmp_path / "landed")))
     found = select_filings(extract_filings(blocks.join(companies, "cik")), SELECTION).collect()
-    assert asked == ["CIK0000000101.json"]
+    assert [p.name for p in (tmp_path / "landed").rglob("*.json")] == ["CIK0000000101.json"]
     for ticker in ("A1", "A2"):
         mine = [r["accession_number"] for r in found if r["ticker"] == ticker]
         assert len(mine) == len(set(mine)) == 5
