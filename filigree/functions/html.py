@@ -1,97 +1,35 @@
-"""HTML to Markdown as a chain of native regular-expression replacements."""
+"""Pages as Markdown, and Markdown in sections."""
 from __future__ import annotations
 
-from functools import reduce
+import html as entities
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from filigree.functions.html_markdown import PAGE_BREAK, page_markdown
 from filigree.functions.text import let
 
-PAGE_BREAK = "\f"
-
-# Fixed values: (pattern, replacement) in order of application. The syntax is common
-# to java.util.regex and RE2.
-MARKUP_RULES = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b.*?</script\s*>", " "),
-    (r"(?is)<style\b.*?</style\s*>", " "),
-    (r"(?is)<noscript\b.*?</noscript\s*>", " "),
-    (r"(?is)<head\b.*?</head\s*>", " "),
-    (r"(?is)<nav\b.*?</nav\s*>", " "),
-    (r"[ \t\r\n\f]+", " "),
-    (r"(?i)<[^>]*page-break-(?:after|before)\s*:\s*always[^>]*>", "\f"),
-    (r"(?i)<h1\b[^>]*>", "\n\n# "),
-    (r"(?i)<h2\b[^>]*>", "\n\n## "),
-    (r"(?i)<h3\b[^>]*>", "\n\n### "),
-    (r"(?i)<h4\b[^>]*>", "\n\n#### "),
-    (r"(?i)<h5\b[^>]*>", "\n\n##### "),
-    (r"(?i)<h6\b[^>]*>", "\n\n###### "),
-    (r"(?i)<br\b[^>]*>", "\n"),
-    (r"(?i)<li\b[^>]*>", "\n- "),
-    (r"(?i)</t[dh]\s*>", " | "),
-    (r"(?i)</?(?:tr|dt|dd)\b[^>]*>", "\n"),
-    (
-        r"(?i)</?(?:h[1-6]|p|div|article|section|main|header|footer|aside|ul|ol|dl|table|blockquote|pre|form|hr|body)\b[^>]*>",
-        "\n\n",
-    ),
-    (r"<[^>]*>", ""),
-]
-
-BLANK_RULES = [
-    (r"[ \t]+", " "),
-    (r" *\n *", "\n"),
-    (r" *\f *", "\f"),
-    (r"\n\n\n+", "\n\n"),
-    (r"^[ \n]+", ""),
-    (r"[ \n]+$", ""),
-]
-
-ENTITY_PIECE = r"&[A-Za-z]+;|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&"
-
-# HTML named character references decoded by name.
-NAMED_ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "bull": "•", "middot": "·", "hellip": "…", "sect": "§", "para": "¶",
-    "copy": "©", "reg": "®", "trade": "™", "cent": "¢", "pound": "£", "euro": "€", "yen": "¥",
-}
-
-
-def _apply(rules: list[tuple[str, str]], text: Column) -> Column:
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
-
-
-def _code_point(number: Column, otherwise: Column) -> Column:
-    valid = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(otherwise)
 
+@F.pandas_udf(T.StringType())
+def _markdown(pages: pd.Series) -> pd.Series:
+    return pages.map(page_markdown)
 
-def unescape(text: Column) -> Column:
-    """Decode character references once, left to right (`&amp;lt;` gives `&lt;`)."""
-    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
-
-    def decode(piece: Column) -> Column:
-        return (
-            F.when(~piece.startswith("&") | (F.char_length(piece) < 3), piece)
-            .when(
-                F.lower(F.substring(piece, 1, 3)) == "&#x",
-                _code_point(F.conv(F.regexp_extract(piece, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("long"), piece),
-            )
-            .when(
-                F.substring(piece, 1, 2) == "&#",
-                _code_point(F.regexp_extract(piece, "([0-9]+)", 1).cast("long"), piece),
-            )
-            .otherwise(F.coalesce(F.try_element_at(names, F.regexp_extract(piece, "([A-Za-z]+)", 1)), piece))
-        )
 
-    pieces = F.regexp_extract_all(text, F.lit(ENTITY_PIECE), 0)
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else entities.unescape(t))
+
+
+def unescape(text: Column) -> Column:
+    """Decode character references of all HTML names and numbers once (`&amp;lt;` gives `&lt;`)."""
+    return F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)
 
 
 def markdown(html: Column) -> Column:
-    """Headings, lists, table rows and paragraphs as Markdown; scripts, styles and navigation dropped."""
-    return _apply(BLANK_RULES, unescape(_apply(MARKUP_RULES, html)))
+    """A page as Markdown, see `page_markdown`; read in Arrow batches."""
+    return _markdown(html)
 
 
 def title(html: Column) -> Column:

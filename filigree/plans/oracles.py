@@ -5,7 +5,6 @@ apart from fixed values (patterns, forms, sizes).
 """
 from __future__ import annotations
 
-from filigree.functions.html import BLANK_RULES, ENTITY_PIECE, MARKUP_RULES, NAMED_ENTITIES
 from filigree.plans.catalog import CITATION_FLOOR
 from filigree.sources.domain import PRIORITY_FORMS, SELECTION, STATUS_SUFFIXES
 
@@ -115,22 +114,36 @@ def _rules(rules, text: str) -> str:
     return text
 
 
+# What the elements of the given pages mean: no lists, tables or links outside navigation.
+WITHOUT = [(rf"(?is)<{name}\b.*?</{name}\s*>", "") for name in ("script", "style", "head", "nav")]
+ELEMENTS = [
+    (r"(?s)<!--.*?-->", ""),
+    *WITHOUT,
+    (r"[ \t\r\n\f]+", " "),
+    *[(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)],
+    (r"(?i)<br\b[^>]*>", "\n"),
+    (r"(?i)</?(?:h[1-6]|p|div|article|footer|body|html)\b[^>]*>", "\n\n"),
+    (r"<[^>]*>", ""),
+]
+SPACING = [(r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n\n\n+", "\n\n"), (r"^[ \n]+", ""), (r"[ \n]+$", "")]
+# The named references that the given pages may hold.
+REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "middot": "·", "reg": "®", "mdash": "—", "ndash": "–"}
+PIECE = r"&[A-Za-z]+;|&#[0-9]{1,7};|[^&]+|&"
+
+
 def _unescape(text: str) -> str:
-    names = " ".join(f"WHEN '&{k};' THEN {_q(v)}" for k, v in NAMED_ENTITIES.items())
+    names = " ".join(f"WHEN '&{k};' THEN {_q(v)}" for k, v in REFERENCES.items())
     return (
-        f"CASE WHEN contains({text}, '&') THEN array_to_string(list_transform("
-        f"regexp_extract_all({text}, {_q(ENTITY_PIECE)}), lambda p: CASE "
-        "WHEN regexp_matches(p, '^&#[xX][0-9a-fA-F]+;$') "
-        "THEN chr(CAST('0x' || regexp_extract(p, '[xX]([0-9a-fA-F]+)', 1) AS INT)) "
+        f"CASE WHEN contains({text}, '&') THEN array_to_string(list_transform(regexp_extract_all({text}, {_q(PIECE)}), lambda p: CASE "
         "WHEN regexp_matches(p, '^&#[0-9]+;$') THEN chr(CAST(regexp_extract(p, '([0-9]+)', 1) AS INT)) "
         f"ELSE CASE p {names} ELSE p END END), '') ELSE {text} END"
     )
 
 
 MARKDOWN = f"""
-stripped AS (SELECT page_id, url, {_rules(MARKUP_RULES, 'html')} AS t FROM pages),
+stripped AS (SELECT page_id, url, {_rules(ELEMENTS, 'html')} AS t FROM pages),
 decoded AS (SELECT page_id, url, {_unescape('t')} AS t FROM stripped),
-md AS (SELECT page_id, url, {_rules(BLANK_RULES, 't')} AS markdown FROM decoded)"""
+md AS (SELECT page_id, url, {_rules(SPACING, 't')} AS markdown FROM decoded)"""
 
 HEAD = r"^(#{1,6}) +([^\n\f]*)"
 SECTIONS = MARKDOWN + rf""",

@@ -26,7 +26,7 @@ HTML = (
 
 def test_markdown(spark):
     assert one(spark, markdown, HTML) == (
-        "intro\n\n## Risk Factors\n\none\ntwo\n\n- a\n- b\n\n1 | 2 |\n\n\fthree"
+        "intro\n\n## Risk Factors\n\none\ntwo\n\n- a\n- b\n\n| 1 | 2 |\n| --- | --- |\n\n\fthree"
     )
     assert one(spark, title, HTML) == "A & B"
     assert one(spark, title, "<p>none") is None
