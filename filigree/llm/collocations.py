@@ -44,16 +44,18 @@ PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n"
 CHUNK_FIELDS = "chunk long, shard int, lang string, n_words long, vocabulary binary, ids binary"
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 NEVER = np.int16((1 << 15) - 1)
-#: Counters are dealt to buckets by ranges of their keys: so many for each shuffle
-#: partition, and more where a bucket would stand for more words than this.
-BUCKETS_PER_PARTITION = 4
-BUCKET_WORDS = 16_000_000
-#: A row of phrases: one little-endian array per column. `kind` 0 holds counters, which say
+#: Counters are dealt to buckets by ranges of their keys: one for so many words of the
+#: corpus, and so many at least.
+BUCKET_WORDS = 4_000_000
+LEAST_BUCKETS = 16
+#: A row of phrases: one little-endian array per column, compressed where that helps (keys
+#: are random bits). `kind` 0 holds counters, which say
 #: for each phrase the chunk `at` which it was seen; 1 the phrases of one chunk.
 COLUMNS = {"key1": "<u8", "key2": "<u4", "code": "<i8", "last": "<i4", "n": "<i8", "start": "<i2", "reached": "<i2", "at": "<i8"}
 ROW_FIELDS = "bucket int, kind int, chunk long, " + ", ".join(f"{c} binary" for c in COLUMNS)
 ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in COLUMNS]])
 COUNTERS, OF_CHUNK = 0, 1
+KEYS = {"key1", "key2"}
 
 
 class _Numbers(dict):
@@ -158,12 +160,15 @@ class Grams:
         return Grams(**{c: v[at] for c in COLUMNS if len(v := getattr(self, c))})
 
     def row(self, bucket: int, kind: int, chunk: int) -> dict:
-        return {"bucket": bucket, "kind": kind, "chunk": chunk, **{c: getattr(self, c).tobytes() for c in COLUMNS}}
+        press = zstandard.ZstdCompressor(1).compress
+        arrays = {c: getattr(self, c).tobytes() for c in COLUMNS}
+        return {"bucket": bucket, "kind": kind, "chunk": chunk, **{c: press(v) if v and c not in KEYS else v for c, v in arrays.items()}}
 
 
 def grams_of(table: pa.Table) -> list[tuple[int, int, Grams]]:
     """(kind, chunk, phrases) of each row."""
-    columns = [table.column(c).to_pylist() for c in COLUMNS]
+    plain = zstandard.ZstdDecompressor().decompress
+    columns = [[plain(v) if v and c not in KEYS else v for v in table.column(c).to_pylist()] for c in COLUMNS]
     kinds, chunks = table.column("kind").to_pylist(), table.column("chunk").to_pylist()
     return [
         (kind, chunk, Grams(**{c: np.frombuffer(v, COLUMNS[c]) for c, v in zip(COLUMNS, row)}))
@@ -326,7 +331,7 @@ def _exchanged(step: int, shards: int, least: int, count: bool, answer: bool, do
             seen = []
             for chunk, g in asked:
                 g = g.taken((g.start <= step) & (g.start + shards > step))
-                g.reached, g.at = np.full(len(g), NEVER), np.full(len(g), chunk, np.int64)
+                g.start, g.reached, g.at = g.start[:0], np.full(len(g), NEVER), np.full(len(g), chunk, np.int64)
                 seen.append(g)
             total = counted(counters, seen, step, least)
             total = total.taken(total.reached < NEVER) if done else total
@@ -386,8 +391,7 @@ def _counted(docs: DataFrame, shards: int, least: int, chunk_words: int) -> tupl
     ).write.partitionBy("shard").parquet(path)
     chunks = spark.read.schema(CHUNK_FIELDS).parquet(path)
     words_in_all = chunks.agg(F.sum("n_words")).first()[0] or 0
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(BUCKETS_PER_PARTITION * partitions, words_in_all // BUCKET_WORDS)
+    buckets = max(LEAST_BUCKETS, words_in_all // BUCKET_WORDS)
 
     words, pairs, triples = (
         _Counters(spark, name, shards, least, i * shards - 1) for i, name in enumerate(("words", "pairs", "triples"), 1)
