@@ -10,7 +10,7 @@ from filigree.functions.embedding import HashingEmbedder, embed_column
 from filigree.functions.filing_paths import fiscal_year, local_path, source_url, suffix
 from filigree.functions.html import markdown, sections, title
 from filigree.functions.text import tokens
-from filigree.operators import chats, grounding, messages
+from filigree.operators import chats, grounding, messages, metadata
 from filigree.operators.chunking import chunk_documents, chunk_sections
 from filigree.operators.comparison import passage_changes
 from filigree.operators.context import attach, excerpt, surrounding_chunks
@@ -26,6 +26,7 @@ from filigree.operators.lexical import lexical_search, postings, term_statistics
 from filigree.operators.manifest import manifest_header, manifest_rows
 from filigree.operators.retrieval import (
     LIST_DEPTH,
+    balanced_search,
     evidence_status,
     hybrid_search,
     search_filings,
@@ -34,6 +35,7 @@ from filigree.operators.semantic import semantic_search
 from filigree.session import shared_dir, stored
 from filigree.sinks.turns import turn_outputs
 from filigree.sources import domain, tables
+from filigree.sources.submissions import page_blocks, parse_pages
 from filigree.streaming.ingest import ingest_available, stored_chunks
 from filigree.streaming.turns import commit_available, committed_messages, failed_messages
 
@@ -59,6 +61,14 @@ def filings_zip_extract(spark, sf):
     return _extracted(spark, sf)
 
 
+@register
+def filings_from_page_files(spark, sf):
+    """Filings of all filers from page files of both shapes, joined by file name, in page order."""
+    blocks = page_blocks(parse_pages(domain.page_files(spark, sf)))
+    rows = extract_filings(blocks.join(domain.filers(spark, sf), "cik"))
+    return rows.select("ticker", "cik", "page_ord", "row_ord", "year", "form", "accession_number", "filing_date", "report_date")
+
+
 @register
 def filings_year_derivation(spark, sf):
     rows = domain.order_filings(spark, sf).select(
@@ -294,15 +304,32 @@ def search_balanced_per_source(spark, sf):
     return _lexical(spark, sf, 2, facet_col="source")
 
 
+@register
+def search_balanced_per_source_and_lang(spark, sf):
+    """Twelve hits a query, shared between the combinations of source and language."""
+    return balanced_search(*_hybrid_inputs(spark, sf), ["source", "lang"], 12, depth=4)
+
+
+@register
+def search_by_nested_metadata(spark, sf):
+    """Documents of two languages whose open metadata, the properties of the event of the
+    same number, have a small or a large `k`."""
+    props = tables.table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.parse_json("props").alias("extra"))
+    docs = tables.documents(spark, sf, "doc_id", "text", "lang").join(props, "doc_id", "left")
+    wanted = {"and": [{"field": "lang", "in": ["en", "de"]}, {"or": [{"field": "k", "lt": 20}, {"field": "k", "ge": 70}]}]}
+    kept = docs.where(metadata.compiled(wanted, ["doc_id", "lang"]))
+    return lexical_search(kept, tables.benchmark_queries(spark, sf), 10, corpus=docs)
+
+
+EVIDENCE_SCORE, EVIDENCE_COSINE = 30.0, 0.35
+
+
 @register
 def search_insufficient_evidence(spark, sf):
-    """Evidence for queries of which some share no term, some no vector and some neither with the corpus."""
-    strange = F.when(F.col("query_id") % 3 == 0, F.regexp_replace("text", "[A-Za-z]+", "zzq")).otherwise(F.col("text"))
-    asked = tables.benchmark_queries(spark, sf).withColumn("text", strange)
-    near = tables.query_vectors(spark, sf).where("query_id % 2 = 0")
-    docs = tables.documents(spark, sf, "doc_id", "text")
-    lexical = lexical_search(docs, asked, LIST_DEPTH)
-    return evidence_status(asked, lexical, semantic_search(tables.vectors(spark, sf), near, LIST_DEPTH))
+    """Evidence for every benchmark item, by strong lexical hits and by vectors other than its own."""
+    lexical = _lexical(spark, sf)
+    semantic = _semantic(spark, sf).where("doc_id <> query_id")
+    return evidence_status(tables.benchmark_queries(spark, sf), lexical, semantic, EVIDENCE_COSINE, EVIDENCE_SCORE)
 
 
 # ---- grounding ------------------------------------------------------------------

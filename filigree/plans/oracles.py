@@ -5,7 +5,7 @@ apart from fixed values (patterns, forms, sizes).
 """
 from __future__ import annotations
 
-from filigree.plans.catalog import CITATION_FLOOR
+from filigree.plans.catalog import CITATION_FLOOR, EVIDENCE_COSINE, EVIDENCE_SCORE
 from filigree.sources.domain import PRIORITY_FORMS, SELECTION, STATUS_SUFFIXES
 
 ASCII = "[^a-z0-9]+"
@@ -84,6 +84,12 @@ manifest AS (
 def _filing_oracles() -> dict[str, str]:
     return {
         "filings_zip_extract": f"WITH {FILINGS} SELECT * FROM filings",
+        "filings_from_page_files": f"""WITH {FILINGS},
+named AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY cik ORDER BY page_ord) - 1 AS INT) AS n FROM filings),
+shared AS (SELECT DISTINCT ticker, cik FROM filings UNION ALL
+           SELECT 'S' || s_suppkey, printf('%010d', s_suppkey) FROM supplier)
+SELECT shared.ticker, named.cik, n AS page_ord, row_ord, year, form, accession_number, filing_date, report_date
+FROM named JOIN shared ON shared.cik = named.cik""",
         "filings_year_derivation": f"WITH {FILINGS} SELECT year, form, count(*) AS n_filings FROM filings GROUP BY ALL",
         "filings_select_annual": f"WITH {FILINGS}, {ANNUAL} SELECT * FROM annual",
         "filings_select_fallback": f"WITH {FILINGS}, {FALLBACK} SELECT * FROM newest",
@@ -361,13 +367,32 @@ def _retrieval_oracles() -> dict[str, str]:
 FROM hits LEFT JOIN documents USING (doc_id)""",
         "search_filtered_by_lang": f"WITH {_fused(10, 'lang = ' + _q('en'), german.replace('doc_id IN', 'vec_id IN'))} SELECT * FROM hits",
         "search_balanced_per_source": f"WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 2, facet='source')} SELECT * FROM lex",
-        "search_insufficient_evidence": f"""WITH bench AS (
-  SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN regexp_replace(text, '[A-Za-z]+', 'zzq', 'g') ELSE text END AS text
-  FROM benchmark), {_bm25('lex', 'documents', 'bench', 50)}, {_cosine(50)},
-l AS (SELECT query_id, count(*) AS n_lexical FROM lex GROUP BY ALL),
-s AS (SELECT query_id, max(score) AS best_cosine FROM sem WHERE query_id % 2 = 0 GROUP BY ALL)
+        "search_balanced_per_source_and_lang": f"""WITH {BENCH},
+faceted AS (SELECT doc_id, text, source, lang, coalesce(source, '') || chr(31) || coalesce(lang, '') AS facet FROM documents),
+{_bm25('lex', 'faceted', 'bench', 4, facet='facet')},
+vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+vs AS (SELECT query_id, vec_id AS doc_id, facet, round(list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])), 6) AS score
+       FROM vq CROSS JOIN embeddings JOIN faceted ON doc_id = vec_id),
+sem AS (SELECT *, row_number() OVER (PARTITION BY query_id, facet ORDER BY score DESC, doc_id) AS rank FROM vs QUALIFY rank <= 4),
+f AS (
+  SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 12) AS rrf_score,
+         CAST(coalesce(l.rank, 0) AS INT) AS lexical_rank, CAST(coalesce(s.rank, 0) AS INT) AS semantic_rank
+  FROM lex l FULL JOIN sem s USING (query_id, doc_id)),
+t AS (
+  SELECT f.*, source, lang, CAST(row_number() OVER (PARTITION BY query_id, source, lang ORDER BY rrf_score DESC, doc_id) AS INT) AS turn
+  FROM f JOIN documents USING (doc_id))
+SELECT query_id, doc_id, rrf_score, lexical_rank, semantic_rank, source, lang, turn,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY turn, rrf_score DESC, doc_id) AS INT) AS rank
+FROM t QUALIFY rank <= 12""",
+        "search_by_nested_metadata": f"""WITH {BENCH},
+extended AS (SELECT doc_id, text, lang, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM documents LEFT JOIN events ON event_id = doc_id),
+{_bm25('lex', 'extended', 'bench', 10, where="coalesce(lang IN ('en', 'de') AND (k < 20 OR k >= 70), false)")}
+SELECT * FROM lex""",
+        "search_insufficient_evidence": f"""WITH {BENCH}, {_bm25('lex', 'documents', 'bench', 50)}, {_cosine(50)},
+l AS (SELECT query_id, count(*) AS n_lexical FROM lex WHERE score >= {EVIDENCE_SCORE} GROUP BY ALL),
+s AS (SELECT query_id, max(score) AS best_cosine FROM sem WHERE doc_id <> query_id GROUP BY ALL)
 SELECT query_id, coalesce(n_lexical, 0) AS n_lexical, best_cosine,
-       CASE WHEN coalesce(n_lexical, 0) = 0 AND coalesce(best_cosine, -1) < 0.2 THEN 'insufficient' ELSE 'ok' END AS status
+       CASE WHEN coalesce(n_lexical, 0) = 0 AND coalesce(best_cosine, -1) < {EVIDENCE_COSINE} THEN 'insufficient' ELSE 'ok' END AS status
 FROM bench LEFT JOIN l USING (query_id) LEFT JOIN s USING (query_id)""",
     }
 

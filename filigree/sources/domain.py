@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigree.operators.chats import turn_pairs
@@ -65,6 +65,30 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("ticker", "cik", "page_ord", block.alias("block"))
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as fetched files `(file_name, json)`: a company's first page nested
+    with the names of the others, which hold their columns at the root."""
+    nth = F.row_number().over(Window.partitionBy("cik").orderBy("page_ord")) - 1
+    pages = order_pages(spark, sf_dir).withColumn("n", nth)
+    own = F.concat(F.lit("CIK"), "cik", F.when(F.col("n") > 0, F.format_string("-submissions-%03d", "n")).otherwise(F.lit("")), F.lit(".json"))
+    pages = pages.withColumn("file_name", own)
+    listed = pages.where("n > 0").groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("n", "file_name"))).alias("names"))
+    files = F.transform("names", lambda x: F.struct(x["file_name"].alias("name")))
+    nested = F.to_json(F.struct(F.struct(F.col("block").alias("recent"), files.alias("files")).alias("filings")))
+    first = pages.where("n = 0").join(listed, "cik", "left").select("file_name", nested.alias("json"))
+    return first.unionByName(pages.where("n > 0").select("file_name", F.to_json("block").alias("json")))
+
+
+def filers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(ticker, cik)`: customers, and suppliers, who share the CIK of the customer of their number."""
+    names = [("C", "o_custkey", table(spark, sf_dir, "orders")), ("S", "s_suppkey", table(spark, sf_dir, "supplier"))]
+    customers, suppliers = (
+        rows.select(F.concat(F.lit(letter), key).alias("ticker"), F.format_string("%010d", key).alias("cik")).distinct()
+        for letter, key, rows in names
+    )
+    return customers.unionByName(suppliers)
+
+
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as stored messages, timed by the event of the same number.
 

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations events orders".split()
+TABLES = "documents embeddings pages benchmark labels conversations events orders supplier".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -51,3 +51,8 @@ def test_scans_read_only_what_is_needed(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     history = contract.queries()["turn_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)" in history
+
+
+def test_typed_parts_of_a_metadata_filter_reach_the_scan(spark):
+    plan = contract.queries()["search_by_nested_metadata"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "In(lang, [de,en])" in plan or "In(lang, [en,de])" in plan
