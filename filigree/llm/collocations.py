@@ -14,7 +14,7 @@ Phrases travel in rows of arrays, all of one chunk and one range of keys in a ro
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -46,8 +46,8 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 NEVER = np.int16((1 << 15) - 1)
 #: Counters are dealt to buckets by ranges of their keys: one for so many words of the
 #: corpus, and so many at least.
-BUCKET_WORDS = 4_000_000
-LEAST_BUCKETS = 16
+BUCKET_WORDS = 2_000_000
+LEAST_BUCKETS = 32
 #: A row of phrases: one little-endian array per column, compressed where that helps (keys
 #: are random bits). `kind` 0 holds counters, which say
 #: for each phrase the chunk `at` which it was seen; 1 the phrases of one chunk.
@@ -176,8 +176,9 @@ def grams_of(table: pa.Table) -> list[tuple[int, int, Grams]]:
     ]
 
 
-def table_of(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, ROW_SCHEMA)
+def table_of(rows: Iterable[dict]) -> pa.Table:
+    """A table of rows that are made one by one, so that none is held twice."""
+    return pa.concat_tables([ROW_SCHEMA.empty_table(), *(pa.Table.from_pylist([row], ROW_SCHEMA) for row in rows)])
 
 
 class _Body:
@@ -227,7 +228,7 @@ def _words(buckets: int):
             for body in _Body.all_of(batch):
                 n = np.bincount(body.ids, minlength=len(body.words))[1:]
                 found = body.rows([np.arange(1, len(n) + 1)], n, np.zeros(len(n), np.int16), buckets)
-                yield from table_of(list(found)).to_batches()
+                yield from table_of(found).to_batches()
 
     return run
 
@@ -246,16 +247,17 @@ def _pairs(buckets: int):
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         codes, steps = _known(answers)
-        found = []
-        for body in _Body.all_of(chunks):
+
+        def found(body: _Body) -> Iterator[dict]:
             reached = np.full(len(body.words), NEVER)
             reached[codes >> 32] = steps
             left, right = body.ids[:-1], body.ids[1:]
             live = (reached[left] < NEVER) & (reached[right] < NEVER)
             code, n = np.unique((left[live].astype(np.int64) << 32) | right[live], return_counts=True)
             left, right = code >> 32, code & 0xFFFFFFFF
-            found += body.rows([left, right], n, np.maximum(reached[left], reached[right]) + 1, buckets)
-        return table_of(found)
+            yield from body.rows([left, right], n, np.maximum(reached[left], reached[right]) + 1, buckets)
+
+        return table_of(row for body in _Body.all_of(chunks) for row in found(body))
 
     return run
 
@@ -265,8 +267,8 @@ def _triples(buckets: int):
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         codes, reached = _known(answers)
-        found = []
-        for body in _Body.all_of(chunks) if len(codes) else ():
+
+        def found(body: _Body) -> Iterator[dict]:
             every = (body.ids[:-1].astype(np.int64) << 32) | body.ids[1:]
             place = np.minimum(np.searchsorted(codes, every), len(codes) - 1)
             live = codes[place] == every
@@ -274,8 +276,9 @@ def _triples(buckets: int):
             pair, n = np.unique((place[:-1][both] << 32) | place[1:][both], return_counts=True)
             left, right = pair >> 32, pair & 0xFFFFFFFF
             numbers = [codes[left] >> 32, codes[left] & 0xFFFFFFFF, codes[right] & 0xFFFFFFFF]
-            found += body.rows(numbers, n, np.maximum(reached[left], reached[right]) + 1, buckets)
-        return table_of(found)
+            yield from body.rows(numbers, n, np.maximum(reached[left], reached[right]) + 1, buckets)
+
+        return table_of(row for body in _Body.all_of(chunks) if len(codes) for row in found(body))
 
     return run
 
