@@ -114,7 +114,9 @@ def update_tables(
     made = derive(new.select(*columns)).withColumn("generation", F.lit(generation))
     rows = Observation("derived")
     made = made.observe(rows, F.count(F.lit(1)).alias("derived"))
-    _replace(f"{path}/{derived}", read_if_present(spark, f"{path}/{derived}", made.schema), gone, made, id_col, partition, touched)
+    # documents are written last, so where there are some there are derived rows as well
+    made_before = read_if_present(spark, f"{path}/{derived}", made.schema) if generation > 1 else spark.createDataFrame([], made.schema)
+    _replace(f"{path}/{derived}", made_before, gone, made, id_col, partition, touched)
     counts |= _metrics(rows, lambda: {"derived": 0})
     _replace(f"{path}/{documents}", before, gone, new, id_col, partition, touched)
     return counts
