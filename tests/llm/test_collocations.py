@@ -82,10 +82,11 @@ def test_each_phrase_is_counted_through_one_full_cycle(spark):
 def test_products_beyond_64_bits(spark):
     rows = [(None, "aa bb " * 30_000)] * 120
     [found] = [r for r in collocations(table(spark, rows), shards=1).collect() if r.phrase == "bb aa bb"] or [None]
-    n, f = counted(rows[:1])
-    a, left, right = (120 * f["und", g] for g in (("bb", "aa", "bb"), ("bb", "aa"), ("bb",)))
+    _, f = counted(rows[:1])
+    a, front, back, end = (120 * f["und", g] for g in (("bb", "aa", "bb"), ("bb", "aa"), ("aa", "bb"), ("bb",)))
     assert 1_000_000 * a * a > 2**63
-    assert found is not None and found.score == 1_000_000 * a * a // (left * right)
+    assert found is not None and (found.l, found.r) == (end, back)
+    assert found.score == 1_000_000 * a * a // (end * back) < 1_000_000 * a * a // (front * end)
 
 
 def test_awkward_documents(spark):
