@@ -47,49 +47,54 @@ class TurnAssembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getListState("parts", "seq int, part_type string, payload string")
-        self.turn = handle.getValueState("turn", "ended boolean, n long, last int, timer long")
+        self.turn = handle.getValueState("turn", "ended boolean, n long, last int, until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (message,) = key
-        ended, n, last, timer = self.turn.get() if self.turn.exists() else (False, 0, None, None)
+        before = self.turn.get()
+        ended, n, last, _ = before or (False, 0, None, 0)
         if ended:
             return
         frames = [frame[["seq", "part_type", "payload"]] for frame in rows]
         new = [tuple(r) for frame in frames for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False)]
-        n += len(new)
         finish = next((seq for seq, kind, _ in new if kind == FINISH), None)
         last = last if finish is None else int(finish)
         error = next((payload or "" for _, kind, payload in new if kind == ERROR), None)
         now = timerValues.getCurrentProcessingTimeInMs()
+        if before is None:
+            self.handle.registerTimer(now + self.idle)
+        held, n = n, n + len(new)
         if error is not None:
-            yield self._end(message, FAILED, [], error, now, timer)
+            yield self._end(message, FAILED, [], error, now, held)
             return
         if last is not None and n > last:
-            whole = {int(seq): (kind, payload) for seq, kind, payload in [*self.parts.get(), *new] if int(seq) <= last}
+            earlier = self.parts.get() if held else ()
+            whole = {int(seq): (kind, payload) for seq, kind, payload in [*earlier, *new] if int(seq) <= last}
             if len(whole) == last + 1:
-                yield self._end(message, COMPLETE, [whole[i] for i in range(last + 1)], None, now, timer)
+                yield self._end(message, COMPLETE, [whole[i] for i in range(last + 1)], None, now, held)
                 return
         self.parts.appendList([(int(seq), kind, payload) for seq, kind, payload in new])
-        self._mark(False, n, last, now + self.idle, timer)
+        self.turn.update((False, n, last, now + self.idle))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A message has one timer; it is set again if more parts, or the end, came meanwhile."""
         (message,) = key
-        if not self.turn.exists():
+        turn, now = self.turn.get(), timerValues.getCurrentProcessingTimeInMs()
+        if turn is None:
             return
-        if self.turn.get()[0]:
+        ended, n, _, until = turn
+        if now < until:
+            self.handle.registerTimer(until)
+        elif ended:
             self.turn.clear()
         else:
-            yield self._end(message, EXPIRED, [], None, timerValues.getCurrentProcessingTimeInMs(), None)
+            self.handle.registerTimer(now + self.keep)
+            yield self._end(message, EXPIRED, [], None, now, n)
 
-    def _mark(self, ended: bool, n: int, last: int | None, timer: int, before: int | None) -> None:
-        if before is not None and before != timer:
-            self.handle.deleteTimer(before)
-        self.handle.registerTimer(timer)
-        self.turn.update((ended, n, last, timer))
-
-    def _end(self, message, status, parts, error, now, timer) -> pd.DataFrame:
-        self.parts.clear()
-        self._mark(True, 0, None, now + self.keep, timer)
+    def _end(self, message, status, parts, error, now, held) -> pd.DataFrame:
+        if held:
+            self.parts.clear()
+        self.turn.update((True, 0, None, now + self.keep))
         said = [payload or "" for kind, payload in parts if kind == TEXT]
         return pd.DataFrame(
             {
