@@ -5,8 +5,8 @@ A word holds a selector in its top four bits and 60 bits of payload: `COUNTS[s]`
 escape: the next word is one raw value, so any unsigned 64-bit id can be stored. A segment
 is the blob of some consecutive documents:
 
-    header   magic "S8B1", documents d, ids n, words w, ids per block    (u4 + 4 x u8)
-    doc_ids  d x i8;  lengths d x u8
+    header   magic "S8B2", documents d, ids n, words w, ids per block, unnamed    (u4 + 5 x u8)
+    doc_ids  d x i8;  lengths d x u8        (the first `unnamed` have no doc_id, shown as 0)
     blocks   one u8 per block of `BLOCK_IDS` ids: the index of its first word
     words    w x u8
 
@@ -33,39 +33,41 @@ ESCAPE = 15
 BLOCK_IDS = 4096
 #: A segment ends with the document that takes it to this many ids.
 SEGMENT_IDS = 1_000_000
-HEADER = np.dtype([("magic", "S4"), ("docs", "<u8"), ("ids", "<u8"), ("words", "<u8"), ("block", "<u8")])
+HEADER = np.dtype([("magic", "S4"), ("docs", "<u8"), ("ids", "<u8"), ("words", "<u8"), ("block", "<u8"), ("unnamed", "<u8")])
 SEGMENT_FIELDS = "shard int, segment int, first_doc_id long, n_ids long, blob binary"
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the values, and for each block of `BLOCK_IDS` values its first word.
 
-    A value takes part in the fullest word that the values after it allow; both passes over
-    the selectors are vectorised, and only the step from word to word is a loop.
+    A value takes part in the fullest word that the values after it allow. A word of `count`
+    values fits where as many values in a row are narrow enough, so each selector costs as
+    much as there are such values; all blocks step from word to word together.
     """
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    bits = np.zeros(n, np.int8)
-    for width in sorted(set(WIDTHS.tolist()), reverse=True):
-        bits[values < (np.uint64(1) << np.uint64(width))] = width
-    bits[bits == 0] = 64
-    block_end = np.minimum((np.arange(n) // BLOCK_IDS + 1) * BLOCK_IDS, n)
-    room = block_end - np.arange(n)
+    bits = np.frexp(values.astype(np.float64))[1].astype(np.int8)  # at most one too many, beyond 53 bits
     best = np.full(n, ESCAPE, np.int8)
-    position = np.arange(n + 1)
+    narrow = np.arange(n)
     for selector in range(len(COUNTS) - 1, -1, -1):
-        wide = bits > WIDTHS[selector]
-        stop = np.minimum.accumulate(np.where(np.append(wide, True), position, n)[::-1])[::-1][:-1]
-        fits = (stop - position[:-1] >= COUNTS[selector]) & (room >= COUNTS[selector])
-        best[fits] = selector
-    step = np.append(COUNTS, [0, 1])[best].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+        count = int(COUNTS[selector])
+        narrow = narrow[bits[narrow] <= WIDTHS[selector]]
+        if len(narrow) < count:
+            break
+        first, last = narrow[: len(narrow) - count + 1], narrow[count - 1 :]
+        in_one_block = first // BLOCK_IDS == last // BLOCK_IDS
+        best[first[(last - first == count - 1) & in_one_block]] = selector
+    step = np.append(COUNTS, [0, 1])[best]
+    begins = np.zeros(n, bool)
+    at = np.arange(0, n, BLOCK_IDS)
+    stop = np.minimum(at + BLOCK_IDS, n)
+    while len(at):  # one word of every block at a time
+        begins[at] = True
+        at = at + step[at]
+        at, stop = at[at < stop], stop[at < stop]
+    starts = np.flatnonzero(begins)
     chosen = best[starts].astype(np.int64)
     place = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(chosen == ESCAPE)[:-1]])
     words = np.zeros(int(place[-1]) + 1 + int(chosen[-1] == ESCAPE), np.uint64)
@@ -105,21 +107,24 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 def segment(doc_ids: list, ids: list[bytes]) -> bytes:
-    """The blob of consecutive documents; ids as little-endian unsigned 32-bit integers."""
+    """The blob of consecutive documents; ids as little-endian unsigned 32-bit integers.
+
+    Documents without doc_id (None) come first.
+    """
     values = np.frombuffer(b"".join(ids), "<u4")
     words, blocks = pack(values)
-    header = np.array([(b"S8B1", len(doc_ids), len(values), len(words), BLOCK_IDS)], HEADER)
+    header = np.array([(b"S8B2", len(doc_ids), len(values), len(words), BLOCK_IDS, doc_ids.count(None))], HEADER)
     lengths = np.array([len(x) // 4 for x in ids], "<u8")
     return b"".join(
-        x.tobytes() for x in (header, np.array(doc_ids, "<i8"), lengths, blocks.astype("<u8"), words.astype("<u8"))
+        x.tobytes() for x in (header, np.array([x or 0 for x in doc_ids], "<i8"), lengths, blocks.astype("<u8"), words.astype("<u8"))
     )
 
 
-def documents_of(blob: bytes) -> Iterator[tuple[int, np.ndarray]]:
+def documents_of(blob: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each document of a segment, in order; decoded block by block."""
     header = np.frombuffer(blob, HEADER, 1)[0]
     docs, n, n_words, per_block = (int(header[k]) for k in ("docs", "ids", "words", "block"))
-    if header["magic"] != b"S8B1":
+    if header["magic"] != b"S8B2":
         raise ValueError("not a segment of token ids")
     tail = np.frombuffer(blob, "<u8", offset=HEADER.itemsize)
     doc_ids, lengths = tail[:docs].view("<i8"), tail[docs : 2 * docs].astype(np.int64)
@@ -128,7 +133,8 @@ def documents_of(blob: bytes) -> Iterator[tuple[int, np.ndarray]]:
     words = tail[2 * docs + n_blocks :]
     held = np.zeros(0, np.uint64)
     block = 0
-    for doc_id, length in zip(doc_ids.tolist(), lengths.tolist()):
+    named = [None] * int(header["unnamed"]) + doc_ids[int(header["unnamed"]) :].tolist()
+    for doc_id, length in zip(named, lengths.tolist()):
         if len(held) < length:
             upto = min(n_blocks, block + max(256, -(-(length - len(held)) // per_block)))
             held = np.concatenate([held, unpack(words[blocks[block] : blocks[upto]])])
@@ -140,10 +146,10 @@ def documents_of(blob: bytes) -> Iterator[tuple[int, np.ndarray]]:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Encode every whole text, append `end_id`, and write segments in ascending doc_id order.
 
-    Rows are ranged by doc_id first, so each task encodes and writes a run of the order on
+    Rows are ranged by doc_id (and a hash of the text, should many rows share one) first, so each task encodes and writes a run of the order on
     its own, and a lost task is simply run again. A null text is empty; equal doc_ids stay
-    neighbours, ordered by a hash of the text. Rows without doc_id have no place in the
-    order and are not written. An empty table writes no segment.
+    neighbours, ordered by a hash of the text, and rows without doc_id come first, in that
+    order too. An empty table writes no segment.
     """
 
     def encode(batches):
@@ -170,8 +176,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
     ranged = (
         texts(docs)
-        .where("doc_id IS NOT NULL")
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .withColumn("shard", F.spark_partition_id())
     )

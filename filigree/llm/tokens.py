@@ -1,8 +1,9 @@
 """Token ids of whole texts, with the ids of frequent words kept per Python worker.
 
 A text is cut at single spaces, where both kinds of tokenizer always begin a new piece, so
-the ids of the text are the ids of its chunks in turn. Texts in which a cut could matter
-(runs of white space beside a cut) are encoded whole.
+the ids of the text are the ids of its chunks in turn. A single line end between two words
+is a piece of its own, so such a chunk is the two words and that piece. Texts in which a cut
+could matter (runs of white space beside a cut) are encoded whole.
 """
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ from tokenizers import Tokenizer
 
 #: Chunks kept per worker; further ones are encoded each time they come.
 KEPT_CHUNKS = 600_000
+#: White space that a line end could join in one piece.
+SPACES = re.compile(r"\s\s")
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*&$#|]*)")
 
 
@@ -29,7 +32,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(chunk)
-        if len(self) < KEPT_CHUNKS:
+        if len(self) < KEPT_CHUNKS and "\n" not in chunk:
             self[chunk] = ids
         return ids
 
@@ -48,6 +51,7 @@ class TextEncoder:
         self.mapped: dict[int, str] = {}
         self.first, self.rest = _Chunks(self._plain_chunk), _Chunks(self._spaced_chunk)
         self.marks = _Chunks(lambda marks: _bytes(self._piece(marks)))
+        self.line_end = self._whole("\n")
         if not self.spaced:
             self.first = self.rest = _Chunks(self._plain_chunk)
 
@@ -74,6 +78,8 @@ class TextEncoder:
         return self._chunk("", chunk)
 
     def _spaced_chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # the common case of `_chunk`, without its tests
+            return _bytes([t.id for t in self.model.tokenize("\u0120" + chunk)])
         return self._chunk(" ", chunk)
 
     def _chunk(self, before: str, chunk: str) -> bytes:
@@ -87,6 +93,10 @@ class TextEncoder:
             return _bytes(self._piece(before + word))
         if self.spaced and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
             raise _Cut
+        if self.spaced and "\n" in chunk and not SPACES.search(chunk):
+            start, *others = chunk.split("\n")
+            parts = [(self.rest if before else self.first)[start], *map(self.first.__getitem__, others)]
+            return self.line_end.join(parts)
         return self._whole(before + chunk)
 
     def encode(self, text: str) -> bytes:

@@ -6,6 +6,7 @@ import pytest
 from cases import TEXTS, awkward, empty, told
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from filigree.llm.packing import best_fit, pack_documents, plan
@@ -32,11 +33,19 @@ def test_blocks_start_where_they_say():
 
 def test_segment_round_trip():
     ids = [np.arange(n, dtype="<u4") * 7 % 50_257 for n in (0, 1, 5000, 0, 20_000)]
-    back = list(documents_of(segment(list(range(5)), [x.tobytes() for x in ids])))
-    assert [k for k, _ in back] == list(range(5))
+    keys = [None, None, -3, 0, 7]
+    back = list(documents_of(segment(keys, [x.tobytes() for x in ids])))
+    assert [k for k, _ in back] == keys
     assert all(a.tolist() == b.tolist() for a, (_, b) in zip(ids, back))
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("text", ["a\nb c.\nDé\n1 x", "a\n\nb c", "a \nb", "a\t\nb\n", "\na b\n", "a.\n's b\r\nc\u2028\nd"])
+def test_line_ends_between_words(path, text):
+    whole = encoder(path).tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(path).encode(text), "<u4").tolist() == whole
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,aAéÉsßİΣ1% ́<|>"), st.characters(codec="utf-8")), max_size=40))
@@ -48,7 +57,9 @@ def test_chunks_encode_like_whole_texts(path, text):
 
 def test_token_files_of_awkward_documents(spark):
     tokenizer, at, expected = Tokenizer.from_file(BYTES), 0, []
-    for doc_id, text in sorted((x for x in TEXTS if x[0] is not None), key=lambda x: x[0]):
+    unnamed = awkward(spark).where("doc_id IS NULL").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = sorted((x for x in TEXTS if x[0] is not None), key=lambda x: x[0])
+    for doc_id, text in [(None, x["text"]) for x in unnamed.collect()] + named:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
         expected.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
