@@ -1,11 +1,11 @@
 """Packing documents into sequences of fixed capacity by fitted length patterns.
 
 The histogram of piece lengths (at most `capacity` numbers, whatever the corpus) is all
-that the driver sees. Patterns of up to three lengths that fill a sequence exactly are
-fitted to it by non-negative least squares; their rounded repeat counts are taken unless
-they cost a sequence, and what is left is placed best-fit by counts, so the plan stays a few
-thousand patterns. Pieces
-then find their place by their rank among the pieces of their length.
+that the driver sees. Patterns of up to three lengths that fill a sequence exactly (then of
+four, then nearly full ones) are fitted to it by non-negative least squares, over and over on what is left, and
+the repeat counts of the most used ones are rounded down and taken. What no pattern holds is
+placed best-fit by counts. Pieces then find their place by their rank among the pieces of
+their length.
 """
 from __future__ import annotations
 
@@ -22,10 +22,14 @@ from filigree.llm.common import rows, texts, written
 from filigree.llm.tokens import encoder
 
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rounds of the multiplicative least-squares update.
-FIT_ROUNDS = 60
-#: Fits of the pieces left at most, and blocks that a fit's counts are halved into at most.
-REFITS, BLOCKS = 4, 64
+#: Rounds of the multiplicative least-squares update: to choose patterns, and for their counts.
+CHOICE_ROUNDS, FIT_ROUNDS = 10, 60
+#: Patterns that a fit keeps for its counts, which bounds the plan; fits at most.
+KEPT_PATTERNS, FITS = 8_192, 16
+#: Ids that a nearly full sequence may lack.
+SLACK = 8
+#: Shares of the fitted sequences among which the one with the fewest sequences in all is taken.
+SHARES = (1.0, 0.99, 0.98, 0.96, 0.94, 0.92, 0.9, 0.87, 0.84, 0.8, 0.7, 0.6, 0.5, 0.25)
 #: Salt buckets per length at least; more as pieces grow, at about this many pieces each.
 SALTS, PIECES_PER_SALT = 64, 2_000_000
 
@@ -55,20 +59,41 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     return texts(docs).mapInArrow(cut, PIECE_FIELDS)
 
 
-def exact_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows (a, b, c), a >= b >= c, of present lengths that sum to the capacity; 0 is no document."""
-    present = np.zeros(capacity + 1, bool)
-    present[lengths] = True
-    present[0] = True
-    a, b = np.meshgrid(np.flatnonzero(present), np.flatnonzero(present), indexing="ij")
-    c = capacity - a - b
-    ok = (a >= b) & (b >= c) & (c >= 0)
-    a, b, c = a[ok], b[ok], c[ok]
-    ok = present[c]
-    return np.stack([a[ok], b[ok], c[ok]], axis=1)
+def patterns_of(left: np.ndarray, capacity: int, most: int, slack: int, turn: int) -> np.ndarray:
+    """Rows (a, b, c, d), a >= b >= c >= d, of present lengths that fill a sequence; 0 is no document.
 
-
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    All that fill it exactly with up to three lengths, and, if `most` is four, for each (a, b)
+    one with two more: of the pairs that fill the rest, the one in place `turn` by its number of pieces, so
+    every fit sees others. With `slack`, the longest c that leaves at most so many ids free.
+    """
+    lengths = np.flatnonzero(left)
+    longest = np.zeros(capacity + 1, np.int64)  # present length that is next below; 0 is none
+    longest[lengths] = lengths
+    longest = np.maximum.accumulate(longest)
+    a, b = np.meshgrid(np.append(0, lengths), np.append(0, lengths), indexing="ij")
+    ok = (a >= b) & (a + b <= capacity) & (a > 0)
+    a, b = a[ok], b[ok]
+    space = capacity - a - b
+    c = longest[space]
+    ok = (c <= b) & (space - c <= slack)
+    triples = np.stack([a[ok], b[ok], c[ok], np.zeros(ok.sum(), np.int64)], axis=1)
+
+    third = np.zeros(capacity + 1, np.int64)  # for each space, the longer length of the pair chosen
+    for whole in range(2, capacity + 1) if most == 4 and len(lengths) else ():
+        upper = lengths[(2 * lengths >= whole) & (lengths < whole)]
+        upper = upper[left[whole - upper] > 0]
+        if len(upper):
+            order = np.argsort(-np.minimum(left[upper], left[whole - upper]), kind="stable")
+            third[whole] = upper[order[turn % len(upper)]]
+    c = third[space]
+    ok = (c > 0) & (c <= b)
+    quads = np.stack([a[ok], b[ok], c[ok], (space - c)[ok]], axis=1)
+    found = np.concatenate([triples, quads])
+    times = (found[:, :, None] == found[:, None, :]).sum(axis=2)
+    return found[((found == 0) | (times <= left[found])).all(axis=1)]
+
+
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
     """Non-negative x that lessens |A x - histogram|, A the lengths of each pattern.
 
     Multiplicative updates (A and the histogram are not negative), so x stays so too.
@@ -76,10 +101,11 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     target = histogram.astype(float)
     target[0] = 0.0
     weight = (patterns > 0).astype(float)
-    x = np.full(len(patterns), max(1.0, target.sum()) / (3 * max(1, len(patterns))))
+    width = patterns.shape[1]
+    x = np.full(len(patterns), max(1.0, target.sum()) / (width * max(1, len(patterns))))
     up = (target[patterns] * weight).sum(axis=1)
-    for _ in range(FIT_ROUNDS):
-        made = sum(np.bincount(patterns[:, i], x, len(target)) for i in range(3))
+    for _ in range(rounds):
+        made = sum(np.bincount(patterns[:, i], x, len(target)) for i in range(width))
         made[0] = 0.0
         x *= up / np.maximum((made[patterns] * weight).sum(axis=1), 1e-12)
     return x
@@ -122,59 +148,64 @@ def best_fit(histogram: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def repeats_of(patterns: np.ndarray, x: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and rounded repeat counts, most used first."""
-    order = np.argsort(-x, kind="stable")
-    order = order[x[order] + 0.5 >= 1]
-    return [(tuple(v for v in patterns[i].tolist() if v), int(x[i] + 0.5)) for i in order.tolist()]
+def rounded(patterns: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """The most used patterns of a fit and their repeat counts, rounded down but to 1 at least.
 
-
-def take(wanted: list[tuple[tuple[int, ...], int]], histogram: np.ndarray) -> tuple[Counter, np.ndarray]:
-    """As many of the wanted repeats as there are pieces for, and the pieces left."""
-    left, taken = histogram.copy(), Counter()
-    for pattern, repeats in wanted:
-        repeats = min(repeats, *(int(left[v]) // k for v, k in Counter(pattern).items()))
+    Together they make about half of the sequences fitted; so the next fit corrects what
+    rounding changed. Repeats are held to the pieces left, which are taken out of `left`.
+    """
+    if len(patterns) > KEPT_PATTERNS:
+        x = fit_counts(patterns, left, CHOICE_ROUNDS)
+        patterns = patterns[np.sort(np.argpartition(-x, KEPT_PATTERNS)[:KEPT_PATTERNS])]
+    x = fit_counts(patterns, left)
+    most, made, taken = max(1.0, x.sum() / 2), 0, []
+    for i in np.argsort(-x, kind="stable").tolist():
+        pattern = tuple(v for v in patterns[i].tolist() if v)
+        repeats = min(max(1, int(x[i])), *(int(left[v]) // k for v, k in Counter(pattern).items()))
         if repeats > 0:
-            taken[pattern] += repeats
+            taken.append((pattern, repeats))
             np.subtract.at(left, list(pattern), repeats)
-    return taken, left
+            made += repeats
+            if made >= most:
+                break
+    return taken
+
+
+def fitted_sequences(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and repeats in the order in which they were fitted: of three lengths, four, nearly full."""
+    left, taken = histogram.copy(), []
+    for most, slack in ((3, 0), (4, 0), (4, SLACK)):
+        for turn in range(FITS):
+            patterns = patterns_of(left, capacity, most, slack, turn)
+            if not len(patterns):
+                break
+            taken += rounded(patterns, left)
+    return taken
 
 
 def plan(histogram: np.ndarray, capacity: int) -> Counter:
     """Patterns and repeat counts that hold exactly the pieces of the histogram.
 
-    Fitted patterns, and best-fit for the pieces that they leave. Blocks of repeat counts
-    are taken most used first; one that would need more sequences than its pieces placed
-    best-fit is halved, down to single patterns and repeats. The pieces left are fitted
-    again while that takes any and the sequences are above the bound.
+    Fitted patterns, and best-fit for the pieces that they leave. Where the pieces left pack
+    badly, the last fitted ones are given up for them: of `SHARES` of the fitted sequences,
+    the one that needs the fewest in all is taken, the largest of equal ones.
     """
     bound = -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
-    fitted, left = Counter(), histogram.copy()
-    rest = best_fit(left, capacity)
-    total = sum(rest.values())
-    for _ in range(REFITS):
-        lengths = np.flatnonzero(left)
-        patterns = exact_patterns(lengths[lengths > 0], capacity)
-        blocks = [repeats_of(patterns, fit_counts(patterns, left))] if len(patterns) else []
-        least, before = len(blocks[0]) // BLOCKS if blocks else 0, sum(fitted.values())
-        while blocks:
-            block = blocks.pop()
-            taken, after = take(block, left)
-            if not taken:
-                continue
-            filled = best_fit(after, capacity)
-            needs = sum(fitted.values()) + sum(taken.values()) + sum(filled.values())
-            if needs <= total:
-                fitted.update(taken)
-                left, rest, total = after, filled, needs
-            elif len(block) > max(1, least):
-                half = len(block) // 2
-                blocks += [block[half:], block[:half]]
-            elif max(r for _, r in block) > 1:
-                blocks.append([(p, r // 2) for p, r in block if r > 1])
-        if total == bound or sum(fitted.values()) == before:
+    taken = fitted_sequences(histogram, capacity)
+    made = np.cumsum([repeats for _, repeats in taken])
+    best = best_fit(histogram, capacity)
+    least = sum(best.values()) + 1
+    for share in SHARES if taken else ():
+        left, fitted = histogram.copy(), Counter()
+        for pattern, repeats in taken[: int(np.searchsorted(made, share * made[-1])) + 1]:
+            fitted[pattern] += repeats
+            np.subtract.at(left, list(pattern), repeats)
+        fitted.update(best_fit(left, capacity))
+        if sum(fitted.values()) < least:
+            best, least = fitted, sum(fitted.values())
+        if least == bound:
             break
-    return fitted + rest
+    return best
 
 
 def slots(counts: Counter) -> dict[int, tuple[np.ndarray, ...]]:

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from filigree.llm.packing import best_fit, pack_documents, plan
+from filigree.llm.packing import best_fit, fitted_sequences, pack_documents, patterns_of, plan, token_pieces
 from filigree.llm.simple8b import BLOCK_IDS, documents_of, pack, segment, token_file_digest, unpack
 from filigree.llm.tokens import encoder
 
@@ -127,3 +128,26 @@ def test_fitted_patterns_win_ties():
     assert sum(patterns.values()) == bound
     made = {p for p in patterns if len(p) <= 3 and sum(p) == 128}
     assert sum(patterns[p] for p in made) > sum(n for p, n in best_fit(histogram, 128).items() if len(p) <= 3 and sum(p) == 128)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_fitted_patterns_make_most_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = token_pieces(docs, WORDS, 0, 2048).toPandas()
+    histogram = np.bincount(pieces["length"], minlength=2049)
+    made = sum(plan(histogram, 2048).values())
+    fitted = sum(n for pattern, n in fitted_sequences(histogram, 2048) if len(pattern) > 1)
+    assert made <= min(sum(best_fit(histogram, 2048).values()), 1.01 * (pieces["length"].sum() / 2048) + 1)
+    assert fitted > 0.8 * (made - histogram[2048])
+    assert plan(histogram, 2048) == plan(histogram, 2048)
+
+
+def test_patterns_use_only_pieces_that_are_there():
+    histogram = np.zeros(65, np.int64)
+    histogram[[16, 20, 24, 32]] = [3, 1, 1, 2]
+    full = {tuple(x) for x in patterns_of(histogram, 64, 3, 0, 0).tolist()}
+    assert full == {(32, 32, 0, 0), (32, 16, 16, 0)}  # (24, 20, 20) needs two pieces of 20
+    near = {tuple(x) for x in patterns_of(histogram, 64, 3, 8, 0).tolist()}
+    assert near == full | {(32, 24, 0, 0)}
+    histogram[16] = 4
+    assert (16, 16, 16, 16) in {tuple(x) for x in patterns_of(histogram, 64, 4, 0, 0).tolist()}
