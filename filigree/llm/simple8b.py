@@ -146,9 +146,10 @@ def documents_of(blob: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Encode every whole text, append `end_id`, and write segments in ascending doc_id order.
 
-    Rows are ranged by doc_id (and a hash of the text, should many rows share one) first, so each task encodes and writes a run of the order on
-    its own, and a lost task is simply run again. A null text is empty; equal doc_ids stay
-    neighbours, ordered by a hash of the text, and rows without doc_id come first, in that
+    Rows are ranged by doc_id first (and by a hash of the text, as many rows may share one),
+    so each task encodes and writes a run of the order on its own, and a lost task is simply
+    run again. A null text is empty; equal doc_ids stay neighbours, ordered by a hash of the
+    text, and rows without doc_id come first, in that
     order too. An empty table writes no segment.
     """
 
