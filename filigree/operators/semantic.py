@@ -12,8 +12,8 @@ from filigree.operators.topk import (
     candidate_batch,
     candidate_schema,
     facet_slice,
+    facets_of,
     for_scoring,
-    offer_block,
     rank_candidates,
     typed_ids,
 )
@@ -65,7 +65,7 @@ def semantic_search(
         )
         return rank_candidates(scored, k, id_col, facet_col)
 
-    return in_query_slices(queries, one_slice, facet_slice(vectors, facet_col, slice_rows))
+    return in_query_slices(queries, one_slice, facet_slice(vectors, facet_col, slice_rows, k))
 
 
 def query_matrix(part: DataFrame, dim: int | None):
@@ -113,7 +113,7 @@ def _score_task(query_ids, queries, k, id_col, facet_col, metric):
                 continue
             for batch in blocks(whole, len(query_ids)):
                 stored = as_matrix(batch.column("embedding"), queries.shape[1])
-                offer_block(best, score_block(queries, stored, metric), batch, id_col, facet_col)
+                best.offer(score_block(queries, stored, metric).T, batch.column(id_col), facets_of(batch, facet_col))
         if schema is not None:
             yield candidate_batch(best, query_ids, schema, id_col, facet_col)
 

@@ -6,13 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.operators import topk
+from filigree.operators import lexical, topk
 from filigree.operators.bounded import lookup_join
 from filigree.operators.context import attach, surrounding_chunks
 from filigree.operators.fusion import reciprocal_rank_fusion
 from filigree.operators.lexical import lexical_search
 from filigree.operators.retrieval import evidence_status, hybrid_search, search_filings
 from filigree.operators.semantic import semantic_search, similarity
+from filigree.session import stored
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
@@ -199,3 +200,39 @@ def test_every_query_gets_its_hits(spark):
     found = search_filings(docs, vectors, queries, asked, ["lang"], 10).orderBy("query_id", "rank").collect()
     assert [r["rank"] for r in found] == [*range(1, 11)] * 2
     assert all(r["lang"] == "en" and r["excerpt"] for r in found)
+
+
+def test_terms_are_counted_once_for_all_slices(frames, corpus, monkeypatch):
+    calls = []
+    monkeypatch.setattr(lexical, "stored", lambda df, name: calls.append(name) or stored(df, name))
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 3)
+    assert rows(lexical_search(*frames, 5, slice_rows=4), *RANKED) == bm25(*corpus, 5)
+    assert calls == ["term-statistics"]
+
+
+@pytest.mark.parametrize("names", [False, True])
+def test_a_task_keeps_the_best_of_inexact_scores(names, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(topk, "SCORE_CELLS", 200)
+    rng = np.random.default_rng(3)
+    true = np.round(rng.integers(0, 40, (90, 12)) / 8.0, 6)
+    ids = pa.array([f"d{i}" for i in rng.permutation(90)] if names else rng.permutation(90))
+    facets = pa.array(["a", "b", None] * 30)
+    for column in (None, facets):
+        best = topk.TaskTopK(12, 4)
+        for at in range(0, 90, 30):
+            part = true[at : at + 30]
+            for first in (0, 5):
+                block = part[:, first : first + 5 if first == 0 else None]
+                near = block * (1 + rng.uniform(-1e-4, 1e-4, block.shape))
+                best.offer(near, ids[at : at + 30], None if column is None else column[at : at + 30], first, 0.0, lambda d, q, b=block: b[d, q], 1e-4)
+        values, facet, query, kept, score = best.drain()
+        told = {(values[f], q, i, s) for f, q, i, s in zip(facet, query, kept, score)}
+        wanted = set()
+        for value in {None} if column is None else set(column.to_pylist()):
+            own = [i for i in range(90) if column is None or column[i].as_py() == value]
+            for q in range(12):
+                ranked = sorted((-true[i, q], ids[i].as_py()) for i in own if true[i, q] > 0)[:4]
+                wanted |= {(value, q, i, -s) for s, i in ranked}
+        assert told == wanted
