@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filigree.operators.bounded import collect_bounded
-from filigree.session import stored
+from filigree.operators.bounded import broadcast_if_small, collect_bounded
+from filigree.session import CODEC, stored
 
 #: Partition values that one update may touch.
 MAX_PARTITIONS = 100_000
@@ -46,17 +46,25 @@ def _within(column: str, values: list) -> Column:
     return found | F.col(column).isNull() if None in values else found
 
 
-def _replace(path: str, before: DataFrame, gone: DataFrame, new: DataFrame, id_col: str, partition: str, touched: list) -> None:
-    """Rewrite the touched partitions of a table without the ids `gone` and with the rows `new`."""
-    kept = before.where(_within(partition, touched)).join(gone, id_col, "left_anti")
-    rows = stored(kept.unionByName(new), "replacement")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    full = {r[0] for r in collect_bounded(rows.select(partition).distinct(), MAX_PARTITIONS)}
-    nothing = before.sparkSession.createDataFrame([], T.StructType([f for f in before.schema if f.name != partition]))
-    for value in touched:
-        if value not in full:
-            folder = NULL_PARTITION if value is None else value
-            nothing.write.mode("overwrite").parquet(f"{path}/{partition}={folder}")
+def _replace(path: str, before: DataFrame, gone: DataFrame, new: DataFrame, id_col: str, partition: str, touched: list, generation: int) -> None:
+    """Rewrite the touched partitions of a table without the ids `gone` and with the rows `new`.
+
+    An overwrite of single partitions is staged and moved when whole, so it may read the
+    table it writes; nothing is written twice. It leaves partitions that have no rows any
+    more as they are: those still hold ids of `gone` of an earlier generation.
+    """
+    spark = before.sparkSession
+    kept = before.where(_within(partition, touched)).join(broadcast_if_small(gone), id_col, "left_anti") if generation > 1 else before
+    rows = kept.unionByName(new)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC).partitionBy(partition).parquet(path)
+    if generation == 1:
+        return
+    earlier = spark.read.schema(before.schema).parquet(path).where(_within(partition, touched) & (F.col("generation") < generation))
+    stale = collect_bounded(earlier.join(gone, id_col, "left_semi").select(partition).distinct(), MAX_PARTITIONS)
+    nothing = spark.createDataFrame([], T.StructType([f for f in before.schema if f.name != partition]))
+    for (value,) in stale:
+        folder = NULL_PARTITION if value is None else value
+        nothing.write.mode("overwrite").parquet(f"{path}/{partition}={folder}")
 
 
 def update_tables(
@@ -86,7 +94,9 @@ def update_tables(
     columns = arriving.columns
     fields = [*arriving.schema.fields, T.StructField("content_hash", T.StringType()), T.StructField("generation", T.IntegerType())]
     before = read_if_present(spark, f"{path}/{documents}", T.StructType(fields))
-    generation = (before.agg(F.max("generation")).first()[0] or 0) + 1
+    numbers = [t.select("generation") for t in (before, read_if_present(spark, f"{path}/{derived}", T.StructType(fields[-1:])))]
+    # one more than any row's, also those of an update that failed
+    generation = (reduce(DataFrame.unionByName, numbers).agg(F.max("generation")).first()[0] or 0) + 1
 
     hashed = arriving.where(F.col(id_col).isNotNull()).withColumn("content_hash", content_hash(columns))
     known = before.select(id_col, F.col("content_hash").alias("_before"), F.col(partition).alias("_partition"))
@@ -114,9 +124,8 @@ def update_tables(
     made = derive(new.select(*columns)).withColumn("generation", F.lit(generation))
     rows = Observation("derived")
     made = made.observe(rows, F.count(F.lit(1)).alias("derived"))
-    # documents are written last, so where there are some there are derived rows as well
     made_before = read_if_present(spark, f"{path}/{derived}", made.schema) if generation > 1 else spark.createDataFrame([], made.schema)
-    _replace(f"{path}/{derived}", made_before, gone, made, id_col, partition, touched)
+    _replace(f"{path}/{derived}", made_before, gone, made, id_col, partition, touched, generation)
     counts |= _metrics(rows, lambda: {"derived": 0})
-    _replace(f"{path}/{documents}", before, gone, new, id_col, partition, touched)
+    _replace(f"{path}/{documents}", before, gone, new, id_col, partition, touched, generation)
     return counts

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Of written tables: text takes a third less room than by Parquet's usual codec.
+CODEC = "zstd"
+
 
 def build_session(app: str = "filigree", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, skew handling)."""
@@ -49,5 +52,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     shared folder, so losing executors does not repeat the scan.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,14 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from filigree.functions.embedding import HashingEmbedder
+from filigree.operators import incremental
 from filigree.operators.incremental import update_tables
 from filigree.plans.ingest import store_corpus, update_corpus
 from filigree.schemas import SOURCE_DOCUMENTS
+from filigree.session import stored
 
 
 def derive(rows):
@@ -72,3 +75,23 @@ def test_an_update_embeds_only_the_changed_document(spark, tmp_path):
     chunks = spark.read.parquet(f"{path}/document_chunks")
     assert {(r.document_id, r.generation) for r in chunks.collect()} == {*((f"d{i}", 1) for i in (0, 1, 2, 4)), ("d3", 2), ("e", 3)}
     assert chunks.where("year = 2025").count() == 1 and chunks.where("size(embedding) = 8").count() == 6
+
+
+def test_rows_of_an_update_are_written_once(spark, tmp_path, monkeypatch):
+    """A touched partition is replaced in one write; one left empty, also by what a failed
+    update wrote, holds nothing afterwards."""
+    names = []
+    monkeypatch.setattr(incremental, "stored", lambda df, name: names.append(name) or stored(df, name))
+    path = str(tmp_path / "t")
+    arrive(spark, path, [(1, "a", "x y"), (2, "a", "z"), (3, "b", "w")])
+    _, words, _ = arrive(spark, path, [(1, "a", "v")])
+    assert names == ["changed"] * 2 and words == {(1, "a", "v", 2), (2, "a", "z", 1), (3, "b", "w", 1)}
+
+    replace = incremental._replace
+    monkeypatch.setattr(incremental, "_replace", lambda to, *a: replace(to, *a) if to.endswith("chunks") else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        arrive(spark, path, [(3, "b", "half done")])
+    monkeypatch.setattr(incremental, "_replace", replace)
+    _, words, docs = arrive(spark, path, [(3, "c", "moved"), (2, "a", "z")])
+    assert {w[:3] for w in words} == {(1, "a", "v"), (2, "a", "z"), (3, "c", "moved")}
+    assert docs == {(1, "a", "v"), (2, "a", "z"), (3, "c", "moved")}
