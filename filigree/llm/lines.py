@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from filigree.llm.common import fresh, written
 
 NEAR_WORDS = 8
+#: What is between words; what else is white space is part of a word.
+BLANKS = " \t\r\f\x0b"
 #: Size of the bit set that holds back lines without a shared half.
 BITS_PER_KEY, MOST_BITS = 32, 1 << 27
 
@@ -31,53 +33,61 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\f\x0b", "    "), " "), "")
+def normal(line: Column) -> Column:
+    """The lower-case words of a line, joined by one space; most lines are so already."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in ("  ", *BLANKS[1:]):
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.trim(F.regexp_replace(F.lower(line), f"[{BLANKS}]+", " "))).otherwise(F.lower(line))
 
 
-def hashes(words: Column) -> tuple[Column, Column]:
+def hashes(body: Column) -> tuple[Column, Column]:
     """128 bits that stand for the words of a line."""
-    return F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2")
+    return F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")
 
 
-def half_keys(words: Column) -> Column:
-    """Hashes of the first and last halves; of the next shorter line's halves too.
+def word_count(body: Column) -> Column:
+    return F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit(""))) + 1
+
+
+def half_keys(body: Column, n: Column) -> Column:
+    """Hashes of the first and last halves of a line of n words; of the next shorter line's halves too.
 
     With m = n // 2, near lines of n words share their first or last m words, and a near
-    line of one word less shares halves of its own m.
+    line of one word less shares halves of its own m. Halves are parts of the line's text,
+    between whose words is one space, so no word is cut out.
     """
-    n = F.size(words)
-    half, shorter = (n / F.lit(2)).cast("int"), ((n - 1) / F.lit(2)).cast("int")
+    half = F.shiftright(n, 1)
 
     def keys(m: Column) -> list[Column]:
         return [
-            F.xxhash64(F.lit(0), F.slice(words, F.lit(1), m)),
-            F.xxhash64(F.lit(1), F.slice(words, n - m + 1, m)),
+            F.xxhash64(F.lit(0), F.call_function("substring_index", body, F.lit(" "), m)),
+            F.xxhash64(F.lit(1), F.call_function("substring_index", body, F.lit(" "), -m)),
         ]
 
-    return F.when(n < NEAR_WORDS, F.array().cast("array<bigint>")).otherwise(
-        F.array_distinct(F.array(*keys(half), *keys(shorter)))
-    )
-
+    none = F.array().cast("array<bigint>")
+    odd, even = F.array(*keys(half)), F.array(*keys(half), *keys(half - 1))
+    return F.when(n < NEAR_WORDS, none).when(n % 2 == 1, odd).otherwise(even)
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line and words of every line that isn't blank.
 
-    The words are made before the lines become rows, so that no filter on them, moved down
-    by the optimizer, cuts a line again.
-    """
-    worded = F.transform(lines_of(F.col("text")), line_words)
-    split = docs.select(
+def placed(docs: DataFrame, lines: Column, name: str) -> DataFrame:
+    """doc_id, text_hash and line of every one of the `lines`, which are under `name`."""
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
-        F.posexplode(worded).alias("line", "words"),
+        F.posexplode(lines).alias("line", name),
     )
-    return split.where(F.size("words") > 0)
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """h1, h2, first (doc_id, text_hash, line) and halves of every different line that isn't blank."""
-    keyed = split_lines(docs).select("doc_id", "text_hash", "line", *hashes(F.col("words")), half_keys(F.col("words")).alias("halves"))
+    """h1, h2, first (doc_id, text_hash, line) and halves of every different line that isn't blank.
+
+    Lines are made normal before they become rows, so that no filter on them, moved down
+    by the optimizer, does it again.
+    """
+    bodies = placed(docs, F.transform(lines_of(F.col("text")), normal), "body").where("body <> ''")
+    counted = bodies.withColumn("n", word_count(F.col("body")))
+    keyed = counted.select("doc_id", "text_hash", "line", *hashes(F.col("body")), half_keys(F.col("body"), F.col("n")).alias("halves"))
     return keyed.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.max("halves").alias("halves")
     )
@@ -129,16 +139,18 @@ def variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     Rows: first (the place of the line), n (words left), gap (the word left out, -1 for the
     whole line) and the hash of what is left (v1, v2). The texts are read again for the
-    words of these lines. Hashes of the left part and of the shifted right part are running
-    XORs, so a line costs as much as it has words.
+    words of these lines: they are cut into lines, and only lines at such places into words.
+    Hashes of the left part and of the shifted right part are running XORs, so a line costs
+    as much as it has words.
     """
     shared = repeated_keys(lines.select(F.explode("halves").alias("key")), "halves")
-    near = passing(lines, F.col("halves"), shared).select("first.*", "h1", "h2", "first")
-    split = passing(split_lines(docs), half_keys(F.col("words")), shared)
-    place = [split[c].eqNullSafe(near[c]) for c in ("doc_id", "text_hash", "line")]
-    found = split.join(near, place)
-    found = found.where(F.xxhash64("words") == F.col("h1")).groupBy("h1", "h2").agg(
-        F.first("first").alias("first"), F.first("words").alias("words")
+    near = written(passing(lines, F.col("halves"), shared).select("first.*", "h1", "h2", "first"), "near")
+    place = F.xxhash64("doc_id", "text_hash", "line")
+    raw = passing(placed(docs, lines_of(F.col("text")), "raw"), F.array(place), near.select(place.alias("key")))
+    split = raw.select("doc_id", "text_hash", "line", normal(F.col("raw")).alias("body"))
+    found = split.join(near, [split[c].eqNullSafe(near[c]) for c in ("doc_id", "text_hash", "line")])
+    found = found.where(F.xxhash64("body") == F.col("h1")).groupBy("h1", "h2").agg(
+        F.first("first").alias("first"), F.split(F.first("body"), " ").alias("words")
     )
     found = written(found, "near-lines")  # read twice below; the scan behind it is the costly part
     one = Window.partitionBy("h1", "h2")
@@ -203,7 +215,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     all_lines, before, removed = (fresh(docs, x) for x in ("all_lines", "lines_before", "lines_removed"))
     stays = F.coalesce(F.col(kept_lines), F.array().cast("array<int>"))
     blank = F.filter(
-        F.sequence(F.lit(0), F.size(all_lines) - 1), lambda i: F.trim(F.get(F.col(all_lines), i), F.lit(" \t\r\f\x0b")) == ""
+        F.sequence(F.lit(0), F.size(all_lines) - 1), lambda i: F.trim(F.get(F.col(all_lines), i), F.lit(BLANKS)) == ""
     )
     stay = F.array_sort(F.concat(stays, blank))
     out = joined.withColumn(all_lines, lines_of(F.col("text"))).withColumn(before, F.size(all_lines) - F.size(blank))

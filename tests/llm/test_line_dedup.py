@@ -2,6 +2,9 @@ import random
 
 from cases import CLASHING, awkward, empty, told
 
+from pyspark.sql import functions as F
+
+from filigree.llm import lines
 from filigree.llm.lines import NEAR_WORDS, clean_lines, line_report
 
 
@@ -89,3 +92,28 @@ def test_near_lines_without_doc_id(spark):
     rows = [(None, f"{line}\nown first"), (None, f"own second\n{line} ten"), (3, f"{line} eleven\nlast")]
     kept = "\n".join(t for _, t in told(clean_lines(awkward(spark, rows)), "doc_id", "text")).split("\n")
     assert sum(x.startswith(line) for x in kept) == 1 and {"own first", "own second", "last"} <= set(kept)
+
+
+def test_only_lines_with_a_possible_near_line_are_cut_again(spark, monkeypatch):
+    """The second reading of the texts picks lines by their place, before it makes words of them."""
+    filtered, passing = [], lines.passing
+
+    def seen(table, keys, shared):
+        found = passing(table, keys, shared)
+        filtered.append((table.columns, found))
+        return found
+
+    monkeypatch.setattr(lines, "passing", seen)
+    near = ["one two three four five six seven eight nine", "One  two three\tfour five six seven eight nine ten"]
+    rows = [(i, f"alone {i} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(200)] + [(1000 + i, x) for i, x in enumerate(near)]
+    clean = dict(told(clean_lines(awkward(spark, rows)), "doc_id", "text"))
+    assert clean[1000] == near[0] and clean[1001] == "" and clean[7] == rows[7][1]
+    again = [found for columns, found in filtered if "raw" in columns]
+    assert len(again) == 1 and again[0].count() < 20
+
+
+def test_words_of_a_line(spark):
+    said = ["a b", " a  b ", "A\tB\r", "\x0ba\fb", "\u00a0a b", "", " \t ", "\u039f\u03a3 \u0130x", "a \t b"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string")
+    got = [r[0] for r in rows.orderBy("i").select(lines.normal(F.col("x"))).collect()]
+    assert got[:7] == ["a b"] * 4 + ["\u00a0a b", "", ""] and got[8] == "a b" and got[7] == "\u03bf\u03c2 i\u0307x"
