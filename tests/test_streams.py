@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from filigree.operators import messages
@@ -5,6 +8,7 @@ from filigree.operators.messages import assemble_messages, to_parts
 from filigree.schemas import MESSAGE_PARTS
 from filigree.streaming.ingest import ingest_available, stored_chunks
 from filigree.streaming.turns import (
+    TurnAssembler,
     commit_available,
     committed_messages,
     expired_messages,
@@ -82,6 +86,23 @@ def test_a_restart_from_the_checkpoint_gives_the_same_rows(spark, tmp_path):
     assert told[0] == told[1] and len(told[0]) == 11
 
 
+def test_parts_that_come_together_are_one_value_of_state():
+    """A batch costs a message the same few calls of the state, however many parts it has."""
+    appended, turn = [], [None]
+    parts = SimpleNamespace(appendValue=appended.append, get=lambda: iter(appended), clear=lambda: None)
+    value = SimpleNamespace(get=lambda: turn[0], update=lambda v: turn.__setitem__(0, v))
+    said = TurnAssembler(1000, 1000)
+    said.init(SimpleNamespace(getListState=lambda *_: parts, getValueState=lambda *_: value, registerTimer=lambda _: None))
+    timer = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    rows = [Row(message_id="a", seq=i, part_type="text-delta", payload=f"{i} ") for i in range(90)]
+    rows.append(Row(message_id="a", seq=90, part_type="finish", payload=None))
+    for k in (1, 2):
+        assert list(said.handleInputRows(("a",), iter(rows[k::3]), timer)) == []
+    assert [len(block) for (block,) in appended] == [30, 30]
+    (done,) = said.handleInputRows(("a",), iter(rows[0::3]), timer)
+    assert done["status"] == "complete" and done["text"] == "".join(f"{i} " for i in range(90)) and done["n_deltas"] == 90
+
+
 def test_ingest_takes_new_files_once_and_replaces_documents(spark, tmp_path):
     source, out = str(tmp_path / "docs"), str(tmp_path / "out")
     schema = "doc_id long, text string"
