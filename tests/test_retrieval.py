@@ -236,3 +236,36 @@ def test_a_task_keeps_the_best_of_inexact_scores(names, monkeypatch):
                 ranked = sorted((-true[i, q], ids[i].as_py()) for i in own if true[i, q] > 0)[:4]
                 wanted |= {(value, q, i, -s) for s, i in ranked}
         assert told == wanted
+
+
+def test_many_short_queries_read_the_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1} common") for i in range(50)], "doc_id long, text string")
+    asked = spark.range(40_000).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id") % 50).alias("text"))
+    found = lexical_search(docs, asked, 1)
+    assert not any("query-slices" in f for f in found.inputFiles())
+    assert found.where("query_id >= 39950").count() == 50
+
+
+def test_blocks_of_scores_take_the_same_memory():
+    import numpy as np
+    import pyarrow as pa
+
+    from filigree.operators.lexical import AskedTerms, Cells, Wanted
+
+    rng, n_terms = np.random.default_rng(3), 300
+    pairs = [(q, t) for q in range(40) for t in np.sort(rng.choice(n_terms, 120, replace=False))]
+    query, term = (np.array(x, np.int32) for x in zip(*pairs))
+    asked = AskedTerms(Wanted(pa.array(range(40)), [str(t) for t in range(n_terms)], query, term), 0, 40)
+    matrix = np.zeros((40, n_terms))
+    matrix[query, term] = 1.0
+    held, seen = Cells(), []
+    for n_docs in (60, 25):
+        values = rng.random((n_docs, n_terms)) * (rng.random((n_docs, n_terms)) < 0.4)
+        doc, at = np.nonzero(values)
+        scores, exact = asked.score(doc, np.arange(n_terms), at, values[doc, at], n_docs, held)
+        true = values @ matrix.T
+        assert (abs(scores - true) <= asked.slack * true).all() and scores.dtype == np.float32
+        where = np.nonzero(true > 0)
+        assert np.allclose(exact(*where), true[where], rtol=1e-12, atol=0)
+        seen.append(scores)
+    assert np.shares_memory(*seen)
