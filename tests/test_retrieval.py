@@ -269,3 +269,57 @@ def test_blocks_of_scores_take_the_same_memory():
         assert np.allclose(exact(*where), true[where], rtol=1e-12, atol=0)
         seen.append(scores)
     assert np.shares_memory(*seen)
+
+
+def test_several_slices_cut_the_texts_once(spark, frames, corpus):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = frames[0].withColumn("text", seen("text"))
+    assert rows(lexical_search(docs, frames[1], 5, slice_rows=4), *RANKED) == bm25(*corpus, 5)
+    assert read.value == len(corpus[0])
+
+
+def test_tiles_of_a_group_score_as_the_whole():
+    import pyarrow as pa
+
+    from filigree.operators.lexical import AskedTerms, Cells, Wanted
+
+    rng, n_terms = np.random.default_rng(5), 400
+    pairs = [(q, t) for q in range(30) for t in np.sort(rng.choice(n_terms, 1 + q, replace=False))]
+    query, term = (np.array(x, np.int32) for x in zip(*pairs))
+    asked = AskedTerms(Wanted(pa.array(range(30)), [str(t) for t in range(n_terms)], query, term), 0, 30)
+    matrix = np.zeros((30, n_terms))
+    matrix[query, term] = 1.0
+    # Some terms in every document, most in few: dense rows and expanded products.
+    values = rng.random((500, n_terms)) * (rng.random((500, n_terms)) < np.where(np.arange(n_terms) % 20 == 0, 1.0, 0.01))
+    doc, at = np.nonzero(values)
+    group = asked.group(*asked.entries(doc, np.arange(n_terms), at, values[doc, at]), 500)
+    assert 0 < group.rows.shape[1] < n_terms and len(group.doc)
+    held = Cells()
+    for first, last in ((0, 200), (200, 400), (400, 500)):
+        scores, exact = group.tile(first, last, held)
+        true = values[first:last] @ matrix.T
+        assert (abs(scores - true) <= asked.slack * true).all()
+        where = np.nonzero(true > 0)
+        assert np.allclose(exact(*where), true[where], rtol=1e-12, atol=0)
+
+
+def test_waiting_candidates_are_ranked_with_ties_by_id(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    true = rng.integers(1, 6, (400, 3)) / 2.0
+    ids = rng.permutation(400)
+    for waiting in (1, 5, 1000):
+        monkeypatch.setattr(topk, "WAITING", waiting)
+        best = topk.TaskTopK(3, 6)
+        for at in range(0, 400, 7):
+            best.offer(true[at : at + 7], pa.array(ids[at : at + 7]))
+        _, _, query, kept, _ = best.drain()
+        for q in range(3):
+            assert list(kept[query == q]) == [i for _, i in sorted(zip(-true[:, q], ids))[:6]]
