@@ -55,7 +55,7 @@ def semantic_search(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
 
-    def one_slice(part: DataFrame) -> DataFrame:
+    def one_slice(part: DataFrame, _: DataFrame) -> DataFrame:
         ids, matrix = query_matrix(part, dim)
         columns = [id_col, "embedding", *([facet_col] if facet_col else [])]
         rows = for_scoring(vectors.where(F.col("embedding").isNotNull()).select(*columns))

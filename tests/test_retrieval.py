@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.operators import lexical, topk
 from filigree.operators.bounded import lookup_join
-from filigree.operators.context import attach, surrounding_chunks
+from filigree.operators.context import attach, excerpt, surrounding_chunks
 from filigree.operators.fusion import reciprocal_rank_fusion
 from filigree.operators.lexical import lexical_search
 from filigree.operators.retrieval import evidence_status, hybrid_search, search_filings
@@ -284,6 +285,26 @@ def test_several_slices_cut_the_texts_once(spark, frames, corpus):
     assert read.value == len(corpus[0])
 
 
+def test_several_slices_cut_the_queries_once(spark, frames, corpus):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    asked = frames[1].withColumn("text", seen("text"))
+    assert rows(lexical_search(frames[0], asked, 5, slice_rows=4), *RANKED) == bm25(*corpus, 5)
+    assert read.value == frames[1].count()
+
+
+def test_excerpts_hold_the_first_characters_with_white_space_as_one(spark):
+    long = [None, "", " \n ", "  a \t b ", "\n\t" * 300 + "x", "é  " * 250, "😀 \n" * 230, "a" * 500, "a b\x0bc  d" * 60]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, text string").select("i", excerpt(F.col("text")).alias("e"))
+    told = dict(map(tuple, found.collect()))
+    assert told == {i: None if t is None else re.sub("[ \t\r\n\f]+", " ", t)[:200].strip(" ") for i, t in enumerate(long)}
+
+
 def test_tiles_of_a_group_score_as_the_whole():
     import pyarrow as pa
 
